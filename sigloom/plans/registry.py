@@ -1,11 +1,19 @@
-"""Named queries of the signal operators, and their SQL."""
+"""Named queries of the signal operators, and the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from sigloom.plans import blocks, colours, series, text
+
+MODULES = (blocks, colours, series, text)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
