@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigloom.llm.common import bounded_sample
+
 #: Rows that rotation and radius are learned from, those of the smallest hashes of vec_id.
 SAMPLE = 4096
 #: Queries that are sent to the tasks at once, in expectation.
@@ -163,7 +165,7 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, sample: int =
         return empty
     rows = rows.where(F.size("v") == sizes[0].d)
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()
+    some = bounded_sample(rows, "vec_id", sample, "v").collect()
     coder = fit_coder(np.array([r.v for r in some]), k)
     blocks = -(-queries.count() // BLOCK)
     line = Window.partitionBy("query_id").orderBy("score", "vec_id")

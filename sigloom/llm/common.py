@@ -34,6 +34,17 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
 
 
+def bounded_sample(rows: DataFrame, id_col: str, n: int, *ties: str) -> DataFrame:
+    """The n rows of the smallest hashes of id_col (ties by the columns named), all if they are fewer.
+
+    A cut of the hash that some 2 n rows pass goes first, so that no task sends more than its share of those.
+    """
+    share = min(1.0, 2 * n / max(1, rows.count()))
+    h = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
+    few = rows.where(h < int(share * (1 << 40)) + 1) if share < 1 else rows
+    return few.orderBy(h, id_col, *ties).limit(n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit (the well-known 64-bit finaliser)."""
     x = (x ^ (x >> _S33)) * _C1

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigloom.llm.common import bounded_sample
+
 #: Fixed values: (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Urls of the smallest hashes, whose keys set the ranges.
@@ -83,7 +85,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     spark = pages.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     urls = _parsed(pages.select("page_id", "url"), "url").select(F.col("page_id").cast("long").alias("page_id"), "host", "path", _key("host").alias("key"))
-    sample = sorted(r.key for r in urls.orderBy(F.xxhash64("page_id", "host", "path"), "key").select("key").limit(SAMPLE).collect())
+    sample = sorted(r.key for r in bounded_sample(urls.select("page_id", "key"), "page_id", SAMPLE, "key").collect())
     bounds = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
     ranges = _ranges(bounds)
     dealt = urls.withColumn("at", ranges("key"))
