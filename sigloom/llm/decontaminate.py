@@ -47,16 +47,17 @@ class Walks:
         rng = np.random.default_rng((self.seed, walk, n))
         return rng.integers(0, max(1, int(1.9 * n)), (self.samples, self.places))
 
-    def keys(self, tokens: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """(windows, walks * samples) keys of the windows tokens[start : start + n]."""
+    def keys(self, tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+        """(windows, walks * samples) keys of the windows tokens[start : start + n]; words from `ends` on don't belong to them."""
         out = []
-        tokens = np.append(tokens, np.full(n, _PAD))
+        tokens = np.append(tokens, _PAD)
+        last = np.minimum(ends, starts + n)
         for walk, seed in enumerate(self.seeds):
             rows = self.chosen(walk, n)
-            at, steps = np.zeros(len(starts), np.int64), int(rows.max()) + 1
+            at, steps = starts.copy(), int(rows.max()) + 1
             wrote = np.empty((steps, len(starts)), np.uint64)
             for j in range(steps):
-                word = np.where(at < n, tokens[starts + np.minimum(at, n - 1)], _PAD)
+                word = np.where(at < last, tokens[np.minimum(at, len(tokens) - 1)], _PAD)
                 wrote[j] = word
                 at += (mix(word ^ (seed + np.uint64(j * 2 + 1))) >> np.uint64(63)).astype(np.int64)
             for r, row in enumerate(rows):
@@ -103,82 +104,105 @@ class Items:
         for u, (_, h, d) in enumerate(self.units):
             q = next(q for q in (3, 2, 1) if len(h) - q + 1 - d * q >= 1 or q == 1)
             self.by_q[q].append(u)
-        self.grams = {q: np.unique(np.concatenate([gram_hashes(self.units[u][1], q) for u in us])) for q, us in self.by_q.items()}
-        self.bits = {q: np.bincount((g >> np.uint64(44)).astype(np.int64), minlength=1 << 20) > 0 for q, g in self.grams.items()}
-        #: q -> n -> (d, least shared grams, tables: key -> units)
-        self.sizes: dict[int, dict[int, tuple[int, int, dict[int, list[int]]]]] = {}
+        #: q -> sorted n-grams; and of each the sizes of the items that hold it, as (start of its run, sizes).
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for q, us in self.by_q.items():
+            both = sorted({(g, len(self.units[u][1])) for u in us for g in gram_hashes(self.units[u][1], q).tolist()})
+            known, first = np.unique(np.array([g for g, _ in both], np.uint64), return_index=True)
+            self.grams[q] = (known, np.append(first, len(both)), np.array([n for _, n in both]))
+        self.bits = {q: np.bincount((g[0] >> np.uint64(44)).astype(np.int64), minlength=1 << 20) > 0 for q, g in self.grams.items()}
+        #: q -> n -> (d, least shared grams, sorted keys, start of each key's run, units)
+        self.sizes: dict[int, dict[int, tuple]] = {}
         for q, us in self.by_q.items():
             by_n: dict[int, list[int]] = defaultdict(list)
             for u in us:
                 by_n[len(self.units[u][1])].append(u)
             self.sizes[q] = {}
             for n, same in sorted(by_n.items()):
-                d = self.units[same[0]][2]
-                keys = self.walks.keys(np.concatenate([self.units[u][1] for u in same]), np.arange(len(same)) * n, n)
-                table: dict[int, list[int]] = defaultdict(list)
-                for u, row in zip(same, keys.tolist(), strict=True):
-                    for k in row:
-                        table[k].append(u)
-                self.sizes[q][n] = (d, max(1, n - q + 1 - d * q), dict(table))
-        self.tables = {(q, n): np.array(sorted(t[2]), np.uint64) for q, s in self.sizes.items() for n, t in s.items()}
-
-    def hits(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, edits, first word, end) of the closest place of every item that the text of these words holds."""
-        best: dict[int, tuple[int, int, int]] = {}
+                d, starts = self.units[same[0]][2], np.arange(len(same)) * n
+                keys = self.walks.keys(np.concatenate([self.units[u][1] for u in same]), starts, starts + n, n)
+                who = np.repeat(same, keys.shape[1])
+                order = np.argsort(keys.ravel(), kind="stable")
+                known, first = np.unique(keys.ravel()[order], return_index=True)
+                self.sizes[q][n] = (d, max(1, n - q + 1 - d * q), known, np.append(first, len(order)), who[order])
+
+    def hits(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, edits, first word, end) of the closest place of every item that a text, given as word hashes, holds."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        gap = np.array([_PAD])  # between texts, so that no n-gram runs across
+        h = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
+        first = np.cumsum([0, *(len(t) + 1 for t in texts)])
         for q, sizes in self.sizes.items():
             if len(h) < q:
                 continue
             g = gram_hashes(h, q)
-            maybe = np.flatnonzero(self.bits[q][(g >> np.uint64(44)).astype(np.int64)])
-            if not len(maybe):
-                continue
-            known = self.grams[q]
-            maybe = maybe[known[np.minimum(np.searchsorted(known, g[maybe]), len(known) - 1)] == g[maybe]]
-            if len(maybe) < min(t[1] for t in sizes.values()):
+            at = np.flatnonzero(self.bits[q][(g >> np.uint64(44)).astype(np.int64)])
+            known, runs, of = self.grams[q]
+            place = np.minimum(np.searchsorted(known, g[at]), len(known) - 1)
+            same = known[place] == g[at]
+            at, place = at[same], place[same]
+            if not len(at):
                 continue
-            total = np.zeros(len(h) + 2, np.int64)
-            total[maybe + 1] = 1
-            total = np.cumsum(total)
-            for n, (d, least, table) in sizes.items():
-                if len(maybe) < least or len(h) < n - d:
-                    continue
-                starts = np.arange(max(1, len(h) - n + d + 1))
-                ends = np.minimum(starts + n + d, len(h) + 1)
-                starts = starts[total[ends] - total[starts] >= least]
-                for a in range(0, len(starts), 4096):
-                    self._probe(h, starts[a : a + 4096], q, n, d, table, best)
-        return [(u_item, *v) for u_item, v in best.items()]
-
-    def _probe(self, h: np.ndarray, starts: np.ndarray, q: int, n: int, d: int, table: dict, best: dict) -> None:
-        padded = np.append(h, np.full(n, _PAD))
-        keys = self.walks.keys(padded, starts, n)
-        known = self.tables[q, n]
+            many = runs[place + 1] - runs[place]
+            spots = np.repeat(at, many)
+            size = of[np.repeat(runs[place] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            for n in np.unique(size).tolist():
+                starts, text = self._starts(spots[size == n], first, n, *sizes[n][:2])
+                some = max(64, 1_000_000 // n)
+                for a in range(0, len(starts), some):
+                    self._probe(h, starts[a : a + some], text[a : a + some], first, n, sizes[n], best)
+        return [(t, item, *v) for (t, item), v in best.items()]
+
+    @staticmethod
+    def _starts(spots: np.ndarray, first: np.ndarray, n: int, d: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows with at least `least` of the n-grams at spots among their n + d words: d edits leave as many. And their texts."""
+        if len(spots) < least:
+            return spots[:0], spots[:0]
+        a, b = spots[: len(spots) - least + 1], spots[least - 1 :]
+        text = np.searchsorted(first, a, "right") - 1
+        ok = (b - a < n + d) & (b < first[text + 1])
+        a, b, text = a[ok], b[ok], text[ok]
+        low = np.maximum(first[text], b - (n + d) + 1)
+        many = a - low + 1
+        starts = np.unique(np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum()))
+        text = np.searchsorted(first, starts, "right") - 1
+        ok = first[text + 1] - 1 - starts >= n - d
+        return starts[ok], text[ok]
+
+    def _probe(self, h: np.ndarray, starts: np.ndarray, text: np.ndarray, first: np.ndarray, n: int, size: tuple, best: dict) -> None:
+        d, _, known, runs, units = size
+        keys = self.walks.keys(h, starts, first[text + 1] - 1, n)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         rows, cols = np.nonzero(known[at] == keys)
-        done: dict[int, set[int]] = defaultdict(set)
-        for r, k in zip(rows.tolist(), keys[rows, cols].tolist(), strict=True):
-            for u in table[k]:
-                done[u].add(int(starts[r]))
-        for u, places in done.items():
+        met = {(int(starts[r]), int(u)) for r, k in zip(rows.tolist(), at[rows, cols].tolist(), strict=True) for u in units[runs[k] : runs[k + 1]]}
+        seen: dict[int, int] = {}
+        for s, u in sorted(met):
+            t = int(np.searchsorted(first, s, "right")) - 1
+            if s <= seen.get(u, -1):  # within the stretch that was verified last
+                continue
+            seen[u] = min(s + d, int(first[t + 1]) - 1)
             item, words, _ = self.units[u]
-            seen = -1
-            for s in sorted(places):
-                if s <= seen:  # within the stretch that was verified last
-                    continue
-                low, seen = max(0, s - d), s + d
-                cost, a, b = edits(words, h[low : s + n + 2 * d])
-                if cost <= d and (item not in best or (cost, low + a) < best[item][:2]):
-                    best[item] = (cost, low + a, low + b)
+            low = max(int(first[t]), s - d)
+            cost, a, b = edits(words, h[low : min(s + n + 2 * d, int(first[t + 1]) - 1)])
+            place = (cost, low + a - int(first[t]), low + b - int(first[t]))
+            if cost <= d and ((t, item) not in best or place[:2] < best[t, item][:2]):
+                best[t, item] = place
 
 
 def _find(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, texts, a = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for found in items.hits(word_hashes(words_of(text or b""))):
-                    for col, v in zip(out, (doc, *found), strict=True):
+            while a < len(texts):  # some 8 MB of text at once
+                b, size = a, 0
+                while b < len(texts) and (b == a or size < 8_000_000):
+                    size += len(texts[b] or b"")
+                    b += 1
+                for t, *found in items.hits([word_hashes(words_of(x or b"")) for x in texts[a:b]]):
+                    for col, v in zip(out, (ids[a + t], *found), strict=True):
                         col.append(v)
+                a = b
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "item_id", "edits", "first_word", "end_word"])
 
     return run
