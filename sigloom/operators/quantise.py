@@ -39,9 +39,9 @@ def assign(vectors: DataFrame, codebook: np.ndarray, key: str = "vec_id") -> Dat
     return vectors.select(key, "vec").mapInArrow(run, f"{key} long, code int, d2 long")
 
 
-def first_vectors(vectors: DataFrame, k: int, key: str = "vec_id") -> np.ndarray:
-    """The vectors of the k smallest keys, as the seeds of a codebook."""
-    return np.array([r.vec for r in vectors.orderBy(key).limit(k).select("vec").collect()], np.int64)
+def first_vectors(vectors: DataFrame, k: int, key: str = "vec_id", skip: int = 0) -> np.ndarray:
+    """The vectors of the k smallest keys after `skip` others, as the seeds of a codebook."""
+    return np.array([r.vec for r in vectors.orderBy(key).limit(k + skip).select("vec").collect()[skip:]], np.int64)
 
 
 def lloyd(vectors: DataFrame, codebook: np.ndarray, steps: int, key: str = "vec_id") -> np.ndarray:

@@ -372,10 +372,10 @@ def kmeans_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def residual_vq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stage, bits): entropy of the pixels left after each of three stages with the codes of the smallest ids."""
+    """(stage, bits): entropy of the pixels left after each of three stages with codes of the smallest ids that no stage before had."""
     left, out = blocks(spark, sf_dir), None
     for stage in range(3):
-        left = residuals(left, first_vectors(left, 8 >> stage))
+        left = residuals(left, first_vectors(left, 8 >> stage, skip=8 * stage))
         bits = total_bits(left.select(F.lit(stage).alias("stage"), F.explode("vec").alias("sym")), ["stage"], digits=3)
         out = bits if out is None else out.union(bits)
     return out.select("stage", "bits")
@@ -573,8 +573,8 @@ _VEC = "vecs as (select vec_id, list_transform(embedding, lambda e: cast(round(c
 _D2 = "list_sum(list_transform(range(1, 65), lambda i: (x.vec[i] - {c}[i]) * (x.vec[i] - {c}[i])))"
 
 
-def _near_code(k: int, source: str = "vecs") -> str:
-    return f"book as (select row_number() over (order by vec_id) - 1 as code, vec as c from (select * from {source} order by vec_id limit {k})), d as (select x.vec_id, x.vec, b.code, b.c, {_D2.format(c='b.c')} as d2 from {source} x cross join book b), near as (select vec_id, any_value(vec) as vec, arg_min(code, d2 * 64 + code) as code, min(d2) as d2, arg_min(c, d2 * 64 + code) as c from d group by vec_id)"
+def _near_code(k: int, source: str = "vecs", skip: int = 0) -> str:
+    return f"book as (select row_number() over (order by vec_id) - 1 as code, vec as c from (select * from {source} order by vec_id limit {k} offset {skip})), d as (select x.vec_id, x.vec, b.code, b.c, {_D2.format(c='b.c')} as d2 from {source} x cross join book b), near as (select vec_id, any_value(vec) as vec, arg_min(code, d2 * 64 + code) as code, min(d2) as d2, arg_min(c, d2 * 64 + code) as c from d group by vec_id)"
 
 
 def _lsh_sql() -> str:
@@ -612,7 +612,7 @@ def _kmeans_sql() -> str:
 def _residual_vq_sql() -> str:
     out = f"with {_VEC}, s0 as (select * from vecs)"
     for s in range(3):
-        part = _near_code(8 >> s, f"s{s}").replace("book", f"book{s}").replace(" d as", f" d{s} as").replace("from d ", f"from d{s} ").replace("near as", f"near{s} as")
+        part = _near_code(8 >> s, f"s{s}", 8 * s).replace("book", f"book{s}").replace(" d as", f" d{s} as").replace("from d ", f"from d{s} ").replace("near as", f"near{s} as")
         out += f", {part}, s{s + 1} as (select vec_id, list_transform(range(1, 65), lambda i: vec[i] - c[i]) as vec from near{s})"
     parts = " union all ".join(f"select {s} as stage, unnest(vec) as sym from s{s + 1}" for s in range(3))
     return out + f", parts as ({parts}), k as (select stage, sym, count(*) as cnt from parts group by all) select cast(stage as int) as stage, {_BITS.format(d=3)} as bits from k group by 1"
