@@ -36,7 +36,7 @@ def op3_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_groups(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return ngram_groups(_table(spark, sf_dir, "documents"), words=4, num=85, den=100).drop("class_id")
 
 
 def op5_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,4 +100,4 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from fits wher
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_filter_urls": _OP9}
+    return {"op4_ngram_groups": _OP4, "op9_filter_urls": _OP9}
