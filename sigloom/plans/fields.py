@@ -190,8 +190,8 @@ def _inside(by: int, bx: int, side: int, width: int):
 def cross_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(predictor, bps): green from the co-located red, raw and by least squares over all rows."""
     c = colours(spark, sf_dir).select("r", "g")
-    line = c.agg(F.regr_slope("g", "r").alias("a"), F.regr_intercept("g", "r").alias("b"))
-    both = c.crossJoin(F.broadcast(line)).select("g", "r", F.bround(F.col("a") * F.col("r") + F.col("b")).cast("int").alias("p"))
+    line = c.agg(F.regr_slope("g", "r").alias("a"), F.regr_intercept("g", "r").alias("b")).first()
+    both = c.select("g", "r", F.bround(F.lit(line.a) * F.col("r") + F.lit(line.b)).cast("int").alias("p"))
     r = both.select(F.explode(F.array(F.struct(F.lit("raw").alias("predictor"), (F.col("g") - F.col("r")).alias("sym")), F.struct(F.lit("line").alias("predictor"), (F.col("g") - F.col("p")).alias("sym")))).alias("x")).select("x.*")
     return entropy(r, ["predictor"]).select("predictor", "bps")
 

@@ -87,7 +87,8 @@ def stream_gop_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_spenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, total, rnk): the ten largest totals (R08's top-N)."""
     totals = series(spark, sf_dir).groupBy("user_id").agg(F.sum("sample").alias("total"))
-    return totals.withColumn("rnk", F.row_number().over(Window.orderBy(F.desc("total"), "user_id"))).where("rnk <= 10")
+    top = totals.orderBy(F.desc("total"), "user_id").limit(10)
+    return top.withColumn("rnk", F.row_number().over(Window.orderBy(F.desc("total"), "user_id")))
 
 
 _S = "s as (select user_id, ts, event_id, case event_type when 'view' then 0 when 'signup' then 1 when 'purchase' then 2 when 'error' then 3 when 'click' then 4 else 5 end as sym, cast(round(value * 100) as int) as sample from events)"
