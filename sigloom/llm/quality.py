@@ -180,5 +180,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score at least threshold, unchanged."""
     model = learn(docs, labels)
-    rated = docs.withColumn("_quality", text_stats(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
-    return rated.where(model.score(F.col("_quality")) >= threshold).drop("_quality")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rated = docs.select(row.alias("row"), text_stats(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("stats"))
+    return rated.where(model.score(F.col("stats")) >= threshold).select("row.*")

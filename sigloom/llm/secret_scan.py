@@ -69,10 +69,9 @@ def _count(spans: Column, k: int) -> Column:
 
 
 def with_spans(docs: DataFrame, cell: int = 200) -> DataFrame:
-    """docs (any columns, with text) and a column _secrets: struct of base and all spans, each array<struct<s, k, e>> in order of
-    start, then kind (k: index in KINDS); s, e: code points, e exclusive. Null and empty texts have none."""
-    out = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    plain = out.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("_text").alias("text"))
+    """(row, text, secrets): each row of docs as a struct, its text, and its spans: struct of base and all, each
+    array<struct<s, k, e>> in order of start, then kind (k: index in KINDS); s, e: code points, e exclusive. Null texts count as empty."""
+    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     for kind in KINDS:
         plain = plain.withColumn(f"_l_{kind}", _lengths(F.col("text"), kind))
     for k, kind in enumerate(KINDS):
@@ -87,7 +86,7 @@ def with_spans(docs: DataFrame, cell: int = 200) -> DataFrame:
         linked.append(_in_cells(F.col(f"_s_{kind}"), F.col(f"_n_{kind}"), cell))
     base = F.array_sort(F.concat(*(F.col(f"_s_{k}") for k in BASE)))
     every = F.array_sort(F.concat(*(F.col(f"_s_{k}") for k in BASE), *linked))
-    return plain.select("_row.*", F.struct(base.alias("base"), every.alias("all")).alias("_secrets"))
+    return plain.select("row", "text", F.struct(base.alias("base"), every.alias("all")).alias("secrets"))
 
 
 def _joined(spans: Column) -> Column:
@@ -99,15 +98,14 @@ def scan_secrets(docs: DataFrame, cell: int = 200) -> DataFrame:
     """Per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans (see the module). Repeated rows give repeated rows;
     other columns of docs, whatever their names, play no part; an empty table gives an empty one."""
     found = with_spans(docs.select("doc_id", "text"), cell)
-    base = F.col("_secrets.base")
+    base = F.col("secrets.base")
     counts = [_count(base, k).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("_secrets.all")).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("secrets.all")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", cell: int = 200) -> DataFrame:
     """docs with every reported span of text replaced by mark (overlapping spans by one), n_chars brought up to date; texts
     without spans and all other columns stay as they are."""
-    names = docs.columns
     found = with_spans(docs, cell)
     text = F.col("text")
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -116,7 +114,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", cell: int = 200) -> DataFram
         before = F.when(x["s"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], before).alias("out"))
 
-    done = F.aggregate("_secrets.all", empty, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = found.withColumn("_new", F.when(F.size("_secrets.all") > 0, done).otherwise(text))
-    cols = {"text": F.col("_new").alias("text"), "n_chars": F.when(F.size("_secrets.all") > 0, F.length("_new").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in names else None}
-    return found.select(*(cols.get(c) if c in cols else F.col(f"`{c}`") for c in names))
+    done = F.aggregate("secrets.all", empty, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    found = found.select("row", F.size("secrets.all").alias("spans"), F.when(F.size("secrets.all") > 0, done).alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean")}
+    kinds = dict(docs.dtypes)
+    old = lambda c: F.col("row")[c]
+    return found.select(*((F.when(F.col("spans") > 0, new[c].cast(kinds[c])).otherwise(old(c)) if c in new else old(c)).alias(c) for c in docs.columns))
