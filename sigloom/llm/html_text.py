@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
-Block elements are nodes with two states, content and not. A node's potential comes from its tag, its class and id words, its links
-and its length; a parent and its child share a potential. One upward and one downward pass of sum-product messages give exact
-marginals. All potentials are smoothed counts over labelled pages (LAYOUTS).
+Block elements are nodes with two states, content and not. A node's potential comes from its tag, its class and id words, and its
+links; a parent and its child share a potential. One upward and one downward pass of sum-product messages give exact marginals. All
+potentials are smoothed counts over labelled pages (_layouts).
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"},
 _HOLDS = {"table", "ul", "ol", "dl", "div", "article", "section", "body"}
 #: Fixed lists: words of class, id and role attributes that say alike things.
 HINTS = {
-    "ad": "ad ads adv advert adverts advertisement banner sponsor sponsored promo promoted promotion outbrain taboola commercial dfp",
+    "ad": "ad ads adsbygoogle adv advert adverts advertisement banner sponsor sponsored promo promoted promotion outbrain taboola commercial dfp",
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager tabs toolbar toc skip",
     "foot": "footer foot bottom copyright legal colophon contentinfo imprint",
     "head": "header head masthead topbar logo branding hero",
@@ -53,10 +53,20 @@ class Node:
         self.tag, self.names, self.parent, self.truth, self.own, self.links = tag, names, parent, truth, 0, 0
 
 
+#: Elements that hold nothing, and what an inline element must say to stand apart from the text around it.
+_VOID = {"area", "base", "col", "embed", "img", "input", "link", "meta", "source", "track", "wbr"}
+_APART = {"says:ad", "says:side", "says:talk", "says:note", "says:menu", "says:foot"}
+
+
+def _named(attrs: str) -> str:
+    return " ".join(x for t in _NAMES.findall(attrs) for x in t)
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes, parents first, and the runs of text in page order, each with its node. Markup may be broken in any way."""
     nodes, runs = [Node("#", "", -1, -1)], []
     stack, parts, at, linked = [0], [], 0, 0
+    boxes: list[list] = []  # inline elements that stand apart: [node, tag, how many of the tag are open]
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -98,10 +108,24 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     shut(i)
                 elif name in _HOLDS or tag not in _CLOSES:
                     break
-            names = " ".join(x for t in _NAMES.findall(m["attrs"]) for x in t) if m["attrs"] else ""
+            names = _named(m["attrs"]) if m["attrs"] else ""
             said = _LABEL.search(m["attrs"]) if "data-y" in m["attrs"] else None
             nodes.append(Node(tag, names, stack[-1], int(said[1]) if said else nodes[stack[-1]].truth))
             stack.append(len(nodes) - 1)
+        elif m["end"]:
+            if boxes and boxes[-1][1] == tag:
+                boxes[-1][2] -= 1
+                if not boxes[-1][2]:
+                    i = boxes.pop()[0]
+                    if i in stack:
+                        shut(stack.index(i))
+        elif boxes and boxes[-1][1] == tag:
+            boxes[-1][2] += 1
+        elif m["attrs"] and tag not in _VOID and (names := _named(m["attrs"])) and set(_kinds(tag, names)) & _APART:
+            flush()
+            nodes.append(Node(tag, names, stack[-1], nodes[stack[-1]].truth))
+            stack.append(len(nodes) - 1)
+            boxes.append([len(nodes) - 1, tag, 1])
     parts.append(page[at:])
     flush()
     return nodes, runs
@@ -114,8 +138,7 @@ def _kinds(tag: str, names: str) -> tuple[str, ...]:
 
 
 def _features(n: Node) -> tuple[str, ...]:
-    length = "none" if not n.own else f"len:{min(4, int(math.log(n.own, 4)))}"
-    return (*_kinds(n.tag, n.names), length, "linked" if n.own and n.links * 2 > n.own else "plain")
+    return (*_kinds(n.tag, n.names), "none" if not n.own else "linked" if n.links * 2 > n.own else "plain")
 
 
 class TreeModel:
@@ -135,6 +158,9 @@ class TreeModel:
                 for f in _features(n):
                     seen[f][holds[i]] += 1
         self.odds = {f: math.log(c[1] / states[1]) - math.log(c[0] / states[0]) for f, c in seen.items()}
+        # a plain paragraph, list item or division says nothing of itself, however many there are: what holds it does
+        for tag, own in (("tag:p", "plain"), ("tag:li", "plain"), ("tag:div", "none")):
+            self.odds[tag] = -self.odds["says:-"] - self.odds[own]
         self.edge = [[(pairs[a, b] + (0.2 if a or not b else 0.02)) / (pairs[a, False] + pairs[a, True] + 0.4) for b in (False, True)] for a in (False, True)]
 
     def marginals(self, nodes: list[Node]) -> list[float]:
@@ -179,16 +205,20 @@ def _layouts() -> list[str]:
     for k, extra in enumerate(extras):
         top = f'<nav data-y="0">{_MENU}</nav>' if k % 3 else f'<header class="header" data-y="0"><h1><a href="/">Site</a></h1><p>The site of sites</p><nav>{_MENU}</nav></header>'
         foot = f'<footer data-y="0"><p>&copy; Site. {_P}</p></footer>' if k % 2 else '<footer data-y="0">&copy; Site &middot; A line of words at the foot.</footer>'
-        text = f"<h1>A headline of words</h1>{body(1 + k % 5)}{lists if k % 2 else ''}"
+        points = f"<ul>{f'<li>{_P}</li>' * 4}</ul><ol>{f'<li>{_P * 2}</li>' * 3}</ol>"
+        text = f"<h1>A headline of words</h1>{'' if k % 6 == 5 else body(1 + k % 5)}{lists if k % 2 else ''}{points if k % 3 == 2 else ''}"
         extra += extras[(7 * k + 3) % len(extras)]
         inner, outer = (extra, "") if k % 4 in (0, 1) else ("", extra)
-        shape = k % 5
+        shape = k % 7
         if shape in (0, 1):
             main = f'<article data-y="1">{text}{inner}</article>{outer}'
         elif shape == 2:
             main = f'<main><div class="content" data-y="1">{text}{inner}</div>{outer}</main>'
         elif shape == 3:
             main = f'<div id="page"><div class="post" data-y="1">{text}{inner}</div>{outer}</div>'
+        elif shape in (5, 6):  # wrappers that say nothing
+            side = f'<div class="col" data-y="0"><div class="sidebar">{extra}{filler(k)}</div></div>' if shape == 5 else f'<div class="col sidebar" data-y="0">{filler(k + 1)}</div>'
+            main = f'<div class="wrapper"><div class="row"><div class="col" data-y="1">{text}</div>{side}</div>{outer}</div>'
         else:
             main = f'{outer}<main><article class="post" data-y="1"><header><h1>A headline</h1></header><section>{text}</section>{inner}</article></main>'
         plain = f'<p data-y="0">All rights reserved.</p>' if k % 7 == 3 else ""
@@ -213,7 +243,11 @@ def main_text(page: str | None) -> str:
             skip.add(i)
     if any(n.tag == "body" for n in nodes):
         skip = {i for i in skip if not _under_body(nodes, i)}
-    return " ".join(text for i, text in runs if p[i] >= 0.5 and i not in skip)
+    runs = [(i, text) for i, text in runs if i not in skip]
+    top = max((p[i] for i, _ in runs), default=0.0)
+    # on a page whose wrappers say nothing all marginals are low; what stands out by far is its content
+    least = 0.5 if top >= 0.5 or top < 0.05 else top / 2
+    return " ".join(text for i, text in runs if p[i] >= least)
 
 
 def _under_body(nodes: list[Node], i: int) -> bool:

@@ -39,6 +39,39 @@ def test_main_text_of_other_layouts():
     assert main_text("<article><p>a&nbsp;b\n\n c<br>d<script>var x='</p>'</script><!-- <p>no</p> --><p>e") == "a b c d e"
 
 
+_P = "<p>The main story has a good many words in it, as stories do, and goes on.</p>"
+_S = "<p>Other words entirely that are no part of the story but look like it.</p>"
+SHAPES = {
+    "plain body": f"<html><body><h1>T</h1>{_P}{_P}</body></html>",
+    "no html": f"<h1>T</h1>{_P}{_P}",
+    "div main": f"<body><div id='header'><a href=/>Home</a></div><div id='main'><h1>T</h1>{_P}{_P}</div><div id='sidebar'>{_S}</div><div id='footer'>{_S}</div></body>",
+    "nested divs": f"<body><div class='wrapper'><div class='row'><div class='col'><h1>T</h1>{_P}{_P}</div><div class='col sidebar'>{_S}{_S}</div></div></div></body>",
+    "comments in article": f"<article><h1>T</h1>{_P}{_P}<section class='comments'><h2>Comments</h2><article class='comment'>{_S}</article></section></article>",
+    "comments outside": f"<article><h1>T</h1>{_P}{_P}</article><div id='comments'><article class='comment'>{_S}</article></div>",
+    "header in article": f"<article><header><h1>T</h1></header>{_P}{_P}<footer>{_S}</footer></article>",
+    "cookie": f"<div class='cookie-banner'>{_S}<button>OK</button></div><main><h1>T</h1>{_P}{_P}</main>",
+    "form": f"<main><h1>T</h1>{_P}{_P}<form><label>Name</label><input><p>Sign up now</p></form></main>",
+    "aside in article": f"<article><h1>T</h1>{_P}<aside>{_S}</aside>{_P}</article>",
+    "notice": f"<article><h1>T</h1><div class='notice'>{_S}</div>{_P}{_P}</article>",
+    "noscript": f"<article><h1>T</h1><noscript>{_S}</noscript>{_P}{_P}</article>",
+    "advert p": f"<article><h1>T</h1>{_P}<p class='advert'>Buy this</p>{_P}</article>",
+    "advert ins": f"<article><h1>T</h1>{_P}<ins class='adsbygoogle'>Buy this</ins>{_P}</article>",
+    "span ad": f"<article><h1>T</h1>{_P}<span class='ad'>Buy this</span>{_P}</article>",
+    "list": f"<article><h1>T</h1><ul><li>The main story has a good many words in it, as stories do, and goes on.</li><li>The main story has a good many words in it, as stories do, and goes on.</li></ul></article>",
+    "menu role": f"<div role='navigation'><ul><li>Home</li></ul></div><article><h1>T</h1>{_P}{_P}</article>",
+    "table": f"<article><h1>T</h1><table><tr><td>The main story has a good many words in it, as stories do, and goes on.</td></tr><tr><td>The main story has a good many words in it, as stories do, and goes on.</td></tr></table></article>",
+    "footer text": f"<article><h1>T</h1>{_P}{_P}</article><footer>&copy; x</footer>",
+    "related": f"<article><h1>T</h1>{_P}{_P}</article><div class='related-posts'><h3>Related</h3><ul><li><a href=/x>Another story</a></li></ul></div>",
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_main_text_of_shapes(shape):
+    from sigloom.llm.html_text import main_text
+
+    assert main_text(SHAPES[shape]) == "T" + " The main story has a good many words in it, as stories do, and goes on." * 2
+
+
 def test_pages_edges(spark):
     from sigloom.llm.html_text import extract_text
     from sigloom.llm.url_rules import filter_urls, rules_table
