@@ -34,11 +34,11 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.tanh(x * 0.5) * 0.5 + 0.5
 
 
 class Gru:
-    """Weights by name: x (row of each word: its input to the gates), u, c and its bias (classes), w and b (words)."""
+    """Weights by name: x (row of each word, of any other and of a text's start: the input to the gates), u, c and its bias (classes), w and b (words)."""
 
     NAMES = ("x", "u", "c", "cb", "w", "b")
 
@@ -54,7 +54,7 @@ class Gru:
         h = HIDDEN
         own = np.log(counts + 1.0)
         self.weights = {
-            "x": rng.normal(0, 0.1, (v + 1, 3 * h)), "u": rng.normal(0, 1 / math.sqrt(h), (h, 3 * h)),
+            "x": rng.normal(0, 0.1, (v + 2, 3 * h)), "u": rng.normal(0, 1 / math.sqrt(h), (h, 3 * h)),
             "c": np.zeros((h, k + 1)), "cb": np.log(np.append(np.bincount(self.word_class, counts + 1.0, k), outside + 1.0)), "w": np.zeros((v, h)), "b": own,
         }
         self.weights = {n: a.astype(np.float32) for n, a in self.weights.items()}
@@ -64,9 +64,8 @@ class Gru:
         return len(self.first) - 1
 
     def step(self, h: np.ndarray, word: np.ndarray) -> tuple:
-        """The next state, and what the way back needs. word: indices, len(vocabulary) for any other; -1 for a text's start."""
+        """The next state, and what the way back needs. word: indices, len(vocabulary) for any other word; -1, the last row, at a text's start."""
         n, u, a = HIDDEN, self.weights["u"], self.weights["x"][word]
-        a[word < 0] = 0
         zr = _sigmoid(a[:, : 2 * n] + h @ u[:, : 2 * n])
         z, r = zr[:, :n], zr[:, n:]
         rh = r * h
@@ -139,8 +138,7 @@ class Gru:
             back[fresh[t]] = 0
             g["u"][:, : 2 * n] += old.T @ dzr
             g["u"][:, 2 * n :] += rh.T @ dg
-            seen = word[t] >= 0
-            np.add.at(g["x"], word[t][seen], np.concatenate([dzr, dg], 1)[seen])
+            np.add.at(g["x"], word[t], np.concatenate([dzr, dg], 1))
         return {k: v / total for k, v in g.items()}, h, float(loss) / total
 
     def pack(self) -> bytes:
@@ -167,7 +165,7 @@ def lanes(texts: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray, np.
     order = np.argsort(-load, kind="stable")
     load = load[order]
     words = [np.concatenate([texts[i] for i in line[k]]) for k in order]
-    owner = [np.concatenate([np.full(len(texts[i]), i) for i in line[k]]) for k in order]
+    owner = [np.concatenate([np.full(len(texts[i]), i, np.int32) for i in line[k]]) for k in order]
     before = []
     for w, o in zip(words, owner, strict=True):
         b = np.append(-1, w[:-1])
@@ -176,7 +174,7 @@ def lanes(texts: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray, np.
     for at in range(0, int(load.max(initial=0)), WINDOW):
         n = int((load > at).sum())
         steps = int(min(WINDOW, load[0] - at))
-        block = [np.full((steps, n), v, np.int64) for v in (-1, 0, -1)]
+        block = [np.full((steps, n), v, np.int32) for v in (-1, 0, -1)]
         for k in range(n):
             for x, src in zip(block, (before[k], words[k], owner[k]), strict=True):
                 part = src[at : at + steps]
@@ -258,7 +256,7 @@ class Lexicon:
         return h, _index(self.hashes, h)
 
     def words(self, at: np.ndarray) -> np.ndarray:
-        return np.where(at >= 0, self.place[at], self.size) if len(self.place) else np.full(len(at), self.size)
+        return np.where(at >= 0, self.place[at], self.size).astype(np.int32) if len(self.place) else np.full(len(at), self.size, np.int32)
 
 
 def _taught(lexicon: Lexicon, outside: int, weights: bytes, rate: float):
@@ -302,9 +300,9 @@ def _scored(lexicon: Lexicon, outside: int, weights: bytes, n_all: int, n_words:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             a = 0
-            while a < len(texts):  # some 2 MB of text at once
+            while a < len(texts):  # some 8 MB of text at once
                 b, size = a, 0
-                while b < len(texts) and (b == a or size < 2_000_000):
+                while b < len(texts) and (b == a or size < 8_000_000):
                     size += len(texts[b] or b"")
                     b += 1
                 yield self_rows(batch.column(0).slice(a, b - a), texts[a:b], model, base)
@@ -333,8 +331,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose fold is not HELD. Null and empty texts are their end alone; a null doc_id is in fold 0; repeated rows
-    count, and are scored, each. No training rows: N and V are 0. Counts of all words are kept as a table; the HEAD most
-    frequent go to every task, the rarer ones of a text are joined with it. Further columns play no part.
+    count, and are scored, each. No training rows: N and V are 0. Counts of all words are kept as a table; the most
+    frequent, HEAD at most, go to every task, the rarer ones of a text are joined with it. Further columns play no part.
     """
     spark = docs.sparkSession
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)), F.lit(0))
@@ -342,7 +340,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
     learn = docs.where(fold != HELD)
     counts = cut(learn.select("text").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    size = F.floor(F.log2("c") * 16).cast("int")  # sizes of counts by their logarithm: some hundreds
+    sizes = sorted(((r.size, r.n) for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for k, n in sizes:
+        held += n
+        if held > HEAD:
+            break
+        least = k
+    top = counts.where(size >= least).collect() if least is not None else []
     lexicon = Lexicon([(r.word, r.c) for r in top])
     outside = whole.n - int(lexicon.top.sum())
     model = Gru(lexicon.top, outside)
@@ -359,7 +365,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = docs.mapInArrow(_scored(lexicon, outside, weights, whole.n, whole.v, other), "doc_id long, n_tokens long, n_known long, base double, lm double, rare array<long>, times array<long>")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    tail = counts.where(F.col("c") <= top[-1].c) if len(top) == HEAD else counts.limit(0)
+    tail = counts.where(size < least) if least is not None else counts
     each = rare.join(tail, "word", "left").select("row", "times", F.coalesce("c", F.lit(0)).alias("c"))
     per = each.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"),

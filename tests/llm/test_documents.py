@@ -29,8 +29,8 @@ def docs():
 @pytest.fixture(scope="module")
 def edges(spark):
     """With columns whose names the operators use inside."""
-    rows = [(*r, 1, 2, "x") for r in EDGES]
-    return spark.createDataFrame(rows, DOCS + ", n long, node long, key string")
+    rows = [(*r, 1, 2, "x", "y", 0.5) for r in EDGES]
+    return spark.createDataFrame(rows, DOCS + ", n long, node long, key string, secrets string, stats double")
 
 
 def frame(df, *by):
@@ -160,6 +160,7 @@ def test_secret_links(spark):
     got = scan_secrets(df).toPandas().set_index("doc_id").spans
     assert got[1] == "id:0:12,key:13:26,endpoint:30:54" and got[2] == got[3] == got[4] == got[7] == got[6] == ""
     assert got[5] == "id:0:10,assign:11:25"
+    assert redact(df.withColumns({"row": df.doc_id, "spans": df.text, "clean": df.lang})).where("row = doc_id and clean = lang").count() == len(rows)
     clean = {r.doc_id: r for r in redact(df).collect()}
     assert clean[1].text == "[SECRET] [SECRET] at [SECRET]" and clean[1].n_chars == len(clean[1].text)
     assert clean[6].text is None and clean[2].text == rows[1][1] and redact(df).columns == df.columns
@@ -208,7 +209,7 @@ def test_language_model_rare_words(spark, docs, monkeypatch):
 
     df = spark.createDataFrame(docs.head(60))
     monkeypatch.setattr(lm, "HEAD", 3000)
-    monkeypatch.setattr(lm, "VOCABULARY", 200)
+    monkeypatch.setattr(lm, "VOCABULARY", 50)
     a = frame(lm.score_documents(df), "doc_id")
     monkeypatch.setattr(lm, "HEAD", 200)
     b = frame(lm.score_documents(df), "doc_id")
