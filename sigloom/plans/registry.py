@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.plans import blocks, colours, fields, series, text
+from sigloom.plans import blocks, colours, fields, packing, series, text
 
-MODULES = (blocks, fields, colours, series, text)
+MODULES = (blocks, fields, packing, colours, series, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
