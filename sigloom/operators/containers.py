@@ -14,7 +14,7 @@ from sigloom.operators.neighbours import block_predictions
 
 BUDGET = 1024
 #: First bytes -> kind.
-MAGIC = {b"PRSM": "prism", b"NXV1": "nxv", b"AMC1": "amc", b"SVD1": "svd", b"CPAL": "palette", b"CHYB": "hybrid", b"CPAR": "parametric"}
+MAGIC = {b"PRSM": "planes", b"NXV1": "video", b"AMC1": "small", b"SVD1": "svd", b"CPAL": "palette", b"CHYB": "hybrid", b"CPAR": "parametric"}
 MODES = ("left", "above", "gradient", "paeth", "average", "edge_adaptive", "median3", "extrapolate", "weighted_grad")
 
 
@@ -26,7 +26,7 @@ def kind_of(blob: bytes) -> str:
     return MAGIC.get(bytes(blob[:4]), "standard")
 
 
-def pack_amc(payload: bytes, budget: int | None = BUDGET) -> bytes:
+def pack_small(payload: bytes, budget: int | None = BUDGET) -> bytes:
     """The smallest container over the general coders, the first of equals; raises TooLarge beyond the budget."""
     digest = hashlib.sha256(payload).hexdigest()
     made = []
@@ -40,7 +40,7 @@ def pack_amc(payload: bytes, budget: int | None = BUDGET) -> bytes:
     return best
 
 
-def unpack_amc(blob: bytes) -> bytes:
+def unpack_small(blob: bytes) -> bytes:
     if blob[:4] != b"AMC1" or len(blob) < 7:
         raise ValueError("not such a container")
     if blob[4] != 0:

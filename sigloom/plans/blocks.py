@@ -227,7 +227,7 @@ def _ungradient(r: list[int]) -> np.ndarray:
 
 huffman_roundtrip = _kernel("huffman_roundtrip", "vec_id long, bytes long, ok boolean", _round_trip(lambda b: huffman_encode(b.ravel().tolist()), lambda d, b: np.array(huffman_decode(d)).reshape(8, 8)))
 arith_roundtrip = _kernel("arith_roundtrip", "vec_id long, bytes long, ok boolean", _round_trip(lambda b: encode_residuals(_gradient(b)), lambda d, b: _ungradient(decode_residuals(d, 64))))
-prism_roundtrip = _kernel("prism_roundtrip", "vec_id long, bytes long, ok boolean", _round_trip(lambda b: pack_planes([b]), lambda d, b: unpack_planes(d)[0]))
+planes_roundtrip = _kernel("planes_roundtrip", "vec_id long, bytes long, ok boolean", _round_trip(lambda b: pack_planes([b]), lambda d, b: unpack_planes(d)[0]))
 
 
 def svd_rank_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -671,7 +671,7 @@ SQL["quadtree_splits"] = SQL["quadtree_costs"].replace("select vec_id, level, ca
 QUERIES = [
     block_mode_select, block_mode_grid, block_mode_kernel, pixel_oracle_modes, implicit_mode_select, med_residual_hist, residual_entropy_by_mode, predictor_ranking, context_features_summary,
     residual_context_entropy, mixer_context_hist, lookup_table_predict, block_gradients, block_region_class, smooth_block_fit, quadtree_costs, quadtree_splits, mdl_block_choice, huffman_roundtrip, arith_roundtrip,
-    prism_roundtrip, svd_rank_energy, svd_container_size, tensor_errors, omp_sparsity, ksvd_cost, siren_fit, polynomial_surface, haar_threshold, dtree_accuracy, decision_split, patch_extract, top_patches, knn_exact,
+    planes_roundtrip, svd_rank_energy, svd_container_size, tensor_errors, omp_sparsity, ksvd_cost, siren_fit, polynomial_surface, haar_threshold, dtree_accuracy, decision_split, patch_extract, top_patches, knn_exact,
     vq_assign, vq_cost, kmeans_steps, residual_vq, product_vq, lsh_candidates, region_gradient_fit, top_coefficients, dct_energy, threshold_percentile, psnr_by_level, abs_diff_stats, ssim_tiles, downsample_pyramid,
     hilbert_scan_entropy, omp_first_atom, lossless_antijoin, palette_sizes, block_hash, crop_and_stride, region_mask,
 ]

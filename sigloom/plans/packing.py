@@ -58,7 +58,7 @@ def _from_le(h: Column, at: int, n: int) -> Column:
 
 
 #: Kind -> (magic in hexadecimal, bytes between magic and width, bytes of width and height).
-HEADERS = {"prism": ("5052534D", 1, 4), "nxv": ("4E585631", 0, 4), "svd": ("53564431", 0, 2), "palette": ("4350414C", 0, 2), "hybrid": ("43485942", 3, 2), "parametric": ("43504152", 1, 1), "semantic": ("53454D00", 4, 2)}
+HEADERS = {"planes": ("5052534D", 1, 4), "video": ("4E585631", 0, 4), "svd": ("53564431", 0, 2), "palette": ("4350414C", 0, 2), "hybrid": ("43485942", 3, 2), "parametric": ("43504152", 1, 1), "semantic": ("53454D00", 4, 2)}
 
 
 def container_headers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ def container_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
             fits = []
             for b in batch.column(0).to_pylist():
                 try:
-                    if containers.unpack_amc(containers.pack_amc(b)) != b:
+                    if containers.unpack_small(containers.pack_small(b)) != b:
                         raise AssertionError("a container doesn't give back its payload")
                     fits.append(True)
                 except containers.TooLarge:

@@ -64,16 +64,16 @@ def test_byte_coders():
 
 
 def test_budget_container():
-    assert k.unpack_amc(k.pack_amc(b"hello" * 20)) == b"hello" * 20
+    assert k.unpack_small(k.pack_small(b"hello" * 20)) == b"hello" * 20
     noise = random.Random(0).randbytes(20_000)
     with pytest.raises(k.TooLarge):
-        k.pack_amc(noise)
-    assert k.unpack_amc(k.pack_amc(noise, None)) == noise
-    blob = k.pack_amc(b"x" * 300)
+        k.pack_small(noise)
+    assert k.unpack_small(k.pack_small(noise, None)) == noise
+    blob = k.pack_small(b"x" * 300)
     for bad in (b"XXXX" + blob[4:], blob[:4] + b"\x01" + blob[5:], blob[:-1], b"AMC1"):
         with pytest.raises(Exception):  # noqa: B017, PT011
-            k.unpack_amc(bad)
-    assert k.kind_of(blob) == "amc" and k.kind_of(b"\x89PNG") == "standard" and k.kind_of(b"") == "standard"
+            k.unpack_small(bad)
+    assert k.kind_of(blob) == "small" and k.kind_of(b"\x89PNG") == "standard" and k.kind_of(b"") == "standard"
 
 
 SHAPES = [(1, 1), (1, 9), (9, 1), (13, 9), (8, 8), (16, 24)]

@@ -41,7 +41,7 @@ def run(spark, name):
     return registry.queries()[name](spark, SF).toPandas()
 
 
-@pytest.mark.parametrize("name", ["huffman_roundtrip", "arith_roundtrip", "prism_roundtrip"])
+@pytest.mark.parametrize("name", ["huffman_roundtrip", "arith_roundtrip", "planes_roundtrip"])
 def test_coders_round_trip(spark, name):
     out = run(spark, name)
     assert out.ok.all() and len(out) == 500
