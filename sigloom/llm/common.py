@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of ids that are ever broadcast: 16 bytes each, some 30 MB as a hash relation.
 BROADCAST_ROWS = 500_000
+#: Most rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
 
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -21,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let no Arrow batch of this session hold more than `rows` rows: a batch of texts is then some megabytes, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: later steps start from files that outlive any executor."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/sigloom-{uuid.uuid4().hex}/{name}"
@@ -29,7 +38,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """rows joined (left_semi or left_anti) with distinct ids: broadcast if they are at most BROADCAST_ROWS, else shuffled."""
+    """rows joined with distinct ids, which are cut before: broadcast if they are at most BROADCAST_ROWS, else shuffled."""
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
 

@@ -14,14 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import BROADCAST_ROWS, components, cut, gram_hashes, mix, signed, word_hashes
+from sigloom.llm.common import by_ids, components, cut, gram_hashes, mix, signed, small_batches, word_hashes
 
 SKETCH_WORDS = 8
 #: Members of a group of candidates that one task verifies against the group's first; more are dealt to more tasks.
 SALT_ROWS = 2000
+#: Rounds of comparing neighbours in random orders of the buckets, at most, and rows of a bucket that are ordered together.
+ROUNDS, CHAIN_ROWS = 2, 2000
 #: Nodes that a task remembers in order to emit the pieces of repeated sets once.
 SEEN = 500_000
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -46,11 +48,12 @@ class Bands:
         """(k, slack) of a group: its smaller set is of this band, so it differs by d at most; k = 0: only equal sets link."""
         largest = math.floor(math.exp((band + 1) * self.step)) + 1
         d = largest * (self.den - self.num) // self.num
-        slack = 1 + d // 64
+        empty = (d + 1) * math.exp(-math.exp(band * self.step) / (d + 1))  # as many are expected in the smallest sets
+        slack = 1 + math.ceil(empty + 2 * math.sqrt(empty))
         return (d + 1 + slack, slack) if d else (0, 0)
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """Keys of the pieces under the group of the set's own band and of the one below."""
+        """Keys of the pieces under the group of the set's own band and of the one below; s is sorted."""
         out = []
         for band in {max(0, self.of(len(s)) - 1), self.of(len(s))}:
             k, slack = self.pieces(band)
@@ -60,15 +63,20 @@ class Bands:
             piece = ((mix(s ^ seed) >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             acc = np.zeros(k, np.uint64)
             np.bitwise_xor.at(acc, piece.astype(np.intp), s)
-            keys = mix(acc ^ mix(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(_GOLDEN) ^ seed))
-            empty = acc == 0
-            # of k pieces slack + 1 agree; unless a set has more than slack empty ones, one of those that agree is not empty
-            out.append(keys if empty.sum() > slack else keys[~empty])
+            held = acc != 0
+            out.append(mix(acc ^ mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 32) + np.uint64(1)))[held])
+            if k - held.sum() > slack:
+                # slack + 1 of k pieces agree; where a set has no more than slack empty ones, one that agrees isn't empty. Two sets that
+                # both have more may agree in empty ones alone: they give the first shingles by hash, of which linked sets share one
+                out.append(mix(s[: len(s) - -(-len(s) * self.num // self.den) + 1] ^ mix(np.uint64([band + 1]))))
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * SKETCH_WORDS - 1), minlength=64 * SKETCH_WORDS) & 1
+    """Parity bits in 64-bit words: the least power of two of words that gives a set a bit a shingle, SKETCH_WORDS at least. Folded in
+    halves it is the sketch of half as many words."""
+    words = max(SKETCH_WORDS, 1 << max(0, (len(s) - 1) // 64).bit_length())
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -123,8 +131,26 @@ def _texts(docs: DataFrame, digest: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, text) of the nodes of pairs, one text each: nodes to ids by the digest, ids to texts by a size-checked join."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ids = cut(digest.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node"), "reps")
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id").select("node", F.col("text").cast("binary").alias("text"))
+    return by_ids(docs.select("doc_id", "text"), ids, "doc_id", "inner").select("node", F.col("text").cast("binary").alias("text"))
+
+
+def _facts(digest: DataFrame) -> DataFrame:
+    """(node, n, w, sketch): size, and the sketch folded to SKETCH_WORDS words and whole."""
+    held = digest.where("sketch is not null").dropDuplicates(["node"])
+    fold = F.array(*(F.aggregate(F.sequence(F.lit(i), F.size("sketch") - 1, F.lit(SKETCH_WORDS)), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.col("sketch")[j])) for i in range(SKETCH_WORDS)))
+    return held.select("node", "n", fold.alias("w"), "sketch").select("node", "n", *(F.col("w")[i].alias(f"w{i}") for i in range(SKETCH_WORDS)), "sketch")
+
+
+def _fits(x: str, y: str, num: int, den: int) -> Column:
+    """Whether sizes and sketches of rows x and y allow a link: the Hamming distance bounds the symmetric difference from below."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    short = [F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}"))) for i in range(SKETCH_WORDS)]
+    whole = F.expr(f"""
+      aggregate(sequence(0, least(size({x}.sketch), size({y}.sketch)) - 1), 0, (acc, i) -> acc + bit_count(
+        aggregate(sequence(i, size({x}.sketch) - 1, least(size({x}.sketch), size({y}.sketch))), 0L, (h, j) -> h ^ {x}.sketch[j]) ^
+        aggregate(sequence(i, size({y}.sketch) - 1, least(size({x}.sketch), size({y}.sketch))), 0L, (h, j) -> h ^ {y}.sketch[j])))""")
+    near = lambda far: far * (den + num) <= (nx + ny) * (den - num)
+    return (nx * den >= ny * num) & (ny * den >= nx * num) & near(sum(short[1:], short[0])) & near(whole)
 
 
 def _links(docs: DataFrame, digest: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -140,11 +166,12 @@ def ngram_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id and class_id (a hash of its set).
 
     Two documents link if den * |A and B| >= num * |A or B|; component_id is the smallest doc_id that links reach. Exact: copies
-    share a class; candidates of one bucket are first compared with the bucket's smallest class, and then, where a bucket still
-    holds more than one component, all pairs across its components that sizes and sketches allow. Null or wordless texts: 0
+    share a class; the classes of a bucket are compared with its smallest one, then, where it still holds more than one component,
+    with neighbours in random orders, and in the end all pairs across its components that sizes and sketches allow. Null or wordless texts: 0
     shingles, no links. A null doc_id gets its class's component but is never one. Rows with one doc_id count as separate
     documents. Empty tables give none; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     digest = cut(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_digest(words, num, den), "doc_id long, n long, node long, keys array<long>, sketch array<long>"), "digest")
     index = digest.where("keys is not null").select(F.explode("keys").alias("key"), "node")
@@ -154,11 +181,16 @@ def ngram_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     if pairs.isEmpty():
         groups = pairs.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     else:
-        links = cut(_links(docs, digest, pairs, words, num, den), "links")
-        comps = components(links)
-        links2 = _links(docs, digest, cut(_across(digest, shared, comps, num, den), "pairs2"), words, num, den)
-        more = cut(links2, "links2")
-        groups = comps if more.isEmpty() else components(links.union(more))
+        links = cut(_links(docs, digest, _allowed(digest, pairs, num, den), words, num, den), "links")
+        groups = components(links)
+        for i in range(ROUNDS):
+            more = cut(_links(docs, digest, _allowed(digest, _chained(shared, groups, i), num, den), words, num, den), "chained")
+            if more.isEmpty():
+                break
+            links = cut(links.union(more), "links")
+            groups = components(links)
+        more = cut(_links(docs, digest, cut(_across(digest, shared, groups, num, den), "across"), words, num, den), "last")
+        groups = groups if more.isEmpty() else components(links.union(more))
     sets = digest.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = sets.where("node is not null").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -166,17 +198,38 @@ def ngram_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     return digest.select("doc_id", "n", "node").join(of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").alias("class_id"))
 
 
-def _across(digest: DataFrame, shared: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes that share a bucket, lie in different components so far, and pass the sizes and the sketches."""
+def _allowed(digest: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sizes and sketches allow a link."""
+    facts = _facts(digest)
+    x, y = facts.alias("x"), facts.alias("y")
+    return cut(pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & _fits("x", "y", num, den)).select("a", "b"), "allowed")
+
+
+def _mixed(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, node, comp, parts) of the buckets that hold more than one component so far; parts: by CHAIN_ROWS of the bucket."""
     at = shared.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    facts = digest.where("sketch is not null").dropDuplicates(["node"]).select("node", "n", *(F.col("sketch")[i].alias(f"w{i}") for i in range(SKETCH_WORDS)))
-    rows = cut(at.join(mixed, "key").join(facts, "node"), "mixed")
+    mixed = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / CHAIN_ROWS).alias("parts")).where("c0 < c1").select("key", "parts")
+    return at.join(mixed, "key")
+
+
+def _chained(shared: DataFrame, comps: DataFrame, i: int) -> DataFrame:
+    """Pairs of neighbours in a random order of each mixed bucket, another order in each bucket and round, if their components differ.
+
+    A set has one neighbour or two per bucket: groups of near copies, whose members share many buckets, grow together by pairs in
+    proportion to their rows.
+    """
+    order = F.xxhash64("node", "key", F.lit(i))
+    w = Window.partitionBy("key", F.pmod(F.xxhash64(F.lit(i), "node"), F.col("parts"))).orderBy(order)
+    rows = _mixed(shared, comps).select("node", "comp", F.lag("node").over(w).alias("n2"), F.lag("comp").over(w).alias("c2"))
+    return cut(rows.where("comp != c2").select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct(), "chain")
+
+
+def _across(digest: DataFrame, shared: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of nodes that share a bucket, lie in different components so far, and pass the sizes and the sketches: all that is left to compare."""
+    rows = cut(_mixed(shared, comps).join(_facts(digest), "node"), "mixed")
     x, y = rows.alias("x"), rows.alias("y")
-    far = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
-    nx, ny = F.col("x.n"), F.col("y.n")
-    fits = (nx * den >= ny * num) & (ny * den >= nx * num) & (far * (den + num) <= (nx + ny) * (den - num))
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+    return x.join(y, across & _fits("x", "y", num, den)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -192,11 +245,10 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     out = drop_ids(docs, lost)
     if not many.isEmpty():
         again = cut(many, "many")
-        out = drop_ids(out, again).unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        out = drop_ids(out, again).unionByName(by_ids(docs, again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.select(*names)
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = cut(ids, "ids")
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_anti")
+    """docs whose doc_id isn't one of ids (doc_id, distinct)."""
+    return by_ids(docs, cut(ids, "ids"), "doc_id", "left_anti")
