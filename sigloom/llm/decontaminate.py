@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import cut, gram_hashes, mix, word_hashes
+from sigloom.llm.common import cut, gram_hashes, mix, small_batches, word_hashes
 
 #: Items that are sent to the tasks at once, in expectation; more are searched for in blocks. And the longest run of one item's words that is one unit.
 BLOCK_ITEMS = 20_000
@@ -219,6 +219,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall:
     is shuffled, so that no source or copy is hot. Items over MAX_WORDS words are looked for by their runs of that many. Null and
     wordless texts and items match nothing; repeated documents give repeated rows, repeated items one.
     """
+    small_batches(docs.sparkSession)
     known = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("binary").alias("text")).distinct()
     blocks = -(-known.count() // BLOCK_ITEMS)
     out = docs.sparkSession.createDataFrame([], KIND)

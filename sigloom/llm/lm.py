@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import cut, word_hashes
+from sigloom.llm.common import cut, small_batches, word_hashes
 
 #: The model's vocabulary, its classes of words, the state, and the words whose counts every task holds (rarer ones are joined).
 VOCABULARY, CLASSES, HIDDEN, HEAD = 2000, 44, 16, 100_000
@@ -335,6 +335,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     frequent, HEAD at most, go to every task, the rarer ones of a text are joined with it. Further columns play no part.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)), F.lit(0))
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     learn = docs.where(fold != HELD)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import bounded_sample
+from sigloom.llm.common import bounded_sample, small_batches
 
 #: Bound of the labelled sample: the rows of the smallest hashes of doc_id.
 SAMPLE = 12_000
@@ -160,6 +160,7 @@ def fold(doc_id: str, parts: int) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
     """Fit on at most `sample` labelled documents whose fold is not 0. A document labelled twice takes the larger label."""
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").where(fold("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = bounded_sample(known, "doc_id", sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "quality", text_stats(F.col("text").cast("binary")).alias("s")).dropDuplicates(["doc_id"]).collect()
