@@ -22,9 +22,11 @@ from sigloom.llm.common import cut, small_batches, word_hashes
 
 #: The model's vocabulary, its classes of words, the state, and the words whose counts every task holds (rarer ones are joined).
 VOCABULARY, CLASSES, HIDDEN, HEAD = 2000, 44, 16, 100_000
-#: Rounds of averaging, and the share of the training documents (one in so many, others each round) that a round learns from.
-ROUNDS, ONE_IN = 2, 32
+#: Rounds of averaging: every training document is learnt from in one of them.
+ROUNDS = 2
 LANES, WINDOW = 256, 24
+#: Tokens that a task trains on at once: so many that a long text leaves few lanes idle.
+CHUNK = 1_000_000
 END = "\n"  # the end's token: no word holds white space
 FOLDS, HELD = 7, 2
 
@@ -125,7 +127,7 @@ class Gru:
                 g["b"][a:b] += q.sum(0)
                 ds[rows] += q @ w["w"][a:b]
         ds = ds.reshape(steps, -1, n)
-        back = np.zeros_like(h)
+        back, gates = np.zeros_like(h), [None] * steps
         for t in range(steps - 1, -1, -1):
             old, z, r, rh, cand = kept[t]
             d = ds[t] + back
@@ -136,9 +138,13 @@ class Gru:
             dzr = np.concatenate([dz, dr], 1)
             back = d * (1 - z) + drh * r + dzr @ w["u"][:, : 2 * n].T
             back[fresh[t]] = 0
-            g["u"][:, : 2 * n] += old.T @ dzr
-            g["u"][:, 2 * n :] += rh.T @ dg
-            np.add.at(g["x"], word[t], np.concatenate([dzr, dg], 1))
+            gates[t] = np.concatenate([dzr, dg], 1)
+        gates = np.concatenate(gates)
+        g["u"][:, : 2 * n] = np.concatenate([k[0] for k in kept]).T @ gates[:, : 2 * n]
+        g["u"][:, 2 * n :] = np.concatenate([k[3] for k in kept]).T @ gates[:, 2 * n :]
+        order = np.argsort(word, axis=None, kind="stable")
+        rows, starts = np.unique(word.ravel()[order], return_index=True)
+        g["x"][rows] = np.add.reduceat(gates[order], starts)
         return {k: v / total for k, v in g.items()}, h, float(loss) / total
 
     def pack(self) -> bytes:
@@ -199,17 +205,30 @@ def score_texts(model: Gru, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def train(model: Gru, texts: list[np.ndarray], rate: float, width: int = 32) -> None:
+def train(model: Gru, texts: list[np.ndarray], rate: float, width: int = LANES) -> None:
     """One pass of Adam over the texts."""
     h = np.zeros((max(1, min(width, len(texts))), HIDDEN), np.float32)
-    m = {k: np.zeros_like(v) for k, v in model.weights.items()}
-    s = {k: np.zeros_like(v) for k, v in model.weights.items()}
+    names = list(model.weights)
+    flat = np.concatenate([model.weights[k].ravel() for k in names])
+    m, s, root = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+    ends = np.cumsum([model.weights[k].size for k in names])
+    model.weights = {k: x.reshape(model.weights[k].shape) for k, x in zip(names, np.split(flat, ends[:-1]), strict=True)}  # views of flat
     for i, (before, word, owner, fresh) in enumerate(lanes(texts, width), 1):
         g, h, _ = model.gradients(h[: before.shape[1]], before, word, owner >= 0, fresh)
-        for k, v in g.items():
-            m[k] += 0.1 * (v - m[k])
-            s[k] += 0.005 * (v * v - s[k])
-            model.weights[k] -= (rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(s[k] / (1 - 0.995**i)) + 1e-6)).astype(np.float32)
+        v = np.concatenate([g[k].ravel() for k in names])
+        m *= 0.9
+        np.multiply(v, 0.1, out=root)
+        m += root
+        v *= v
+        v *= 0.005
+        s *= 0.995
+        s += v
+        np.multiply(s, 1 / (1 - 0.995**i), out=root)
+        np.sqrt(root, out=root)
+        root += 1e-6
+        np.divide(m, root, out=root)
+        root *= rate / (1 - 0.9**i)
+        flat -= root
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +286,7 @@ def _taught(lexicon: Lexicon, outside: int, weights: bytes, rate: float):
             for text in batch.column(0).to_pylist():
                 held.append(lexicon.words(lexicon.read(text)[1]))
                 n += len(held[-1])
-                if n >= 100_000:
+                if n >= CHUNK:
                     train(model, held, rate)
                     total, held, n = total + n, [], 0
         if n:
@@ -355,7 +374,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     model = Gru(lexicon.top, outside)
     weights = model.pack()
     for i in range(ROUNDS):
-        some = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ONE_IN)) == i).select("text")
+        some = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == i).select("text")
         taught = cut(some.mapInArrow(_taught(lexicon, outside, weights, 0.01), "n long, weights binary"), "taught")
         for few in (8, 1):
             taught = taught.repartition(few, F.pmod(F.xxhash64("weights"), F.lit(few))).mapInArrow(_averaged, "n long, weights binary")

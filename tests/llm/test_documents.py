@@ -216,6 +216,22 @@ def test_language_model_rare_words(spark, docs, monkeypatch):
     assert (a.n_known == b.n_known).all() and np.allclose(a.base_score, b.base_score) and np.allclose(a.score, b.score, rtol=1e-4)
 
 
+def test_language_model_learns_from_every_document(spark, docs, monkeypatch):
+    """Rounds together train on every token of the training documents once; a table of one document is learnt from too."""
+    from sigloom.llm import lm
+
+    taught, cut = [], lm.cut
+    monkeypatch.setattr(lm, "cut", lambda df, name: [d := cut(df, name), taught.append(d) if name == "taught" else None][0])
+    got = frame(lm.score_documents(spark.createDataFrame(docs)), "doc_id")
+    assert sum(r.n for d in taught for r in d.collect()) == got.train_tokens[0] == got[~got.held_out].n_tokens.sum()
+    for k in range(4):
+        one = spark.createDataFrame([(None, f"some words {k} that come back and some words {k} that come back")], "doc_id long, text string")
+        after = lm.score_documents(one).first().score
+        with monkeypatch.context() as m:
+            m.setattr(lm, "ROUNDS", 0)
+            assert after > lm.score_documents(one).first().score
+
+
 def test_language_model_gradients():
     from sigloom.llm.lm import Gru
 
