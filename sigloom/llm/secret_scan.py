@@ -19,11 +19,18 @@ BASE = {
 }
 #: The weak kinds, and the kinds of which one must lie in scope.
 WEAK = {
-    "id": (r"""(?i:(user|username|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3, "(contains({t}, '=') or contains({t}, ':'))"),
+    "id": (r"""(?i:(user|username|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3, "(contains({t}, '=') or contains({t}, ':'))"),
     "key": (r"""(?i:(pwd|passphrase|credential|auth|bearer|private_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, "(contains({t}, '=') or contains({t}, ':'))"),
     "endpoint": (r"""((?i:https?|ftp|ssh|jdbc:[a-z]{1,20}|postgres|mysql|redis|mongodb|amqp)://[^\s"'<>]+)""", 1, 10, "contains({t}, '://')"),
+    # the identifier of a pair, or its secret: which of the two depends on what stands beside it
+    "access_key": (r"""(?i:((?<!secret)(?<!secret[_-])access[_-]?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)""", 2, 3, "(contains({t}, '=') or contains({t}, ':'))"),
+    "secret_key": (r"""(?i:(secret[_-]?(?:access[_-]?)?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)""", 2, 3, "(contains({t}, '=') or contains({t}, ':'))"),
+    "bare": (r"((?<![A-Za-z0-9/+])(?=[a-z0-9/+]*[A-Z])(?=[A-Z0-9/+]*[a-z])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+]))", 1, 40, "contains({t}, 'AKIA')"),
 }
-NEEDS = {"id": ("assign", "hex", "key"), "key": ("access", "id", "endpoint"), "endpoint": ("assign", "hex", "key")}
+NEEDS = {
+    "id": ("assign", "hex", "key", "access_key", "secret_key"), "key": ("access", "id", "endpoint", "access_key", "secret_key"), "endpoint": ("assign", "hex", "key", "access_key", "secret_key"),
+    "access_key": ("assign", "access", "hex", "id", "key", "endpoint", "secret_key"), "secret_key": ("assign", "access", "hex", "id", "key", "endpoint", "access_key"), "bare": ("access",),
+}
 KINDS = [*BASE, *WEAK]
 
 
