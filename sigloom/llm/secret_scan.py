@@ -1,8 +1,8 @@
 """Secret scan by multipart credential linking, in DataFrame functions only.
 
 Regular expressions name parts: access identifiers, secrets and endpoints, strong ones (base kinds) and weak ones. A weak part is
-reported only where a part that completes it lies in its scope: the grid cell of `cell` code points that holds its start, and the
-two cells beside it. Parts and scopes of a document are joined on the cells inside its row, so that nothing is shuffled, whatever
+reported only where a part that completes it lies in its scope: at most two `cell`s of code points between the end of one and the
+start of the other. Parts and scopes of a document are joined as intervals inside its row, so that nothing is shuffled, whatever
 source or copy is hot.
 """
 
@@ -67,8 +67,19 @@ def _kept(found: Column, k: int, least: int) -> Column:
     return F.transform(F.filter(found, lambda x: x["value"] >= least), lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
 
 
-def _in_cells(spans: Column, cells: Column, cell: int) -> Column:
-    return F.filter(spans, lambda x: F.array_contains(cells, F.floor(x["s"] / cell).cast("int")))
+def _scopes(spans: str, reach: int) -> Column:
+    """array<struct<a, b>>: spans (in order of start) widened by reach at both ends, those that meet as one."""
+    last = "array(named_struct('a', acc.a, 'b', acc.b))"
+    return F.expr(f"""
+      aggregate({spans}, named_struct('done', cast(array() as array<struct<a:int,b:int>>), 'a', cast(null as int), 'b', cast(null as int)),
+        (acc, x) -> if(acc.a is null or x.s - {reach} > acc.b,
+          named_struct('done', if(acc.a is null, acc.done, concat(acc.done, {last})), 'a', x.s - {reach}, 'b', x.e + {reach}),
+          named_struct('done', acc.done, 'a', acc.a, 'b', greatest(acc.b, x.e + {reach}))),
+        acc -> if(acc.a is null, acc.done, concat(acc.done, {last})))""")
+
+
+def _in_scopes(spans: Column, scopes: Column) -> Column:
+    return F.filter(spans, lambda x: F.exists(scopes, lambda y: (x["s"] <= y["b"]) & (x["e"] >= y["a"])))
 
 
 def _count(spans: Column, k: int) -> Column:
@@ -87,10 +98,10 @@ def with_spans(docs: DataFrame, cell: int = 200) -> DataFrame:
         plain = plain.withColumn(f"_s_{kind}", F.when(F.size(f"_l_{kind}") > 0, spans).otherwise(F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")))
     linked = []
     for kind, others in NEEDS.items():
-        cells = F.array_distinct(F.transform(F.concat(*(F.col(f"_s_{o}") for o in others)), lambda x: F.floor(x["s"] / cell).cast("int")))
-        near = F.array_distinct(F.flatten(F.transform(cells, lambda c: F.array(c - 1, c, c + 1))))
-        plain = plain.withColumn(f"_n_{kind}", F.when(F.size(f"_s_{kind}") > 0, near).otherwise(F.expr("cast(array() as array<int>)")))
-        linked.append(_in_cells(F.col(f"_s_{kind}"), F.col(f"_n_{kind}"), cell))
+        beside = f"array_sort(concat({', '.join(f'`_s_{o}`' for o in others)}))"
+        scopes = F.when(F.size(f"_s_{kind}") > 0, _scopes(beside, 2 * cell)).otherwise(F.expr("cast(array() as array<struct<a:int,b:int>>)"))
+        plain = plain.withColumn(f"_n_{kind}", scopes)
+        linked.append(_in_scopes(F.col(f"_s_{kind}"), F.col(f"_n_{kind}")))
     base = F.array_sort(F.concat(*(F.col(f"_s_{k}") for k in BASE)))
     every = F.array_sort(F.concat(*(F.col(f"_s_{k}") for k in BASE), *linked))
     return plain.select("row", "text", F.struct(base.alias("base"), every.alias("all")).alias("secrets"))

@@ -183,6 +183,20 @@ def test_secret_pairs(spark):
     assert all(got[i] == "" and clean[i] == rows[i - 1][1] for i in (5, 6, 7))
 
 
+def test_secret_scopes_reach_from_ends(spark):
+    """What lies between two parts counts, not their starts or their place on a grid."""
+    from sigloom.llm.secret_scan import redact, scan_secrets
+
+    long = "token=" + "aB3." * 500
+    made = [(1, f"{long} https://api.example.com/v1 user=alice"), (2, f"user=alice https://api.example.com/v1 {long}")]
+    made += [(100 * n + at, "." * at + " user=alice" + " " * n + "token=abcdef12") for n in (390, 400, 401, 500) for at in (0, 50, 99)]
+    df = spark.createDataFrame([(i, t, "e", "s", len(t)) for i, t in made], DOCS)
+    got = scan_secrets(df).toPandas().set_index("doc_id").spans
+    clean = {r.doc_id: r.text for r in redact(df).collect()}
+    assert clean[1] == clean[2] == "[SECRET] [SECRET] [SECRET]"
+    assert all(("id:" in got[i]) == (i < 40_100) for i, _ in made[2:])
+
+
 def test_licenses(spark, docs, edges):
     from sigloom.llm.license_scan import PHRASES, compile_template, scan_licenses
 
