@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|title|textarea|iframe|select|button|object|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*(?<=/)>"""
+    r"""|<(?P<raw>script|style|noscript|template|svg|title|textarea|iframe|select|button|object|math)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""",
     re.S | re.I,
 )

@@ -65,6 +65,14 @@ SHAPES = {
 }
 
 
+@pytest.mark.parametrize("ahead", ["<svg-icon name='x'></svg-icon>", "<button-group class='b'></button-group>", "<select-box></select-box>", "<title-bar></title-bar>", "<template-x a=1></template-x>", "<object-y></object-y>", "<svg class='i'/>", "<svg/>", "<SVG viewBox='0 > 1' />", "<math display='block'/>", "<svg class='i'><title>no</title><path d='M0'/></svg>", "<script src='/a/b'></script>", "<script/>no</script>", "<math><mi/></math>"])
+def test_main_text_after_elements_named_like_raw_ones(ahead):
+    from sigloom.llm.html_text import main_text
+
+    words = "The main story has a good many words in it, as stories do, and goes on."
+    assert main_text(f"<body>{ahead}<article><h1>T</h1>{_P}{ahead}{_P}</article></body>") == f"T {words} {words}"
+
+
 @pytest.mark.parametrize("shape", SHAPES)
 def test_main_text_of_shapes(shape):
     from sigloom.llm.html_text import main_text
