@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -54,6 +55,15 @@ def bounded_sample(rows: DataFrame, id_col: str, n: int, *ties: str) -> DataFram
     return few.orderBy(h, id_col, *ties).limit(n)
 
 
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs (start, end) of rows whose sizes add up to some `most`, one row at least, that cover all rows."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most)))
+        yield a, b
+        a = b
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit (the well-known 64-bit finaliser)."""
     x = (x ^ (x >> _S33)) * _C1

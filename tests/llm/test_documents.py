@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sigloom.llm import queries
 
@@ -259,10 +260,58 @@ def test_language_model_learns_from_every_document(spark, docs, monkeypatch):
         one = spark.createDataFrame([(None, f"some words {k} that come back and some words {k} that come back")], "doc_id long, text string")
         after = lm.score_documents(one).first().score
         with monkeypatch.context() as m:
-            m.setattr(lm, "ROUNDS", 0)
+            m.setattr(lm, "_learnt", lambda rows, top, outside, tokens: lm.Gru(top, outside).pack())
             assert after > lm.score_documents(one).first().score
 
 
+def test_language_model_is_a_function_of_the_table(spark, docs, monkeypatch):
+    """Weights, and so scores, don't depend on how the table is split or ordered, with several parts a round."""
+    from sigloom.llm import lm
+
+    monkeypatch.setattr(lm, "PART", 3000)
+    df = spark.createDataFrame(docs)
+    a, b = (frame(lm.score_documents(df.orderBy(F.xxhash64("doc_id")).repartition(n)), "doc_id") for n in (4, 37))
+    assert np.allclose(a.score, b.score, rtol=1e-6) and (a.drop(columns=["score", "base_score"]) == b.drop(columns=["score", "base_score"])).all().all()
+
+
+def test_language_model_words_of_one_frequency(spark, monkeypatch):
+    """A size of counts that holds more words than the head is split, not left out."""
+    from sigloom.llm import lm
+
+    taken = []
+    lexicon = lm.Lexicon
+    monkeypatch.setattr(lm, "Lexicon", lambda rows: [x := lexicon(rows), taken.append((len(rows), x.size))][0])
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 1000, i * 1000 + 1000))) for i in range(180)]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert 0.98 * lm.HEAD < taken[0][0] < 1.02 * lm.HEAD and taken[0][1] == lm.VOCABULARY
+    assert (got[~got.held_out].n_known == 1001).all() and np.isfinite(got.score).all()
+
+
+def test_language_model_beats_its_base(spark):
+    """Held-out texts are likelier to the network than to the counts alone."""
+    from sigloom.llm.lm import score_documents
+
+    got = score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    held = got[got.held_out]
+    assert held.score.sum() / held.n_tokens.sum() > held.base_score.sum() / held.n_tokens.sum() + 0.02
+
+
+def test_language_model_learns_long_texts_in_pieces():
+    from sigloom.llm.lm import Adam, Gru, PIECE
+
+    seen = []
+
+    class Told(Gru):
+        def gradients(self, h, word, target, live, fresh):
+            seen.append((int(live.sum()), h.shape[0]))
+            return super().gradients(h, word, target, live, fresh)
+
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 9, n) for n in (20_000, 3, 700)]
+    Adam(Told(np.array([9.0, 7, 5, 5, 3, 2, 1, 1]), 4), 0.01).learn(texts)
+    assert sum(n for n, _ in seen) == 20_703 and len(seen) <= -(-PIECE // 24) + 1
+
+
 def test_language_model_gradients():
     from sigloom.llm.lm import Gru
 
