@@ -1,8 +1,9 @@
 """Main text of web pages by a tree-structured graphical model.
 
-Block elements are nodes with two states, content and not. A node's potential comes from its tag, its class and id words, and its
-links; a parent and its child share a potential. One upward and one downward pass of sum-product messages give exact marginals. All
-potentials are smoothed counts over labelled pages (_layouts).
+Block elements, and inline ones whose class, id or role words are telling, are nodes with two states, content and not. A node's potential
+comes from what it is and holds: tag, class, id and role words, length, links, sentences, headings, depth. A parent and its child
+share a potential, one table for each kind of child. One upward and one downward pass of sum-product messages give exact marginals. All
+weights are fitted together, by the gradient of the labelled pages' likelihood, which the same messages give.
 """
 
 from __future__ import annotations
@@ -10,261 +11,411 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*(?<=/)>"""
-    r"""|<(?P<raw>script|style|noscript|template|svg|title|textarea|iframe|select|button|object|math)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""",
-    re.S | re.I,
-)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+from sigloom.llm.common import small_batches
+from sigloom.llm.html_layouts import labelled_pages
+
+_NAMES = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LABEL = re.compile(r'data-y="([01])"')
-_WORDS = re.compile(r"[a-z]+")
-#: Fixed lists: block elements, and the open elements that a start tag closes.
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved", re.I)
+_START = re.compile(r"[a-zA-Z][^\s/>]*")
+_STEP = re.compile(r"""[>"']""")
+_VALUE = re.compile(r"=\s*\Z")
+#: Fixed lists: block elements; those whose start closes open ones, and which; elements of raw text; elements whose content isn't text of the page.
 BLOCKS = set(
     "html head body div article section main nav header footer aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset "
     "blockquote pre figure figcaption address details summary dialog center hgroup search".split()
 )
-_CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
-_HOLDS = {"table", "ul", "ol", "dl", "div", "article", "section", "body"}
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
+_IMPLIED = {"p", "li", "dt", "dd", "thead", "tbody", "tfoot", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"}
+_RAW = {"script", "style", "title", "textarea"}
+_DROPPED = {"noscript", "template", "svg", "iframe", "select", "button", "object"}
+_VOID = {"area", "base", "col", "embed", "img", "input", "link", "meta", "source", "track", "wbr"}
+_ENDS = re.compile("</(" + "|".join(sorted(_DROPPED)) + r")(?=[\s/>])", re.I)
+_RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in _RAW}
 #: Fixed lists: words of class, id and role attributes that say alike things.
 HINTS = {
-    "ad": "ad ads adsbygoogle adv advert adverts advertisement banner sponsor sponsored promo promoted promotion outbrain taboola commercial dfp",
+    "ad": "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion outbrain taboola commercial dfp",
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager tabs toolbar toc skip",
-    "foot": "footer foot bottom copyright legal colophon contentinfo imprint",
-    "head": "header head masthead topbar logo branding hero",
-    "side": "sidebar side aside related recommended widget rail complementary trending popular share social tags",
-    "talk": "comment comments commentlist reply replies respond disqus discussion thread reactions",
+    "foot": "footer foot copyright colophon contentinfo imprint",
+    "head": "header head masthead topbar logo",
+    "side": "sidebar side aside related recommended widget rail complementary trending sharing social tags",
+    "talk": "comment comments commentlist reply replies respond disqus reactions",
     "note": "cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup alert paywall login form search dialog banner",
-    "text": "article content post entry story text main body prose copy page",
+    "text": "article content post entry story text main body prose",
 }
+#: Fixed list: words beside a telling one that take nothing from it.
+_SHELL = set("box slot wrap wrapper container block area list item items unit inner outer button buttons bar col column row site form panel holder group".split())
 _HINT = {w: k for k, ws in HINTS.items() for w in ws.split()}
+#: Kinds of nodes: text that goes with what holds it, text that only the page as a whole holds, what groups texts, and boxes, which may well
+#: differ from what holds them.
+_TEXTS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption summary pre address".split())
+_GROUPS = set("ul ol dl table thead tbody tfoot tr blockquote figure hgroup center".split())
+KINDS = ("text", "loose", "group", "box")
 
 
 class Node:
-    __slots__ = ("names", "own", "parent", "links", "tag", "truth")
+    __slots__ = ("names", "own", "parent", "links", "tag", "truth", "marks", "rights", "form")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: int, truth: int, holder: str = ""):
+        self.form = (1 if holder in ("#", "html", "body") else 0) if tag in _TEXTS else 2 if tag in _GROUPS else 3  # index in KINDS
+        self.tag, self.names, self.parent, self.truth = tag, names, parent, truth
+        self.own = self.links = self.marks = self.rights = 0
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name in lower case, whether it ends an element, attributes) of every piece of markup; name "" of comments and the like.
+
+    One pass: what is looked for and not there once is not looked for again, so that broken markup costs no more than whole.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while (at := page.find("<", at)) >= 0:
+        ahead = page[at + 1 : at + 4]
+        if ahead == "!--":
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = end
+            continue
+        ends = ahead[:1] == "/"
+        name = _START.match(page, at + 1 + ends) if at < last else None
+        if at > last:
+            at += 1
+            continue
+        if not name:
+            if ends or ahead[:1] in ("!", "?"):
+                end = page.find(">", at) + 1
+                yield at, end, "", ends, ""
+                at = end
+            else:
+                at += 1
+            continue
+        i = start = name.end()
+        while quotes:
+            m = _STEP.search(page, i)
+            if not m:
+                quotes, i = False, -1
+            elif m[0] == ">":
+                i = m.start()
+                break
+            elif _VALUE.search(page, max(start, m.start() - 8), m.start()):
+                i = page.find(m[0], m.end()) + 1
+                if not i:
+                    quotes = False
+            else:
+                i = m.end()
+        if not quotes:  # a quote or a tag is open to the page's end: from here on > ends tags, wherever it stands
+            i = page.find(">", start)
+        tag = name[0].lower()
+        if tag in _RAW and not ends and not (tag == "title" and page[i - 1] == "/"):
+            end = _RAW_END[tag].search(page, i)  # not closed: to the page's end
+            i = page.find(">", end.end()) if end else -1
+            i = len(page) if i < 0 else i + 1
+            yield at, i, "", False, ""
+            at = i
+            continue
+        yield at, i + 1, tag, ends, page[start:i]
+        at = i + 1
 
-    def __init__(self, tag: str, names: str, parent: int, truth: int):
-        self.tag, self.names, self.parent, self.truth, self.own, self.links = tag, names, parent, truth, 0, 0
 
+def _named(attrs: str) -> tuple[str, ...]:
+    """Names in class, id and role attributes."""
+    return tuple(x for t in _NAMES.findall(attrs) for v in t[1:] for x in v.split())
 
-#: Elements that hold nothing, and what an inline element must say to stand apart from the text around it.
-_VOID = {"area", "base", "col", "embed", "img", "input", "link", "meta", "source", "track", "wbr"}
-_APART = {"says:ad", "says:side", "says:talk", "says:note", "says:menu", "says:foot"}
 
-
-def _named(attrs: str) -> str:
-    return " ".join(x for t in _NAMES.findall(attrs) for x in t)
+@lru_cache(65536)
+def _says(names: tuple[str, ...]) -> tuple[str, ...]:
+    """What names say: a name of telling words alone says it, one of others too has a part that does."""
+    out = set()
+    for name in names:
+        words = [w.lower() for w in _WORDS.findall(name)]
+        sure = all(v in _HINT or v in _SHELL for v in words)
+        out |= {("says:" if sure else "part:") + _HINT[w] for w in words if w in _HINT}
+    return tuple(sorted(out))
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block nodes, parents first, and the runs of text in page order, each with its node. Markup may be broken in any way."""
-    nodes, runs = [Node("#", "", -1, -1)], []
+    """Nodes, parents first, and the runs of text in page order, each with its node. Markup may be broken in any way."""
+    nodes, runs = [Node("#", (), -1, -1)], []
     stack, parts, at, linked = [0], [], 0, 0
-    boxes: list[list] = []  # inline elements that stand apart: [node, tag, how many of the tag are open]
+    blocks = [0]  # places in the stack of its block elements
+    opened: Counter = Counter()
+    boxes: list[list] = []  # open inline nodes: [place in the stack, tag, how many of the tag are open]
+    last_end = {m[1].lower(): m.start() for m in _ENDS.finditer(page)}
+    dropped, depth, inner = "", 0, Counter()  # the element whose content is left out, how many of its name are open, and the blocks in it
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
             runs.append((stack[-1], text))
-            nodes[stack[-1]].own += len(text)
+            n = nodes[stack[-1]]
+            n.own += len(text)
+            n.marks += sum(map(text.count, (". ", "! ", "? ", "… "))) + (text[-1] in ".!?…")
+            n.rights |= bool(_RIGHTS.search(text[:200]))
 
     def shut(i: int) -> None:
         flush()
+        for n in stack[i:]:
+            opened[nodes[n].tag] -= 1
         del stack[i:]
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+        while blocks[-1] >= i:
+            blocks.pop()
+        while boxes and boxes[-1][0] >= i:
+            boxes.pop()
+
+    def open_node(tag: str, names: tuple[str, ...], attrs: str) -> None:
+        said = _LABEL.search(attrs) if "data-y" in attrs else None
+        nodes.append(Node(tag, names, stack[-1], int(said[1]) if said else nodes[stack[-1]].truth, nodes[stack[-1]].tag))
+        stack.append(len(nodes) - 1)
+        opened[tag] += 1
+
+    for start, end, tag, ends, attrs in _tokens(page):
+        if not dropped and start > at:
+            parts.append(page[at:start])
             if linked:
-                nodes[stack[-1]].links += m.start() - at
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
+                nodes[stack[-1]].links += start - at
+        at = end
+        if dropped:
+            if tag == dropped:
+                depth += -1 if ends else not attrs.endswith("/")
+                dropped = dropped if depth else ""
+                continue
+            if not ends:
+                inner[tag] += tag in BLOCKS
+                continue
+            if tag not in BLOCKS or inner[tag]:
+                inner[tag] -= 1
+                continue
+            if not opened[tag]:
+                continue
+            dropped = ""  # not closed itself, but what holds it is
+        if not tag or tag in _RAW:
             continue
-        if tag in ("br", "hr"):
+        if tag in _DROPPED:
+            if not ends and not attrs.endswith("/") and start < last_end.get(tag, -1):
+                dropped, depth, inner = tag, 1, Counter()
+            if tag in ("select", "button"):
+                parts.append(" ")
+        elif tag in ("br", "hr"):
             parts.append(" ")
         elif tag == "a":
-            linked = not m["end"]
+            linked = not ends
         elif tag in BLOCKS:
             linked = 0
-            if m["end"]:
-                i = next((i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].tag == tag), 0)
-                if i:
-                    shut(i)
+            if ends:
+                if opened[tag]:
+                    i = len(blocks) - 1
+                    while nodes[stack[blocks[i]]].tag != tag:
+                        i -= 1
+                    shut(blocks[i])
                 else:
                     flush()
                 continue
             flush()
-            for i in range(len(stack) - 1, 0, -1):
-                name = nodes[stack[i]].tag
-                if name in _CLOSES.get(tag, ("p", "h1", "h2", "h3", "h4", "h5", "h6")):
-                    shut(i)
-                elif name in _HOLDS or tag not in _CLOSES:
-                    break
-            names = _named(m["attrs"]) if m["attrs"] else ""
-            said = _LABEL.search(m["attrs"]) if "data-y" in m["attrs"] else None
-            nodes.append(Node(tag, names, stack[-1], int(said[1]) if said else nodes[stack[-1]].truth))
-            stack.append(len(nodes) - 1)
-        elif m["end"]:
+            if opened["head"] and tag != "head":
+                shut(next(i for i in blocks if nodes[stack[i]].tag == "head"))
+            if opened["p"] and nodes[stack[blocks[-1]]].tag == "p":
+                shut(blocks[-1])
+            elif tag[0] == "h" and tag[1:].isdigit() and re.fullmatch("h[1-6]", nodes[stack[blocks[-1]]].tag):
+                shut(blocks[-1])
+            if tag in _CLOSES:
+                i, shuts = len(blocks) - 1, 0
+                while i > 0 and (name := nodes[stack[blocks[i]]].tag) in _IMPLIED:
+                    if name in _CLOSES[tag]:
+                        shuts = i
+                        if tag == "li" or name == tag:
+                            break
+                    i -= 1
+                if shuts:
+                    shut(blocks[shuts])
+            open_node(tag, _named(attrs) if attrs else (), attrs)
+            blocks.append(len(stack) - 1)
+        elif ends:
             if boxes and boxes[-1][1] == tag:
                 boxes[-1][2] -= 1
                 if not boxes[-1][2]:
-                    i = boxes.pop()[0]
-                    if i in stack:
-                        shut(stack.index(i))
+                    shut(boxes[-1][0])
         elif boxes and boxes[-1][1] == tag:
             boxes[-1][2] += 1
-        elif m["attrs"] and tag not in _VOID and (names := _named(m["attrs"])) and set(_kinds(tag, names)) & _APART:
+        elif attrs and tag not in _VOID and (names := _named(attrs)) and _says(names):
             flush()
-            nodes.append(Node(tag, names, stack[-1], nodes[stack[-1]].truth))
-            stack.append(len(nodes) - 1)
-            boxes.append([len(nodes) - 1, tag, 1])
-    parts.append(page[at:])
+            open_node(tag, names, attrs)
+            boxes.append([len(stack) - 1, tag, 1])
+    if not dropped:
+        parts.append(page[at:])
     flush()
     return nodes, runs
 
 
-@lru_cache(65536)
-def _kinds(tag: str, names: str) -> tuple[str, ...]:
-    said = {_HINT[w] for w in _WORDS.findall(names.lower()) if w in _HINT}
-    return ("tag:" + ("h" if re.fullmatch("h[1-6]", tag) else tag), *(f"says:{k}" for k in (said or {"-"})))
-
-
-def _features(n: Node) -> tuple[str, ...]:
-    return (*_kinds(n.tag, n.names), "none" if not n.own else "linked" if n.links * 2 > n.own else "plain")
+def _named_tag(tag: str) -> str:
+    return "h" if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else tag if tag in BLOCKS else "inline"
+
+
+def describe(nodes: list[Node]) -> list[tuple[str, ...]]:
+    """The features of each node, from itself and all below it, in time proportional to their number."""
+    n = len(nodes)
+    size, links, marks, heads, paras, depth = ([0] * n for _ in range(6))
+    for i in range(n - 1, -1, -1):
+        x = nodes[i]
+        size[i] += x.own
+        links[i] += min(x.links, x.own)
+        marks[i] += x.marks
+        heads[i] += x.tag == "h1"
+        paras[i] += x.tag == "p" and x.own > 0
+        if i:
+            p = x.parent
+            size[p] += size[i]
+            links[p] += links[i]
+            marks[p] += marks[i]
+            heads[p] += heads[i]
+            paras[p] += paras[i]
+    whole = max(1, size[0])
+    out = []
+    for i, x in enumerate(nodes):
+        depth[i] = depth[x.parent] + 1 if i else 0
+        tag, form = f"tag:{_named_tag(x.tag)}", KINDS[x.form]
+        if not size[i]:
+            out.append((tag, "empty"))
+            continue
+        link = links[i] / size[i]
+        held = [tag, *_says(x.names), f"{form}:links{(link > 0) + (link >= 0.3) + (link >= 0.7)}"]
+        if x.rights:
+            held.append(f"{form}:rights")
+        if x.form > 1:
+            share = size[i] / whole
+            held += [f"{form}:marks{(marks[i] > 0) + (marks[i] > 2) + (marks[i] > 8)}", f"{form}:share{(share >= 0.03) + (share >= 0.15) + (share >= 0.5)}", f"{form}:long{(size[i] > 60) + (size[i] > 300) + (size[i] > 1200)}"]
+        if x.form == 3:
+            held += [f"box:heads{min(heads[i], 1)}", f"box:paras{(paras[i] > 0) + (paras[i] > 2)}", f"box:depth{min(depth[i], 4)}", "names" if x.names else "nameless"]
+        out.append(tuple(held))
+    return out
 
 
 class TreeModel:
-    """Log potentials: of each feature in either state, and of (parent's state, child's state)."""
-
-    def __init__(self, pages: list[str]):
-        seen: dict[str, list[float]] = defaultdict(lambda: [0.2, 0.2])
-        pairs, states = Counter(), [1.0, 1.0]
-        for page in pages:
-            nodes, _ = parse(page)
-            holds = [n.truth == 1 for n in nodes]
-            for i in range(len(nodes) - 1, 0, -1):  # what holds content is content
-                holds[nodes[i].parent] |= holds[i]
-            for i, n in enumerate(nodes[1:], 1):
-                states[holds[i]] += 1
-                pairs[holds[n.parent], holds[i]] += 1
-                for f in _features(n):
-                    seen[f][holds[i]] += 1
-        self.odds = {f: math.log(c[1] / states[1]) - math.log(c[0] / states[0]) for f, c in seen.items()}
-        # a plain paragraph, list item or division says nothing of itself, however many there are: what holds it does
-        for tag, own in (("tag:p", "plain"), ("tag:li", "plain"), ("tag:div", "none")):
-            self.odds[tag] = -self.odds["says:-"] - self.odds[own]
-        self.edge = [[(pairs[a, b] + (0.2 if a or not b else 0.02)) / (pairs[a, False] + pairs[a, True] + 0.4) for b in (False, True)] for a in (False, True)]
+    """weights: of features, for content against not; edges: of (kind of child, parent's state, child's state), as log potentials."""
+
+    def __init__(self, weights: dict[str, float], edges: list[list[list[float]]]):
+        self.weights, self.edges = weights, edges
+        self.tables = [[[math.exp(v) for v in row] for row in table] for table in edges]
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability of content of each node: sum-product, children to parents and back."""
-        n = len(nodes)
-        own = [math.exp(max(-40.0, min(40.0, sum(self.odds.get(f, 0.0) for f in _features(x))))) for x in nodes]
-        own[0] = 1.0
-        (e00, e01), (e10, e11) = self.edge
-        belief, up = own[:], [1.0] * n  # odds of content over not; up[i]: the message of i to its parent, as odds
+        n, w = len(nodes), self.weights
+        belief = [math.exp(max(-40.0, min(40.0, sum(w.get(f, 0.0) for f in fs)))) for fs in describe(nodes)]
+        belief[0] = 1.0
+        kinds = [x.form for x in nodes]
+        up = [1.0] * n  # odds of content over not; up[i]: the message of i to its parent, as odds
         for i in range(n - 1, 0, -1):
+            (e00, e01), (e10, e11) = self.tables[kinds[i]]
             b = belief[i]
             up[i] = (e10 + e11 * b) / (e00 + e01 * b)
             p = nodes[i].parent
             belief[p] = min(1e30, max(1e-30, belief[p] * up[i]))
         full = belief[:]
         for i in range(1, n):
+            (e00, e01), (e10, e11) = self.tables[kinds[i]]
             rest = full[nodes[i].parent] / up[i]
-            full[i] = belief[i] * (e01 + e11 * rest) / (e00 + e10 * rest)
-            full[i] = min(1e30, max(1e-30, full[i]))
+            full[i] = min(1e30, max(1e-30, belief[i] * (e01 + e11 * rest) / (e00 + e10 * rest)))
         return [x / (1 + x) for x in full]
 
 
-_P = "A sentence of the story that the page is there to tell, with some more words in it. "
-_MENU = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About</a></li></ul>'
-
-
-_BOXES = (
-    "ad", "advert", "sponsored", "promo banner", "newsletter", "cookie notice", "related", "share social", "comments", "sidebar", "popup", "subscribe", "menu", "breadcrumb", "footer", "copyright", "masthead", "header", "login form", "widget", "replies",
-)
-
-
-def _layouts() -> list[str]:
-    """Labelled pages: data-y="1" marks the article, data-y="0" what isn't, inside it too."""
-    body = lambda k: "".join(f"<p>{_P * (1 + i % 3)}</p>" for i in range(k)) + "<p>Short one.</p><p>" + _P * 6 + "</p>"
-    lists = f"<h2>Part</h2><p><a href='/q'>A whole line that is a link</a></p><ul><li>{_P}</li><li>A point</li></ul><ol><li>{_P}</li><li>A point</li></ol><blockquote>{_P}</blockquote><pre>some code</pre><table><tr><th>Key</th><td>Value</td></tr></table><figure><figcaption>{_P}</figcaption></figure><dl><dt>Term</dt><dd>{_P}</dd></dl>"
-    filler = lambda k: "".join(f"<p>{_P * (1 + (i + k) % 4)}</p>" for i in range(1 + k % 5)) + "<p>OK</p>" * (k % 3 == 0)
-    extras = [f'<div class="{w}" data-y="0">{t}</div>' for k, w in enumerate(_BOXES) for t in (filler(k), _P, f"<h3>More</h3>{filler(k + 2)}<ul><li><a href='/d'>Other</a></li><li>{_P}</li></ul>")]
-    extras += [f'<section id="comments" class="comment list" data-y="0"><h3>Comments</h3><div class="comment">{filler(k)}</div><ol><li class="comment"><p>{_P * 2}</p></li></ol></section>' for k in range(4)]
-    extras += [f'<{t} data-y="0">{x}</{t}>' for t in ("aside", "form", "dialog", "footer", "header", "nav", "aside", "form") for k in range(4) for x in (filler(k), f"<h3>More</h3><div>{filler(k + 1)}</div>", _P)]
-    extras += [f'<div role="alert" class="notice" data-y="0">{_P}</div>', f'<details class="comments" data-y="0"><summary>Comments</summary>{filler(3)}</details>']
-    out = []
-    for k, extra in enumerate(extras):
-        top = f'<nav data-y="0">{_MENU}</nav>' if k % 3 else f'<header class="header" data-y="0"><h1><a href="/">Site</a></h1><p>The site of sites</p><nav>{_MENU}</nav></header>'
-        foot = f'<footer data-y="0"><p>&copy; Site. {_P}</p></footer>' if k % 2 else '<footer data-y="0">&copy; Site &middot; A line of words at the foot.</footer>'
-        points = f"<ul>{f'<li>{_P}</li>' * 4}</ul><ol>{f'<li>{_P * 2}</li>' * 3}</ol>"
-        text = f"<h1>A headline of words</h1>{'' if k % 6 == 5 else body(1 + k % 5)}{lists if k % 2 else ''}{points if k % 3 == 2 else ''}"
-        extra += extras[(7 * k + 3) % len(extras)]
-        inner, outer = (extra, "") if k % 4 in (0, 1) else ("", extra)
-        shape = k % 7
-        if shape in (0, 1):
-            main = f'<article data-y="1">{text}{inner}</article>{outer}'
-        elif shape == 2:
-            main = f'<main><div class="content" data-y="1">{text}{inner}</div>{outer}</main>'
-        elif shape == 3:
-            main = f'<div id="page"><div class="post" data-y="1">{text}{inner}</div>{outer}</div>'
-        elif shape in (5, 6):  # wrappers that say nothing
-            side = f'<div class="col" data-y="0"><div class="sidebar">{extra}{filler(k)}</div></div>' if shape == 5 else f'<div class="col sidebar" data-y="0">{filler(k + 1)}</div>'
-            main = f'<div class="wrapper"><div class="row"><div class="col" data-y="1">{text}</div>{side}</div>{outer}</div>'
-        else:
-            main = f'{outer}<main><article class="post" data-y="1"><header><h1>A headline</h1></header><section>{text}</section>{inner}</article></main>'
-        plain = f'<p data-y="0">All rights reserved.</p>' if k % 7 == 3 else ""
-        out.append(f"<!DOCTYPE html><html><head><title>Site</title></head><body>{top}{main}{plain}{foot}</body></html>")
-    return out
+def fit_tree(pages: list[str], steps: int = 600, rate: float = 0.3, ridge: float = 0.1) -> TreeModel:
+    """Weights of the greatest penalised likelihood of pages whose markup says data-y="1" (content) or "0"; what says neither goes
+    with what holds it, and what holds content is content. All pages' trees run as one forest, level by level, messages as log odds."""
+    parent, truth, kind, feats = [], [], [], []
+    for page in pages:
+        nodes, _ = parse(page)
+        holds = [x.truth == 1 for x in nodes]
+        for i in range(len(nodes) - 1, 0, -1):
+            holds[nodes[i].parent] |= holds[i]
+        at = len(parent)
+        parent += [x.parent + at if x.parent >= 0 else -1 for x in nodes]
+        truth += holds
+        kind += [x.form for x in nodes]
+        feats += [(), *describe(nodes)[1:]]
+    names = sorted({f for fs in feats for f in fs})
+    if not names:
+        return TreeModel({}, np.zeros((len(KINDS), 2, 2)).tolist())
+    place = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(parent), len(names)))
+    for i, fs in enumerate(feats):
+        x[i, [place[f] for f in fs]] = 1
+    parent, truth, kind = np.array(parent), np.array(truth, int), np.array(kind)
+    depth = np.zeros(len(parent), int)
+    for i in np.flatnonzero(parent >= 0):
+        depth[i] = depth[parent[i]] + 1
+    order = np.argsort(depth, kind="stable")  # parents first, level by level
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    x, truth, kind, parent = x[order], truth[order], kind[order], np.where(parent >= 0, place[parent], -1)[order]
+    ends = np.searchsorted(depth[order], np.arange(depth.max() + 2))
+    levels = [slice(a, b) for a, b in zip(ends[1:], ends[2:], strict=False)]
+    child = slice(ends[1], len(order))
+    w, e = np.zeros(len(names)), np.zeros((len(KINDS), 2, 2))
+    moments = [np.zeros_like(v) for v in (w, w, e, e)]
+    want_w, cells = x.T @ truth, kind[child] * 4
+    count = lambda at, weight=None: np.bincount(at, weight, e.size)
+    want_e = count(cells + truth[parent[child]] * 2 + truth[child]).reshape(e.shape)
+    for t in range(1, steps + 1):
+        of = e[kind]
+        e00, e01, e10, e11 = of[:, 0, 0], of[:, 0, 1], of[:, 1, 0], of[:, 1, 1]
+        inside, up = x @ w, np.zeros(len(x))
+        for level in reversed(levels):
+            b = inside[level]
+            up[level] = np.logaddexp(e10[level], e11[level] + b) - np.logaddexp(e00[level], e01[level] + b)
+            above = slice(int(parent[level].min()), int(parent[level].max()) + 1)
+            inside[above] += np.bincount(parent[level] - above.start, up[level], above.stop - above.start)
+        full = inside.copy()
+        rest = np.zeros(len(x))
+        for level in levels:
+            rest[level] = r = full[parent[level]] - up[level]
+            full[level] = inside[level] + np.logaddexp(e01[level], e11[level] + r) - np.logaddexp(e00[level], e10[level] + r)
+        p = 1 / (1 + np.exp(-full))
+        pair = of[child].reshape(-1, 4).T + np.stack([np.zeros(len(cells)), inside[child], rest[child], inside[child] + rest[child]])
+        pair = np.exp(pair - pair.max(0))
+        pair /= pair.sum(0)
+        got_e = sum(count(cells + j, pair[j]) for j in range(4)).reshape(e.shape)
+        for v, g, m, s in ((w, want_w - x.T @ p - ridge * w, *moments[:2]), (e, want_e - got_e - ridge * e, *moments[2:])):
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            v += rate / math.sqrt(t) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
+    return TreeModel(dict(zip(names, w.tolist(), strict=True)), e.tolist())
 
 
 @lru_cache(1)
-def model() -> TreeModel:
-    return TreeModel(_layouts())
+def default_model() -> TreeModel:
+    return fit_tree(labelled_pages())
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, model: TreeModel | None = None) -> str:
     """The content's runs of text, joined by single spaces; of a null or empty page the empty string."""
     if not page:
         return ""
     nodes, runs = parse(page)
-    p = model().marginals(nodes)
-    skip = set()
-    for i, n in enumerate(nodes):
-        if n.tag == "head" or n.parent in skip:
-            skip.add(i)
-    if any(n.tag == "body" for n in nodes):
-        skip = {i for i in skip if not _under_body(nodes, i)}
-    runs = [(i, text) for i, text in runs if i not in skip]
-    top = max((p[i] for i, _ in runs), default=0.0)
-    # on a page whose wrappers say nothing all marginals are low; what stands out by far is its content
-    least = 0.5 if top >= 0.5 or top < 0.05 else top / 2
-    return " ".join(text for i, text in runs if p[i] >= least)
-
+    p = (model or default_model()).marginals(nodes)
+    return " ".join(text for i, text in runs if p[i] >= 0.5)
 
-def _under_body(nodes: list[Node], i: int) -> bool:
-    while i > 0:
-        if nodes[i].tag == "body":
-            return True
-        i = nodes[i].parent
-    return False
 
+def _reader(model: TreeModel):
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([main_text(x, model) for x in pages.to_pylist()], pa.string())
 
-def _main_text(pages: pa.Array) -> pa.Array:
-    return pa.array([main_text(x) for x in pages.to_pylist()], pa.string())
+    return run
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
+def extract_text(pages: DataFrame, labelled: list[str] | None = None) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars. A page is handled on its own, whole, so that nothing is
     shuffled and no host is hot; nulls and pages without content give the empty text; repeated rows give repeated rows; further
-    columns play no part."""
-    return pages.select("page_id", "url", F.arrow_udf(_main_text, "string")("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    columns play no part. labelled: pages to learn from (fit_tree); by default those of labelled_pages()."""
+    small_batches(pages.sparkSession)
+    model = default_model() if labelled is None else fit_tree(labelled)
+    return pages.select("page_id", "url", F.arrow_udf(_reader(model), "string")("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
