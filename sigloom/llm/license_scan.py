@@ -1,8 +1,8 @@
 """License scan by template-markup matching.
 
 A template is text with regions: [[...]] may be left out (regions nest), {{a-b}} stands for a to b words of any kind. Its words and
-regions compile into an automaton over word tokens; a text is accepted where it spells the mandatory wording exactly. Beside it,
-base phrases are counted.
+regions compile into an automaton over word tokens; a text is accepted where it spells the mandatory wording exactly, and not within a
+longer version number or name. Beside it, base phrases are counted.
 """
 
 from __future__ import annotations
@@ -11,30 +11,21 @@ import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.llm.common import small_batches
+from sigloom.llm.license_templates import TEMPLATES
+
 _SPLIT = bytes(32 if i < 0x30 or 0x3A <= i <= 0x60 or 0x7B <= i <= 0x7F else i for i in range(256))
+#: Between two words that are one number or name: 2.0, by-nc, a_b, gpl+.
+_GLUE = re.compile(rb"(?<=[0-9])\.(?=[0-9])|(?<=[^\x00-\x2F\x3A-\x60\x7B-\x7F])[-_](?=[^\x00-\x2F\x3A-\x60\x7B-\x7F])")
 
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label -> templates.
-TEMPLATES = {
-    "Apache-2.0": ["licensed under [[the terms of]] [[the]] apache license [[{{0-2}} version]] 2.0"],
-    "GPL-3.0": ["licensed under [[the terms of]] [[the]] gnu general public license [[version]] 3 [[0]] [[or [[at your option]] any later version]]", "licensed under [[the terms of]] [[the]] gnu general public license v3"],
-    "GPL-2.0": ["licensed under [[the terms of]] [[the]] gnu general public license [[version]] 2 [[0]] [[or [[at your option]] any later version]]", "licensed under [[the terms of]] [[the]] gnu general public license v2"],
-    "CC-BY-NC-4.0": ["licensed under [[a]] [[the]] cc by-nc 4.0", "licensed under a creative commons attribution-noncommercial 4.0 [[international]] license"],
-    "CC-BY-4.0": ["licensed under [[a]] [[the]] cc by 4.0", "licensed under a creative commons attribution 4.0 [[international]] license"],
-    "MIT": [
-        "[[released]] [[licensed]] [[distributed]] under [[the terms of]] the mit license",
-        "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files {{0-6}} "
-        "to deal in the software without restriction, [[including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software]]",
-    ],
-    "BSD": ["redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-}
-
 
 def words_of(text: bytes) -> list[bytes]:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased."""
@@ -49,7 +40,7 @@ class Automaton:
     any_word: list[list[int]] = field(default_factory=list)
     free: list[list[int]] = field(default_factory=list)
     end: int = 0
-    must: bytes = b""
+    must: frozenset[bytes] = frozenset()
 
     def state(self) -> int:
         self.word.append({}), self.any_word.append([]), self.free.append([])
@@ -64,16 +55,18 @@ class Automaton:
         return out
 
     @property
-    def firsts(self) -> set[bytes] | None:
-        """The words with which a text may begin; None if any may."""
+    def firsts(self) -> set[bytes]:
+        """The words with which a text begins."""
         start = self.closed({0})
-        return None if any(self.any_word[s] for s in start) else {w for s in start for w in self.word[s]}
+        if any(self.any_word[s] for s in start):
+            raise ValueError("a template begins with words of its own")
+        return {w for s in start for w in self.word[s]}
 
-    def longest(self, words: list[bytes], at: int) -> int:
-        """End of the longest accepted run of words from `at`, or -1."""
-        now, best = self.closed({0}), -1
+    def longest(self, words: list[bytes], at: int, glued: np.ndarray | tuple = ()) -> int:
+        """End of the longest accepted run of words from `at`, or -1. glued: whether each word and the next are one number or name."""
+        now, best, begin = self.closed({0}), -1, at
         while True:
-            if self.end in now:
+            if self.end in now and not (len(glued) and at > begin and glued[at - 1]):
                 best = at
             if at >= len(words) or not now:
                 return best
@@ -111,15 +104,30 @@ def compile_template(template: str) -> Automaton:
         raise ValueError("a region isn't closed")
     if not must:
         raise ValueError("a template needs mandatory words")
-    a.end, a.must = now, max(must, key=len)
+    a.end, a.must = now, frozenset(must)
     return a
 
 
+#: Every template has one of these.
+_SIGNS = (b"licen", b"under", b"permission", b"redistribution", b"free software", b"unencumbered")
+
+
 @lru_cache(1)
-def _compiled() -> list[tuple[str, Automaton, set[bytes] | None]]:
+def _compiled() -> list[tuple[str, Automaton, set[bytes]]]:
     return [(label, a, a.firsts) for label, ts in TEMPLATES.items() for t in ts for a in [compile_template(t)]]
 
 
+def _glued(text: bytes, n: int) -> np.ndarray:
+    """Of each of a text's n words whether it and the next are one number or name."""
+    out = np.zeros(n + 1, bool)
+    ends = [m.start() for m in _GLUE.finditer(text)]
+    if ends:
+        space = np.frombuffer(text.translate(_SPLIT), np.uint8) == 32
+        starts = np.cumsum(~space & np.append(True, space[:-1]))
+        out[starts[np.array(ends) - 1] - 1] = True
+    return out
+
+
 def scan(text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str]]]:
     """(number of words, base places (word, label), accepted templates (first word, end, label))."""
     words = words_of(text)
@@ -130,18 +138,16 @@ def scan(text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int,
             ws = phrase.encode().split()
             if ws[0] in low:
                 base += [(i, label) for i in range(len(words) - len(ws) + 1) if words[i] == ws[0] and words[i : i + len(ws)] == ws]
-    places: dict[bytes, list[int]] | None = None
+    if not any(w in low for w in _SIGNS):
+        return len(words), sorted(base), found
+    places: dict[bytes, list[int]] = {}
+    for i, w in enumerate(words):
+        places.setdefault(w, []).append(i)
+    glued = None
     for label, a, firsts in _compiled():
-        if a.must not in low:
-            continue
-        if places is None:
-            places = {}
-            for i, w in enumerate(words):
-                places.setdefault(w, []).append(i)
-        if a.must not in places:
-            continue
-        starts = range(len(words)) if firsts is None else sorted(i for w in firsts for i in places.get(w, ()))
-        found += [(i, e, label) for i in starts if (e := a.longest(words, i)) > i]
+        if a.must.issubset(places):
+            glued = _glued(low, len(words)) if glued is None else glued
+            found += [(i, e, label) for w in firsts for i in places.get(w, ()) if (e := a.longest(words, i, glued)) > i]
     return len(words), sorted(base), found
 
 
@@ -166,4 +172,5 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id and what KIND names; score is the share of the words that accepted templates cover.
     Rows are handled one by one, whole; null and empty texts have no words; repeated rows give repeated rows; further columns
     play no part."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.arrow_udf(_scan, KIND)(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("x")).select("doc_id", "x.*")
