@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -19,9 +23,54 @@ _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 
 
+_LOCAL: dict[str, str] = {}
+#: Folders of cuts by application, oldest first.
+_MADE: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, one of our own if all run on this machine; else none will do."""
+    said = spark.conf.get("spark.checkpoint.dir", None)
+    if said:
+        return said.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="sigloom-")
+        atexit.register(shutil.rmtree, _LOCAL[app], True)
+    return _LOCAL[app]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, in a folder of its own, which `release` removes."""
+    folder = f"{shared_dir(spark)}/sigloom-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return f"{folder}/{name}"
+
+
+def release(spark: SparkSession, since: int = 0, but: str = "") -> None:
+    """Remove the folders of cuts made in this session, from the `since`th on, except one: for a caller who has written what needs them."""
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    for folder in made[since:]:
+        if folder != but:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    made[since:] = [but] if but in made[since:] else []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function like `cut`, whose last result stays; all other cuts made inside go at the end."""
+    since, kept = len(_MADE.get(spark.sparkContext.applicationId, [])), [""]
+
+    def last(df: DataFrame, name: str) -> DataFrame:
+        out = cut(df, name)
+        kept[0] = _MADE[spark.sparkContext.applicationId][-1]
+        return out
+
+    yield last
+    release(spark, since, kept[0])
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -33,7 +82,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: later steps start from files that outlive any executor."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/sigloom-{uuid.uuid4().hex}/{name}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

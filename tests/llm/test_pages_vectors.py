@@ -218,6 +218,7 @@ def test_nearest(spark):
     e = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = nearest(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).toPandas()
     hits = total = 0
+    assert got.groupby("query_id").size().min() == 10
     for q in np.flatnonzero(e.vec_id % 100 == 0):
         mine = got[got.query_id == e.vec_id[q]].sort_values("rank")
         want = brute_nearest(e, q)
@@ -233,14 +234,38 @@ def test_nearest_probes_are_complete():
     from sigloom.llm.ann import Index
 
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 256, (3000, 8), dtype=np.uint8)
+    codes = rng.integers(0, 2**64, (3000, 4, 1), dtype=np.uint64)
+    codes[100:200] = codes[:100]
     index = Index(codes)
-    for radius in (0, 5, 8, 17, 24, 31, 64):
-        code = codes[rng.integers(3000)] ^ rng.integers(0, 2, 8, dtype=np.uint8)
-        want = np.flatnonzero(np.bitwise_count(codes ^ code).sum(1) <= radius)
+    for radius in (0, 5, 8, 64, 100, 115, 130, 256):
+        code = codes[rng.integers(3000)] ^ (np.uint64(1) << rng.integers(0, 63, (4, 1)).astype(np.uint64))
+        want = np.flatnonzero(np.bitwise_count(codes ^ code).sum((1, 2)) <= radius)
         assert (index.within(code, radius) == want).all()
 
 
+def test_nearest_probes_prune():
+    """On vectors even on a sphere: what share of the codes the probes meet, what share is compared by vectors, and how much is found."""
+    from sigloom.llm.ann import Index, fit_coder
+
+    x = np.stack(pd.read_parquet("/root/testdata/check_l/embeddings.parquet").embedding[:20_000])
+    coder = fit_coder(x[:4096])
+    codes = coder.codes(x)
+    index = Index(codes)
+    far, probed, met, hits = [], [], [], 0
+    for q in range(0, 20_000, 200):
+        dist = ((x - x[q]) ** 2).sum(1)
+        dist[q] = np.inf
+        far += np.bitwise_count(codes[np.argsort(dist)[:10]] ^ codes[q]).sum((1, 2)).tolist()
+    radius = int(np.quantile(far, 0.97))
+    for q in range(100, 20_000, 400):
+        dist = ((x - x[q]) ** 2).sum(1)
+        dist[q] = np.inf
+        near = set(index.within(codes[q], radius).tolist())
+        hits += len(near & set(np.argsort(dist)[:10].tolist()))
+        probed.append(len(index.probed(codes[q], radius)) / len(x)), met.append(len(near) / len(x))
+    assert np.mean(probed) < 0.45 and np.mean(met) < 0.03 and hits / 500 >= 0.9, (np.mean(probed), np.mean(met), hits)
+
+
 def test_nearest_edges(spark):
     from sigloom.llm.ann import nearest
 
