@@ -1,6 +1,6 @@
 """Lossless coders as plain Python kernels: Huffman, adaptive arithmetic, residual buckets, general byte coders.
 
-Coding is sequential inside one stream, so that Spark's part is to run one stream per row or group (see operators.coding).
+Coding is sequential inside one stream, so that Spark's part is to run one stream per row or group.
 """
 
 from __future__ import annotations
@@ -16,38 +16,46 @@ import zstandard
 
 
 class BitWriter:
-    """Bits into bytes, the first bit at the top of the first byte (msb) or at its bottom."""
+    """Bits into bytes, the first bit at the top of the first byte (msb) or at its bottom; values by their high bits or their low bits first.
+    The whole stream is put together once, at the end."""
 
     def __init__(self, msb: bool = True):
-        self.msb, self.value, self.size = msb, 0, 0
+        self.msb, self.parts = msb, []
 
     def put(self, value: int, bits: int) -> None:
-        if self.msb:
-            self.value = self.value << bits | value & (1 << bits) - 1
-        else:
-            self.value |= (value & (1 << bits) - 1) << self.size
-        self.size += bits
+        if bits:
+            text = format(value & (1 << bits) - 1, f"0{bits}b")
+            self.parts.append(text if self.msb else text[::-1])
+
+    def put_code(self, value: int, bits: int) -> None:
+        """High bits first, whatever the order of bits in bytes."""
+        self.parts.append(format(value, f"0{bits}b"))
 
     def done(self) -> bytes:
-        n = -(-self.size // 8)
-        return (self.value << 8 * n - self.size).to_bytes(n, "big") if self.msb else self.value.to_bytes(n, "little")
+        return bits_to_bytes("".join(self.parts), self.msb)
+
+
+def bits_to_bytes(text: str, msb: bool = True) -> bytes:
+    n = -(-len(text) // 8)
+    text = text.ljust(8 * n, "0")
+    return int(text if msb else text[::-1], 2).to_bytes(n, "big" if msb else "little") if n else b""
+
+
+def bytes_to_bits(data: bytes, msb: bool = True) -> str:
+    text = format(int.from_bytes(data, "big" if msb else "little"), f"0{8 * len(data)}b") if data else ""
+    return text if msb else text[::-1]
 
 
 class BitReader:
     """Reads what BitWriter wrote; past the end there are zeros."""
 
     def __init__(self, data: bytes, msb: bool = True):
-        self.msb, self.at, self.size = msb, 0, 8 * len(data)
-        self.value = int.from_bytes(data, "big" if msb else "little")
+        self.msb, self.at, self.text = msb, 0, bytes_to_bits(data, msb)
 
     def get(self, bits: int) -> int:
-        if self.msb:
-            short = max(0, self.at + bits - self.size)
-            out = (self.value << short) >> max(0, self.size - self.at - bits) & (1 << bits) - 1
-        else:
-            out = self.value >> self.at & (1 << bits) - 1
+        part = self.text[self.at : self.at + bits].ljust(bits, "0")
         self.at += bits
-        return out
+        return int(part if self.msb else part[::-1], 2) if bits else 0
 
 
 def varint(v: int) -> bytes:
@@ -109,10 +117,27 @@ def huffman_encode(symbols: list[int]) -> bytes:
     for s in sorted(codes):
         head += varint(s - last) + bytes([codes[s][1]])
         last = s
-    bits = BitWriter()
-    for s in symbols:
-        bits.put(*codes[s])
-    return bytes(head) + bits.done()
+    words = {s: format(*_code(c)) for s, c in codes.items()}
+    return bytes(head) + bits_to_bytes("".join(map(words.__getitem__, symbols)))
+
+
+def _code(code: tuple[int, int]) -> tuple[int, str]:
+    return code[0], f"0{code[1]}b"
+
+
+def read_codes(text: str, lengths: dict[int, int], n: int) -> list[int]:
+    """n symbols from bits, by the canonical codes of these lengths."""
+    symbol = {format(*_code(c)): s for s, c in canonical_codes(lengths).items()}
+    longest, out, at = max(lengths.values(), default=0), [], 0
+    for _ in range(n):
+        size = 1
+        while (s := symbol.get(text[at : at + size])) is None:
+            size += 1
+            if size > longest:
+                raise ValueError("not a code word")
+        out.append(s)
+        at += size
+    return out
 
 
 def huffman_decode(data: bytes) -> list[int]:
@@ -124,16 +149,47 @@ def huffman_decode(data: bytes) -> list[int]:
         s += gap
         lengths[s] = data[at]
         at += 1
-    symbol = {(c, m): s for s, (c, m) in canonical_codes(lengths).items()}
-    bits, out = BitReader(data[at:]), []
-    for _ in range(n):
-        code = size = 0
-        while (code, size) not in symbol:
-            code, size = code << 1 | bits.get(1), size + 1
-            if size > 64:
-                raise ValueError("not a code word")
-        out.append(symbol[code, size])
-    return out
+    return read_codes(bytes_to_bits(data[at:]), lengths, n)
+
+
+def encode_shifted(values: list[int], shift: int, top: int) -> bytes:
+    """Signed values shifted and clipped to 0..top, Huffman-coded (E03): one more than the largest symbol, a length for each up to it, the
+    count, and the codes by their high bits first in bytes filled from the bottom."""
+    symbols = [min(top, max(0, v + shift)) for v in values]
+    codes = canonical_codes(code_lengths(Counter(symbols))) if symbols else {}
+    last = max(codes, default=-1)
+    head = varint(last + 1) + bytes(codes[s][1] if s in codes else 0 for s in range(last + 1)) + len(symbols).to_bytes(4, "little")
+    words = {s: format(*_code(c)) for s, c in codes.items()}
+    return head + bits_to_bytes("".join(map(words.__getitem__, symbols)), msb=False)
+
+
+def decode_shifted(data: bytes, shift: int) -> list[int]:
+    k, at = read_varint(data)
+    lengths = {s: n for s, n in enumerate(data[at : at + k]) if n}
+    n = int.from_bytes(data[at + k : at + k + 4], "little")
+    return [s - shift for s in read_codes(bytes_to_bits(data[at + k + 4 :], msb=False), lengths, n)]
+
+
+def encode_buckets(residuals: list[int]) -> bytes:
+    """Huffman-coded buckets of the zig-zag of signed integers, length-prefixed, and raw extra bits."""
+    zz = [zigzag(x) for x in residuals]
+    body = huffman_encode([z.bit_length() for z in zz])
+    return len(body).to_bytes(4, "little") + body + _extra_bits(zz)
+
+
+def decode_buckets(data: bytes) -> list[int]:
+    size = int.from_bytes(data[:4], "little")
+    return _with_extra(huffman_decode(data[4 : 4 + size]), data[4 + size :])
+
+
+def _extra_bits(zz: list[int]) -> bytes:
+    """What a bucket, the length of a number in bits, doesn't say of it."""
+    return bits_to_bytes("".join(format(z - (1 << z.bit_length() - 1), f"0{z.bit_length() - 1}b") for z in zz if z > 1))
+
+
+def _with_extra(buckets: list[int], data: bytes) -> list[int]:
+    extra = BitReader(data)
+    return [unzigzag(k if k < 2 else (1 << k - 1) + extra.get(k - 1)) for k in buckets]
 
 
 class Adaptive:
@@ -193,7 +249,7 @@ def arithmetic_encode(symbols: Iterable[int], alphabet: int) -> bytes:
         model.learn(s)
     pending += 1
     put(int(low >= _QUARTER))
-    return int("".join(map(str, bits)).ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    return bits_to_bytes("".join(map(str, bits)))
 
 
 def arithmetic_decode(data: bytes, n: int, alphabet: int) -> list[int]:
@@ -223,21 +279,15 @@ BUCKETS = 17
 
 
 def encode_residuals(residuals: list[int]) -> bytes:
-    """Signed integers below 2 ** 15: arithmetic-coded buckets of their zig-zag, length-prefixed, and raw extra bits."""
+    """Signed integers below 2 ** 15: arithmetic-coded buckets of their zig-zag, length-prefixed, and raw extra bits."""
     zz = [zigzag(x) for x in residuals]
     body = arithmetic_encode([z.bit_length() for z in zz], BUCKETS)
-    extra = BitWriter()
-    for z in zz:
-        if z > 1:
-            extra.put(z - (1 << z.bit_length() - 1), z.bit_length() - 1)
-    return len(body).to_bytes(4, "little") + body + extra.done()
+    return len(body).to_bytes(4, "little") + body + _extra_bits(zz)
 
 
 def decode_residuals(data: bytes, n: int) -> list[int]:
     size = int.from_bytes(data[:4], "little")
-    buckets = arithmetic_decode(data[4 : 4 + size], n, BUCKETS)
-    extra = BitReader(data[4 + size :])
-    return [unzigzag(k if k < 2 else (1 << k - 1) + extra.get(k - 1)) for k in buckets]
+    return _with_extra(arithmetic_decode(data[4 : 4 + size], n, BUCKETS), data[4 + size :])
 
 
 def encode_in_contexts(symbols: list[int], contexts: list[int], alphabet: int) -> bytes:

@@ -9,8 +9,10 @@ import zlib
 
 import numpy as np
 
-from sigloom.operators.codecs import CODERS, decode_residuals, encode_residuals, pack_indices, unpack_indices
+from sigloom.operators.codecs import CODERS, decode_residuals, decode_shifted, encode_residuals, encode_shifted, pack_indices, unpack_indices
+from sigloom.operators.fields import resize
 from sigloom.operators.neighbours import block_predictions
+from sigloom.sources.images import read_png
 
 BUDGET = 1024
 #: First bytes -> kind.
@@ -196,18 +198,21 @@ def unpack_parametric(blob: bytes) -> np.ndarray:
     return np.clip(0.6 * colours[labels] + 0.4 * means[:, None, None], 0, 255).astype(np.uint8)
 
 
-def pack_video(frames: list[np.ndarray], fps: tuple[int, int] = (25, 1), audio: list[int] | None = None, gop: int = 30) -> bytes:
-    """Grey frames, intra every `gop`, else differences, and 16-bit audio as wrapped differences."""
+#: Kinds of a video's packets, and how far signed values of frames and of sound are shifted for coding.
+INTRA, INTER, SOUND = 1, 2, 3
+FRAME_SHIFT, SOUND_SHIFT = 255, 32768
+
+
+def pack_video(frames: list[np.ndarray], fps: tuple[int, int] = (25, 1), audio: list[int] | None = None, gop: int = 30, rate: int = 16_000) -> bytes:
+    """Grey frames, intra every `gop`, else differences, and 16-bit audio as wrapped differences, all in shifted Huffman code."""
     h, w = frames[0].shape if frames else (0, 0)
     audio = audio or []
-    out = bytearray(b"NXV1" + struct.pack("<IIIHHBBIBBB", w, h, len(frames), *fps, 1, gop, len(audio), 1, 16, 0))
+    out = bytearray(b"NXV1" + struct.pack("<IIIHHBBIBBB", w, h, len(frames), *fps, 1, bool(audio), rate if audio else 0, bool(audio), 0, 0))
     steps = [((b - a + 32768) & 65535) - 32768 for a, b in zip([0, *audio], audio, strict=False)]
-    packets = [(2, encode_residuals(steps))] if audio else []
+    packets = [(SOUND, encode_shifted(steps, SOUND_SHIFT, 65535))] if audio else []
     for i, f in enumerate(frames):
-        if i % gop == 0:
-            packets.append((0, encode_residuals(_causal(f.astype(np.int64), False).ravel().tolist())))
-        else:
-            packets.append((1, encode_residuals((f.astype(int) - frames[i - 1]).ravel().tolist())))
+        kind, r = (INTRA, _causal(f.astype(np.int64), False)) if i % gop == 0 else (INTER, f.astype(int) - frames[i - 1])
+        packets.append((kind, encode_shifted(r.ravel().tolist(), FRAME_SHIFT, 510)))
     for kind, data in packets:
         out += struct.pack("<BI", kind, len(data)) + data
     return bytes(out + b"NXVE")
@@ -216,23 +221,50 @@ def pack_video(frames: list[np.ndarray], fps: tuple[int, int] = (25, 1), audio:
 def unpack_video(blob: bytes) -> tuple[list[np.ndarray], list[int]]:
     if blob[:4] != b"NXV1" or blob[-4:] != b"NXVE":
         raise ValueError("not such a container, or cut off")
-    w, h, _, _, _, _, _, samples, _, _, _ = struct.unpack("<IIIHHBBIBBB", blob[4:29])
+    w, h, *_ = struct.unpack("<IIIHHBBIBBB", blob[4:29])
     at, frames, audio = 29, [], []
     while at < len(blob) - 4:
         kind, size = struct.unpack("<BI", blob[at : at + 5])
         data = blob[at + 5 : at + 5 + size]
         at += 5 + size
-        if kind == 2:
+        if kind == SOUND:
             v = 0
-            for d in decode_residuals(data, samples):
+            for d in decode_shifted(data, SOUND_SHIFT):
                 v = ((v + d + 32768) & 65535) - 32768
                 audio.append(v)
+        elif kind in (INTRA, INTER):
+            r = np.array(decode_shifted(data, FRAME_SHIFT), np.int64).reshape(h, w)
+            frames.append(np.clip(_causal(r, True) if kind == INTRA else frames[-1] + r, 0, 255))
         else:
-            r = np.array(decode_residuals(data, h * w), np.int64).reshape(h, w)
-            frames.append(_causal(r, True) if kind == 0 else frames[-1] + r)
+            raise ValueError(f"a packet of kind {kind}")
     return frames, audio
 
 
+def decode(blob: bytes, shape: tuple[int, int] | None = None) -> np.ndarray:
+    """The first plane of an artifact of any kind, told apart by its first bytes, brought to shape by its nearest samples.
+
+    Small containers hold an artifact, which is decoded in turn; what isn't one of ours must be a PNG, of which the first channel counts.
+    """
+    kind = kind_of(blob)
+    if kind == "small":
+        return decode(unpack_small(blob), shape)
+    if kind == "planes":
+        plane = unpack_planes(blob)[0]
+    elif kind == "video":
+        plane = unpack_video(blob)[0][0]
+    elif kind == "svd":
+        plane = unpack_svd(blob)[0]
+    elif kind == "palette":
+        plane = unpack_palette(blob)[:, :, 0]
+    elif kind == "parametric":
+        plane = unpack_parametric(blob)[:, :, 0]
+    elif kind == "standard":
+        plane = read_png(blob)[:, :, 0]
+    else:
+        raise ValueError(f"{kind} containers aren't decoded")
+    return plane.astype(np.int64) if shape is None or plane.shape == shape else resize(plane.astype(np.int64), *shape)
+
+
 def _causal(plane: np.ndarray, back: bool, decay: float = 0.998) -> np.ndarray:
     """Residuals of a frame, or with `back` the frame of residuals (O01): each pixel by the mode of least decayed squared error so far."""
     h, w = plane.shape

@@ -1,21 +1,54 @@
-"""Deterministic left folds over an ordered series: adaptive predictors and models (one task per key)."""
+"""Deterministic left folds over an ordered series: adaptive predictors and models. A series streams through one task, batch by batch."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Run `step` over each key's rows in order. A key is one series and is folded in one task; series are parallel."""
+class Fold(Protocol):
+    """A state that learns from values in order and has a row of results at the end."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return step(rows.sort_values(order, kind="stable"))
+    def learn_all(self, values: list) -> None: ...
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    def row(self) -> tuple: ...
+
+
+def fold(df: DataFrame, key: str, order: list[str], value: str, make: Callable[[], Fold], results: str) -> DataFrame:
+    """(key, results): what make() has after each key's values in order. Keys are dealt to tasks and sorted there, spilling where they must;
+    a task holds one batch and one state at a time, however long a series is."""
+    kinds = [x.split()[1] for x in results.split(", ")]
+    arrow = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+
+    def rows(done: list[tuple[Any, ...]]) -> pa.RecordBatch:
+        cols = list(zip(*done, strict=True)) or [()] * (len(kinds) + 1)
+        names = [key, *(x.split()[0] for x in results.split(", "))]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, arrow[k]) for c, k in zip(cols[1:], kinds, strict=True))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            keys, values, done, a = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], 0
+            while a < len(keys):
+                b = a + 1
+                while b < len(keys) and keys[b] == keys[a]:
+                    b += 1
+                if state is None or keys[a] != now:
+                    if state is not None:
+                        done.append((now, *state.row()))
+                    now, state = keys[a], make()
+                state.learn_all(values[a:b])
+                a = b
+            if done:
+                yield rows(done)
+        if state is not None:
+            yield rows([(now, *state.row())])
+
+    return df.repartition(key).sortWithinPartitions(key, *order).select(key, value).mapInArrow(run, f"{key} long, {results}")
 
 
 class DecayedModes:
@@ -92,15 +125,78 @@ class RunningLine:
         self.n, self.sx, self.sy, self.sxx, self.sxy = self.n + 1, self.sx + x, self.sy + y, self.sxx + x * x, self.sxy + x * y
 
 
-def series_modes(rows: pd.DataFrame) -> pd.DataFrame:
-    """(user_id, best_mode, residual_sum) of a series by the online choice among last value, line through the last two, and mean of both."""
-    model, last, before, total = DecayedModes(3), 0, 0, 0
-    for v in rows["sample"].tolist():
-        modes = [last, 2 * last - before, (3 * last - before) // 2]
-        total += abs(v - modes[model.best()])
-        model.learn(v, modes)
-        before, last = last, v
-    return pd.DataFrame({"user_id": [rows.user_id.iloc[0]], "best_mode": [model.best()], "residual_sum": [total]})
+class SeriesModes:
+    """(best_mode, residual_sum) of a series by the online choice among last value, line through the last two, and mean of both."""
+
+    def __init__(self):
+        self.model, self.last, self.before, self.total = DecayedModes(3), 0, 0, 0
+
+    def learn_all(self, values: list[int]) -> None:
+        for v in values:
+            modes = [self.last, 2 * self.last - self.before, (3 * self.last - self.before) // 2]
+            self.total += abs(v - modes[self.model.best()])
+            self.model.learn(v, modes)
+            self.before, self.last = self.last, v
+
+    def row(self) -> tuple[int, int]:
+        return self.model.best(), self.total
+
+
+class SeriesBlend:
+    """(residual_sum): the same modes blended by their errors instead of chosen."""
+
+    def __init__(self):
+        self.model, self.last, self.before, self.total = DecayedModes(3), 0, 0, 0
+
+    def learn_all(self, values: list[int]) -> None:
+        for v in values:
+            modes = [self.last, 2 * self.last - self.before, (3 * self.last - self.before) // 2]
+            self.total += abs(v - self.model.blend(modes))
+            self.model.learn(v, modes)
+            self.before, self.last = self.last, v
+
+    def row(self) -> tuple[int]:
+        return (self.total,)
+
+
+class RescaledBits:
+    """(n, bits, rescales) of an adaptive code whose counts are halved, one at least, when they reach `limit` in all."""
+
+    def __init__(self, symbols: int, limit: int):
+        self.counts, self.limit, self.n, self.bits, self.halved = [1] * symbols, limit, 0, 0.0, 0
+
+    def learn_all(self, values: list[int]) -> None:
+        for v in values:
+            self.bits += math.log2(sum(self.counts)) - math.log2(self.counts[v])
+            self.counts[v] += 1
+            self.n += 1
+            if sum(self.counts) >= self.limit:
+                self.counts = [max(1, c >> 1) for c in self.counts]
+                self.halved += 1
+
+    def row(self) -> tuple[int, float, int]:
+        return self.n, round(self.bits, 4) + 0.0, self.halved
+
+
+class FourContexts:
+    """(n, bits) of bits of symbols under four adaptive models, of contexts of the last 4, 8, 12 and 16 bits, the average of their chances."""
+
+    def __init__(self, width: int = 3):
+        self.width, self.past, self.n, self.bits, self.seen = width, 0, 0, 0.0, {}
+
+    def learn_all(self, values: list[int]) -> None:
+        for v in values:
+            for i in range(self.width - 1, -1, -1):
+                bit = v >> i & 1
+                at = [self.seen.setdefault((k, self.past & (1 << k) - 1), [1, 1]) for k in (4, 8, 12, 16)]
+                self.bits -= math.log2(sum(c[bit] / (c[0] + c[1]) for c in at) / 4)
+                for c in at:
+                    c[bit] += 1
+                self.past = self.past << 1 & 0xFFFF | bit
+                self.n += 1
+
+    def row(self) -> tuple[int, float]:
+        return self.n, round(self.bits, 4) + 0.0
 
 
 class PrefixModel:

@@ -6,6 +6,7 @@ fixes; sets of queries travel in blocks.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -24,6 +25,13 @@ def _numpy(batch: pa.RecordBatch, i: int) -> np.ndarray:
     return batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.int64)
 
 
+def _near(v: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, squared distance) of each vector: the first of the nearest."""
+    d2 = (v * v).sum(1)[:, None] - 2 * v @ book.T + (book * book).sum(1)
+    code = d2.argmin(1)
+    return code, d2[np.arange(len(v)), code]
+
+
 def assign(vectors: DataFrame, codebook: np.ndarray, key: str = "vec_id") -> DataFrame:
     """(key, code, d2): the nearest code by squared distance, the first of equals (K03). No exchange."""
     book = codebook.astype(np.int64)
@@ -31,10 +39,8 @@ def assign(vectors: DataFrame, codebook: np.ndarray, key: str = "vec_id") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = _numpy(batch, 1)
-                d2 = (v * v).sum(1)[:, None] - 2 * v @ book.T + (book * book).sum(1)
-                code = d2.argmin(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code.astype(np.int32)), pa.array(d2[np.arange(len(v)), code])], [key, "code", "d2"])
+                code, d2 = _near(_numpy(batch, 1), book)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code.astype(np.int32)), pa.array(d2)], [key, "code", "d2"])
 
     return vectors.select(key, "vec").mapInArrow(run, f"{key} long, code int, d2 long")
 
@@ -44,17 +50,50 @@ def first_vectors(vectors: DataFrame, k: int, key: str = "vec_id", skip: int = 0
     return np.array([r.vec for r in vectors.orderBy(key).limit(k + skip).select("vec").collect()[skip:]], np.int64)
 
 
-def lloyd(vectors: DataFrame, codebook: np.ndarray, steps: int, key: str = "vec_id") -> np.ndarray:
-    """Centroids after so many Lloyd steps, rounded half to even each; an empty cell keeps its centroid (K01). The driver sees k rows a step."""
+def lloyd(vectors: DataFrame, codebook: np.ndarray, steps: int) -> np.ndarray:
+    """Centroids after so many Lloyd steps, rounded half to even each; an empty cell keeps its centroid (K01, K02). Ends when none moves.
+
+    A step is one pass: tasks give out sums and counts of their cells, k rows for each place of the vectors, which are added up.
+    """
+    book = codebook.astype(np.int64)
     for _ in range(steps):
-        dim = codebook.shape[1]
-        near = assign(vectors, codebook, key)
-        means = [F.bround(F.avg(F.col("vec")[i])).cast("long").alias(f"m{i}") for i in range(dim)]
-        rows = vectors.select(key, "vec").join(near, key).groupBy("code").agg(*means).collect()
-        codebook = codebook.copy()
-        for r in rows:
-            codebook[r.code] = list(r)[1:]
-    return codebook
+        k, dim = book.shape
+
+        def run(batches: Iterator[pa.RecordBatch], book: np.ndarray = book) -> Iterator[pa.RecordBatch]:
+            sums, counts = np.zeros(book.shape, np.int64), np.zeros(len(book), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    v = _numpy(batch, 0)
+                    code, _ = _near(v, book)
+                    np.add.at(sums, code, v)
+                    counts += np.bincount(code, minlength=len(book))
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, book.shape[1])), pa.array(np.tile(np.arange(book.shape[1]), len(some))), pa.array(sums[some].ravel()), pa.array(np.repeat(counts[some], book.shape[1]))], ["code", "place", "s", "n"])
+
+        parts = vectors.select("vec").mapInArrow(run, "code long, place long, s long, n long")
+        new = book.copy()
+        for r in parts.groupBy("code", "place").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect():
+            q, rest = divmod(r.s, r.n)
+            new[r.code, r.place] = q + (2 * rest > r.n or (2 * rest == r.n and q % 2))
+        if (new == book).all():
+            break
+        book = new
+    return book
+
+
+def spread_vectors(vectors: DataFrame, k: int, key: str = "vec_id") -> np.ndarray:
+    """Seeds by squared distance (K01): first the vector of the smallest key, then each next one drawn with a chance in proportion to its
+    squared distance to the nearest seed so far. The draw is the least of -ln(u) / d2 over all vectors, u a fixed share of the key and the
+    turn, so that it is one pass a seed, the same however the table is split."""
+    seeds = first_vectors(vectors, 1, key)
+    for turn in range(1, k):
+        u = ((F.pmod(F.col(key) * 7919 + turn * 104729, F.lit(65537)) + 1) / 65538.0).alias("u")
+        near = assign(vectors, seeds, key).select(key, "d2", u).where("d2 > 0")
+        first = near.orderBy((-F.ln("u") / F.col("d2")), key).limit(1).collect()
+        if not first:
+            break
+        seeds = np.vstack([seeds, vectors.where(F.col(key) == first[0][0]).select("vec").first().vec])
+    return seeds
 
 
 def residuals(vectors: DataFrame, codebook: np.ndarray, key: str = "vec_id") -> DataFrame:
@@ -65,7 +104,7 @@ def residuals(vectors: DataFrame, codebook: np.ndarray, key: str = "vec_id") ->
         for batch in batches:
             if batch.num_rows:
                 v = _numpy(batch, 1)
-                code = ((v * v).sum(1)[:, None] - 2 * v @ book.T + (book * book).sum(1)).argmin(1)
+                code, _ = _near(v, book)
                 left = v - book[code]
                 lists = pa.ListArray.from_arrays(np.arange(0, left.size + 1, left.shape[1], dtype=np.int32), pa.array(left.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code.astype(np.int32)), lists], [key, "code", "vec"])
@@ -73,8 +112,24 @@ def residuals(vectors: DataFrame, codebook: np.ndarray, key: str = "vec_id") ->
     return vectors.select(key, "vec").mapInArrow(run, f"{key} long, code int, vec array<int>")
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """(q, rnk, id, d2): exact nearest neighbours, ties to the smaller id (K09, K10, R09); a row is none of its own.
+def _squares(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (q * q).sum(1)[:, None] - 2 * q @ v.T + (v * v).sum(1)
+
+
+def _absolutes(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return sum(np.abs(q[:, i, None] - v[:, i]) for i in range(q.shape[1]))
+
+
+def _greatest(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return functools.reduce(np.maximum, (np.abs(q[:, i, None] - v[:, i]) for i in range(q.shape[1])))
+
+
+#: Distances of all queries from all vectors: squared Euclidean, sum and greatest of absolute differences.
+METRICS = {"squares": _squares, "absolutes": _absolutes, "greatest": _greatest}
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", metric: str = "squares") -> DataFrame:
+    """(q, rnk, id, d2): exact nearest neighbours, ties to the smaller id (K09, K10, R09); a row is none of its own. d2: the distance by `metric`.
 
     Queries go out in blocks; every task returns k rows a query, and one window picks among the tasks'.
     """
@@ -86,19 +141,23 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") ->
         ids, q = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
 
         def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            best_d = np.empty((len(ids), 0), np.int64)
-            best_i = np.empty((len(ids), 0), np.int64)
+            who, near, far = (np.empty(0, np.int64) for _ in range(3))
+            least = np.full(len(ids), np.iinfo(np.int64).max)  # distance of the k-th so far
             for batch in batches:
                 for a in range(0, batch.num_rows if len(ids) else 0, 4096):
                     part = batch.slice(a, 4096)
                     v, own = _numpy(part, 1), part.column(0).to_numpy(zero_copy_only=False)
-                    d = (q * q).sum(1)[:, None] - 2 * q @ v.T + (v * v).sum(1)
+                    d = METRICS[metric](q, v)
                     d[ids[:, None] == own] = np.iinfo(np.int64).max
-                    best_d, best_i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(own, d.shape)])
-                    order = np.lexsort((best_i, best_d))[:, :k]
-                    best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-            ok = best_d < np.iinfo(np.int64).max
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_d.shape[1])[ok.ravel()]), pa.array(best_i[ok]), pa.array(best_d[ok])], ["q", "id", "d2"])
+                    border = np.minimum(least, np.partition(d, k - 1, 1)[:, k - 1]) if d.shape[1] > k else least
+                    rows, cols = np.nonzero((d <= border[:, None]) & (d < np.iinfo(np.int64).max))
+                    who, near, far = np.append(who, rows), np.append(near, own[cols]), np.append(far, d[rows, cols])
+                    order = np.lexsort((near, far, who))
+                    who, near, far = who[order], near[order], far[order]
+                    rank = np.arange(len(who)) - np.searchsorted(who, who)
+                    least[who[rank == k - 1]] = far[rank == k - 1]
+                    who, near, far = who[rank < k], near[rank < k], far[rank < k]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(near), pa.array(far)], ["q", "id", "d2"])
 
         found = vectors.select(key, "vec").mapInArrow(run, kind)
         out = found if out is None else out.union(found)
@@ -144,8 +203,31 @@ def bloom_build(items: DataFrame, text: str, m: int, k: int) -> DataFrame:
     return bloom_bits(items, text, m, k).select(F.explode("bits").alias("bit")).distinct()
 
 
-def bloom_probe(items: DataFrame, text: str, built: DataFrame, m: int, k: int) -> DataFrame:
-    """items with maybe: whether all places of each are set. An equi-join on places; an item's places are counted distinct."""
-    places = bloom_bits(items.select(text).distinct(), text, m, k).select(text, F.explode(F.array_distinct("bits")).alias("bit"))
-    found = places.join(built.withColumn("_set", F.lit(1)), "bit", "left").groupBy(text).agg((F.count("*") == F.count("_set")).alias("maybe"))
-    return items.join(found, text)
+def bloom_words(built: DataFrame, m: int) -> list[int]:
+    """The filter as words of 64 bits on the driver: m / 8 bytes, which bloom_size bounds by the number of items."""
+    words = built.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("v")).collect()
+    out = [0] * (m // 64 + 1)
+    for r in words:
+        out[r.word] = r.v
+    return out
+
+
+def bloom_probe(items: DataFrame, text: str, words: list[int], m: int, k: int) -> DataFrame:
+    """items with maybe: whether all places of each are set in a filter of bloom_words. No exchange: the filter is a literal."""
+    filter_ = F.lit(words).cast("array<bigint>")
+    isset = lambda b: F.call_function("shiftright", filter_[F.floor(b / 64).cast("int")], F.pmod(b, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return bloom_bits(items, text, m, k).withColumn("maybe", F.forall("bits", isset)).drop("bits")
+
+
+def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 8, bits: int = 8, key: str = "vec_id") -> DataFrame:
+    """(q, rnk, id, d2): of the vectors that share a bucket with a query in some table the k nearest, exactly ranked, ties to the smaller id.
+
+    An equi-join on (table, bucket), pairs once each; both vectors join the pairs afterwards, as buckets carry keys only.
+    """
+    buckets = lambda df: lsh_buckets(df, tables, bits, key=key)
+    asked = buckets(queries).withColumnRenamed(key, "q")
+    pairs = asked.join(buckets(vectors).withColumnRenamed(key, "id"), ["tbl", "bucket"]).where("q != id").select("q", "id").distinct()
+    both = pairs.join(queries.select(F.col(key).alias("q"), F.col("vec").alias("qv")), "q").join(vectors.select(F.col(key).alias("id"), "vec"), "id")
+    d2 = F.aggregate(F.zip_with("vec", "qv", lambda x, y: (x - y) * (x - y)), F.lit(0).cast("long"), lambda a, x: a + x)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", "id"))
+    return both.select("q", "id", d2.alias("d2")).withColumn("rnk", rank).where(F.col("rnk") <= k).select("q", "rnk", "id", "d2")

@@ -48,8 +48,8 @@ def against(results: DataFrame, baseline: int) -> DataFrame:
 def text_lines(results: DataFrame) -> DataFrame:
     """(tier, line_no, line): the fixed-width table (S08), for write.text."""
     board = leaderboard(results)
-    number = lambda c: F.when(F.col(c).isNull(), "N/A").when(F.col(c) == float("inf"), "inf").otherwise(F.format_string("%.4f", c))
-    line = F.format_string("%-35s %10s %7.1fx %8s %8s %s", "name", "size", "ratio", number("ssim"), number("psnr"), F.coalesce("quality_param", F.lit("")))
+    number = lambda c: F.when(F.col(c).isNull(), "N/A").when(F.col(c) == float("inf"), "inf").otherwise(F.format_string("%.4f", F.round(c, 4)))
+    line = F.format_string("%-35s %10s %7.1fx %8s %8s %s", "name", "size", F.round("ratio", 1), number("ssim"), number("psnr"), F.coalesce("quality_param", F.lit("")))
     order = Window.partitionBy("tier").orderBy("compressed_size", "name")
     return board.select("tier", F.row_number().over(order).alias("line_no"), line.alias("line"))
 

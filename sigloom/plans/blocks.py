@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from sigloom.functions.predictors import block_modes, context_features, frame_modes, lookup_context, magnitude_level, median_edge, mixer_context
 from sigloom.functions.scalar import fnv1a, hilbert_xy, uniform_codes, zigzag
 from sigloom.operators import linalg
-from sigloom.operators.codecs import decode_residuals, encode_residuals, huffman_decode, huffman_encode
-from sigloom.operators.containers import pack_palette, pack_planes, pack_svd, unpack_planes
+from sigloom.operators.codecs import decode_buckets, decode_in_contexts, decode_residuals, decode_shifted, encode_buckets, encode_in_contexts, encode_residuals, encode_shifted, huffman_decode, huffman_encode, zigzag as zigzag_int, unzigzag
+from sigloom.operators.containers import pack_palette, pack_planes, pack_svd, unpack_palette, unpack_planes
 from sigloom.operators.entropy import entropy, entropy_of, frequencies, total_bits
 from sigloom.operators.neighbours import block_predictions, haar, map_blocks, with_neighbours
-from sigloom.operators.quantise import assign, first_vectors, knn, lloyd, lsh_buckets, plane_signs, residuals
+from sigloom.operators.quantise import assign, first_vectors, knn, lloyd, lsh_buckets, lsh_search, plane_signs, residuals, spread_vectors
 from sigloom.sources.signals import blocks, pixels
 
 NAMES = ("left", "above", "ul", "ur", "left2", "above2")
@@ -202,13 +202,10 @@ def _kernel(name: str, schema: str, make) -> object:
 
 
 def _round_trip(encode, decode):
+    """Whether decode(encode(block)) is the block."""
+
     def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        sizes, ok = [], []
-        for b in v:
-            data = encode(b)
-            sizes.append(len(data))
-            ok.append(bool((np.asarray(decode(data, b)) == b).all()))
-        return {"vec_id": ids, "bytes": np.array(sizes, np.int64), "ok": np.array(ok)}
+        return {"vec_id": ids, "ok": np.array([bool((np.asarray(decode(encode(b), b)) == b).all()) for b in v])}
 
     return kernel
 
@@ -225,9 +222,18 @@ def _ungradient(r: list[int]) -> np.ndarray:
     return out
 
 
-huffman_roundtrip = _kernel("huffman_roundtrip", "vec_id long, bytes long, ok boolean", _round_trip(lambda b: huffman_encode(b.ravel().tolist()), lambda d, b: np.array(huffman_decode(d)).reshape(8, 8)))
-arith_roundtrip = _kernel("arith_roundtrip", "vec_id long, bytes long, ok boolean", _round_trip(lambda b: encode_residuals(_gradient(b)), lambda d, b: _ungradient(decode_residuals(d, 64))))
-planes_roundtrip = _kernel("planes_roundtrip", "vec_id long, bytes long, ok boolean", _round_trip(lambda b: pack_planes([b]), lambda d, b: unpack_planes(d)[0]))
+_OK = "vec_id long, ok boolean"
+_ctx = lambda b: [i % 3 for i in range(b.size)]
+huffman_roundtrip = _kernel("huffman_roundtrip", _OK, _round_trip(lambda b: huffman_encode(b.ravel().tolist()), lambda d, b: np.array(huffman_decode(d)).reshape(8, 8)))
+shifted_roundtrip = _kernel("shifted_roundtrip", _OK, _round_trip(lambda b: encode_shifted(_gradient(b), 512, 1023), lambda d, b: _ungradient(decode_shifted(d, 512))))
+bucket_roundtrip = _kernel("bucket_roundtrip", _OK, _round_trip(lambda b: encode_buckets(_gradient(b)), lambda d, b: _ungradient(decode_buckets(d))))
+arith_roundtrip = _kernel("arith_roundtrip", _OK, _round_trip(lambda b: encode_residuals(_gradient(b)), lambda d, b: _ungradient(decode_residuals(d, 64))))
+context_roundtrip = _kernel(
+    "context_roundtrip", _OK, _round_trip(lambda b: encode_in_contexts([min(511, zigzag_int(r)) for r in (b - 128).ravel().tolist()], _ctx(b), 512), lambda d, b: np.array([unzigzag(z) for z in decode_in_contexts(d, _ctx(b), 512)]).reshape(8, 8) + 128)
+)
+planes_roundtrip = _kernel("planes_roundtrip", _OK, _round_trip(lambda b: pack_planes([b]), lambda d, b: unpack_planes(d)[0]))
+#: 256 greys hold every block as it is.
+palette_roundtrip = _kernel("palette_roundtrip", _OK, _round_trip(lambda b: pack_palette(b, [(g, g, g) for g in range(256)]), lambda d, b: unpack_palette(d)[:, :, 0]))
 
 
 def svd_rank_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,11 +302,11 @@ def polynomial_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def haar_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        c = haar(v.astype(float))
+        c = np.rint(haar(v.astype(float)) * 2) / 2  # coefficients are halves of integers
         cuts = [np.percentile(np.abs(c), p, axis=(1, 2), keepdims=True) for p in (50, 90)]
-        return {"vec_id": ids, **{f"kept{p}": (np.abs(c) >= t).sum((1, 2)) for p, t in zip((50, 90), cuts, strict=True)}, "energy": np.round((c**2).sum((1, 2)) - (v.astype(float) ** 2).sum((1, 2)), 4) + 0.0}
+        return {"vec_id": ids, **{f"kept{p}": (np.abs(c) >= t).sum((1, 2)) for p, t in zip((50, 90), cuts, strict=True)}, "energy": (c**2).sum((1, 2)).astype(np.int64)}
 
-    return map_blocks(blocks(spark, sf_dir), kernel, "vec_id long, kept50 long, kept90 long, energy double")
+    return map_blocks(blocks(spark, sf_dir), kernel, "vec_id long, kept50 long, kept90 long, energy long")
 
 
 def dtree_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,48 +356,64 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn(vectors, vectors.where("vec_id % 20 = 0"), 5)
 
 
+#: Lloyd steps of every trained codebook, and the sizes of codebooks.
+STEPS, CODES = 2, 16
+
+
+def knn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(metric, q, rnk, id, d2): the two nearest by the sum and by the greatest of absolute differences."""
+    vectors, out = blocks(spark, sf_dir), None
+    for metric in ("absolutes", "greatest"):
+        found = knn(vectors, vectors.where("vec_id % 50 = 0"), 2, metric=metric).select(F.lit(metric).alias("metric"), "q", "rnk", "id", "d2")
+        out = found if out is None else out.union(found)
+    return out
+
+
 def vq_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = blocks(spark, sf_dir)
-    return assign(vectors, first_vectors(vectors, 16)).groupBy("code").agg(F.count("*").alias("n"), F.sum("d2").alias("d2"))
+    return assign(vectors, first_vectors(vectors, CODES)).groupBy("code").agg(F.count("*").alias("n"), F.sum("d2").alias("d2"))
 
 
 def vq_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(component, bits): codebook, indices and what is left, each at its entropy."""
+    """(component, bits): a trained codebook, indices and what is left, each at its entropy."""
     vectors = blocks(spark, sf_dir)
-    book = first_vectors(vectors, 16)
+    book = lloyd(vectors, first_vectors(vectors, CODES), STEPS)
     rest = residuals(vectors, book)
     parts = rest.select(F.lit("indices").alias("component"), F.col("code").alias("sym")).union(rest.select(F.lit("residual"), F.explode("vec")))
-    codes = vectors.orderBy("vec_id").limit(16).select(F.lit("codebook"), F.explode("vec"))
+    codes = spark.createDataFrame([("codebook", int(v)) for v in book.ravel()], "component string, sym int")
     return total_bits(parts.union(codes), ["component"], digits=3).select("component", "bits")
 
 
 def kmeans_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of the cells after two Lloyd steps from the 8 smallest ids."""
     vectors = blocks(spark, sf_dir)
-    return assign(vectors, lloyd(vectors, first_vectors(vectors, 8), 2)).groupBy("code").agg(F.count("*").alias("n"))
+    return assign(vectors, lloyd(vectors, first_vectors(vectors, 8), STEPS)).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def kmeans_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the cells after two Lloyd steps from four seeds drawn by squared distance."""
+    vectors = blocks(spark, sf_dir)
+    return assign(vectors, lloyd(vectors, spread_vectors(vectors, 4), STEPS)).groupBy("code").agg(F.count("*").alias("n"), F.sum("d2").alias("d2"))
 
 
 def residual_vq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stage, bits): entropy of the pixels left after each of three stages with codes of the smallest ids that no stage before had."""
-    left, out = blocks(spark, sf_dir), None
+    """(stage, bits): entropy of the pixels left after each of three stages, of codebooks of 256, 128 and 64 trained on what the last one left."""
+    left, out = blocks(spark, sf_dir).select("vec_id", "vec"), None
     for stage in range(3):
-        left = residuals(left, first_vectors(left, 8 >> stage, skip=8 * stage))
+        left = residuals(left, lloyd(left, first_vectors(left, max(32, 256 >> stage)), STEPS)).select("vec_id", "vec")
         bits = total_bits(left.select(F.lit(stage).alias("stage"), F.explode("vec").alias("sym")), ["stage"], digits=3)
         out = bits if out is None else out.union(bits)
     return out.select("stage", "bits")
 
 
 def product_vq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sub, code, n): quarters of vectors, each with its own codebook of 8 (K07), in one pass."""
-    vectors = blocks(spark, sf_dir)
-    books = first_vectors(vectors, 8)
-
-    def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        flat = v.reshape(len(v), 4, 16).astype(np.int64)
-        codes = [((flat[:, s, None] - books[None, :, 16 * s : 16 * s + 16]) ** 2).sum(2).argmin(1) for s in range(4)]
-        return {"vec_id": np.tile(ids, 4), "sub": np.repeat(np.arange(4, dtype=np.int32), len(v)), "code": np.concatenate(codes).astype(np.int32)}
-
-    return map_blocks(vectors, kernel, "vec_id long, sub int, code int").groupBy("sub", "code").agg(F.count("*").alias("n"))
+    """(sub, codes, d2): quarters of vectors, each with a codebook of 256 trained on it (K07): codes in use, and squared distances."""
+    vectors, out = blocks(spark, sf_dir), None
+    for sub in range(4):
+        part = vectors.select("vec_id", F.slice("vec", 16 * sub + 1, 16).alias("vec"))
+        near = assign(part, lloyd(part, first_vectors(part, 256), STEPS)).select(F.lit(sub).alias("sub"), "code", "d2")
+        out = near if out is None else out.union(near)
+    return out.groupBy("sub").agg(F.countDistinct("code").alias("codes"), F.sum("d2").alias("d2"))
 
 
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,6 +421,12 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("tbl").agg(F.count("*").alias("buckets"), F.max("n").alias("max_bucket"))
 
 
+def lsh_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q, rnk, id, d2): the five nearest of those that share one of eight buckets with a query, exactly ranked."""
+    vectors = blocks(spark, sf_dir).select("vec_id", "vec")
+    return lsh_search(vectors, vectors.where("vec_id % 20 = 0"), 5)
+
+
 def region_gradient_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plane a + b x + c y per label, by sums."""
     x, y, v = F.col("x") - 3.5, F.col("y") - 3.5, F.col("v")
@@ -502,16 +530,6 @@ def lossless_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(back, ["vec_id", "p", "v"], "left_anti").agg(F.count("*").alias("mismatches"))
 
 
-def palette_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of palette containers of 4, 8 and 16 grey levels."""
-
-    def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        sizes = {f"b{k}": np.array([len(pack_palette(b * k // 256, [(g * 256 // k,) * 3 for g in range(k)])) for b in v]) for k in (4, 8, 16)}
-        return {"vec_id": ids, **sizes}
-
-    return map_blocks(blocks(spark, sf_dir), kernel, "vec_id long, b4 long, b8 long, b16 long")
-
-
 def block_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bucket, n): the xor-multiply hash of blocks (C13), modulo 8."""
     return blocks(spark, sf_dir).groupBy((fnv1a(F.col("vec")) % 8).alias("bucket")).agg(F.count("*").alias("n"))
@@ -577,13 +595,46 @@ def _near_code(k: int, source: str = "vecs", skip: int = 0) -> str:
     return f"book as (select row_number() over (order by vec_id) - 1 as code, vec as c from (select * from {source} order by vec_id limit {k} offset {skip})), d as (select x.vec_id, x.vec, b.code, b.c, {_D2.format(c='b.c')} as d2 from {source} x cross join book b), near as (select vec_id, any_value(vec) as vec, arg_min(code, d2 * 64 + code) as code, min(d2) as d2, arg_min(c, d2 * 64 + code) as c from d group by vec_id)"
 
 
-def _lsh_sql() -> str:
+_VD = "vecs as (select vec_id, list_transform(embedding, lambda e: round(cast(e as double) * 127 + 128)) as vec from embeddings)"
+_DOT = "(list_inner_product({x}, {x}) - 2 * list_inner_product({x}, {c}) + list_inner_product({c}, {c}))"
+
+
+def _lsh_buckets_sql(tables: int, bits: int = 8) -> str:
     def bucket(t: int) -> str:
-        dots = [f"(case when list_sum(list_transform(range(1, 65), lambda i: (vec[i] - 128) * ({plane}::int[])[i])) > 0 then {1 << b} else 0 end)" for b, plane in enumerate(plane_signs(t, 8, 64))]
-        return " + ".join(dots)
+        return " + ".join(f"(case when list_inner_product(c, {[float(x) for x in plane]}::double[]) > 0 then {1 << b} else 0 end)" for b, plane in enumerate(plane_signs(t, bits, 64)))
+
+    rows = " union all ".join(f"select vec_id, {t} as tbl, {bucket(t)} as bucket from centred" for t in range(tables))
+    return f"{_VD}, centred as (select vec_id, list_transform(vec, lambda v: v - 128) as c from vecs), b as ({rows})"
+
+
+_LSH_NEAREST = f"""with {_lsh_buckets_sql(8)}, p as (select distinct x.vec_id as q, y.vec_id as id from b x join b y using (tbl, bucket) where x.vec_id % 20 = 0 and x.vec_id <> y.vec_id),
+ d as (select q, id, cast({_DOT.format(x='x.vec', c='y.vec')} as bigint) as d2 from p join vecs x on x.vec_id = q join vecs y on y.vec_id = id),
+ r as (select q, cast(row_number() over (partition by q order by d2, id) as int) as rnk, id, d2 from d) select * from r where rnk <= 5"""
+
+
+def trained_sql(name: str, source: str, k: int, steps: int = STEPS, seeds: str = "") -> str:
+    """CTEs of a codebook from the k smallest ids (or of seeds: code, c) and Lloyd steps over source (vec_id, vec of doubles): near_{name} (vec_id, vec, code, d2, c), book_{name}."""
+    first = seeds or f"select row_number() over (order by vec_id) - 1 as code, vec as c from (select * from {source} order by vec_id limit {k})"
+    out = f"b_{name}0 as ({first})"
+    for s in range(steps + 1):
+        d2 = _DOT.format(x="x.vec", c="b.c")
+        out += f", d_{name}{s} as (select x.vec_id, x.vec, b.code, b.c, {d2} as d2 from {source} x cross join b_{name}{s} b), n_{name}{s} as (select vec_id, any_value(vec) as vec, arg_min(code, d2 * 1024 + code) as code, min(d2) as d2, arg_min(c, d2 * 1024 + code) as c from d_{name}{s} group by 1)"
+        if s < steps:
+            out += f", e_{name}{s} as (select code, i, round_even(avg(vec[i]), 0) as m from n_{name}{s}, unnest(range(1, len(vec) + 1)) t(i) group by all), m_{name}{s} as (select code, list(m order by i) as c from e_{name}{s} group by 1), b_{name}{s + 1} as (select b.code, coalesce(m.c, b.c) as c from b_{name}{s} b left join m_{name}{s} m using (code))"
+    return f"{out}, near_{name} as (select * from n_{name}{steps}), book_{name} as (select * from b_{name}{steps})"
 
-    rows = " union all ".join(f"select {t} as tbl, {bucket(t)} as bucket from vecs" for t in range(4))
-    return f"with {_VEC}, b as ({rows}), n as (select tbl, bucket, count(*) as n from b group by all) select cast(tbl as int) as tbl, count(*) as buckets, max(n) as max_bucket from n group by 1"
+
+LEFT = "list_transform(range(1, len(vec) + 1), lambda i: vec[i] - c[i])"
+#: The next seed: the least of -ln(u) / d2 to the seeds before.
+_SEED = "s{t} as (select vec_id, vec from (select x.vec_id, any_value(x.vec) as vec, min({d}) as d2 from vecs x cross join ({before}) b group by 1) where d2 > 0 order by -ln(((vec_id * 7919 + {t} * 104729) % 65537 + 1) / 65538.0::double) / d2, vec_id limit 1)"
+
+
+def _spread_sql() -> str:
+    before, out = "select 0 as code, vec as c from s0", f"with {_VD}, s0 as (select vec_id, vec from vecs order by vec_id limit 1)"
+    for t in range(1, 4):
+        out += ", " + _SEED.format(t=t, d=_DOT.format(x="x.vec", c="b.c"), before=before)
+        before += f" union all select {t}, vec from s{t}"
+    return f"{out}, {trained_sql('k', 'vecs', 4, STEPS, before)} select cast(code as int) as code, count(*) as n, cast(sum(d2) as bigint) as d2 from near_k group by 1"
 
 
 def _hilbert_rows() -> str:
@@ -599,25 +650,20 @@ def _hilbert_rows() -> str:
     return ", ".join(f"({d}, {x}, {y})" for d, (x, y) in enumerate(curve(8)))
 
 
-def _kmeans_sql() -> str:
-    out = f"with {_VEC}, book0 as (select row_number() over (order by vec_id) - 1 as code, vec as c from (select * from vecs order by vec_id limit 8))"
-    for s in range(3):
-        out += f", d{s} as (select x.vec_id, x.vec, b.code, {_D2.format(c='b.c')} as d2 from vecs x cross join book{s} b), n{s} as (select vec_id, any_value(vec) as vec, arg_min(code, d2 * 64 + code) as code from d{s} group by 1)"
-        if s < 2:
-            means = ", ".join(f"cast(round_even(avg(vec[{i}]), 0) as int)" for i in range(1, 65))
-            out += f", m{s} as (select code, [{means}] as c from n{s} group by 1), book{s + 1} as (select b.code, coalesce(m.c, b.c) as c from book{s} b left join m{s} m using (code))"
-    return out + " select cast(code as int) as code, count(*) as n from n2 group by 1"
-
-
 def _residual_vq_sql() -> str:
-    out = f"with {_VEC}, s0 as (select * from vecs)"
+    out = f"with {_VD}, s0 as (select * from vecs)"
     for s in range(3):
-        part = _near_code(8 >> s, f"s{s}", 8 * s).replace("book", f"book{s}").replace(" d as", f" d{s} as").replace("from d ", f"from d{s} ").replace("near as", f"near{s} as")
-        out += f", {part}, s{s + 1} as (select vec_id, list_transform(range(1, 65), lambda i: vec[i] - c[i]) as vec from near{s})"
+        out += f", {trained_sql(f'v{s}', f's{s}', max(32, 256 >> s))}, s{s + 1} as (select vec_id, {LEFT} as vec from near_v{s})"
     parts = " union all ".join(f"select {s} as stage, unnest(vec) as sym from s{s + 1}" for s in range(3))
     return out + f", parts as ({parts}), k as (select stage, sym, count(*) as cnt from parts group by all) select cast(stage as int) as stage, {_BITS.format(d=3)} as bits from k group by 1"
 
 
+def _product_vq_sql() -> str:
+    subs = ", ".join(f"q{s} as (select vec_id, vec[{16 * s + 1}:{16 * s + 16}] as vec from vecs), {trained_sql(f'q{s}', f'q{s}', 256)}" for s in range(4))
+    rows = " union all ".join(f"select {s} as sub, count(distinct code) as codes, cast(sum(d2) as bigint) as d2 from near_q{s}" for s in range(4))
+    return f"with {_VD}, {subs} select cast(sub as int) as sub, codes, d2 from ({rows})"
+
+
 _SSIM = """with {px}, q as (select vec_id, x, y, v as a, ((v >> 3) << 3) + 4 as b from px),
  w as (select cx as x0, cy as y0 from range(0, 2) s(cx) cross join range(0, 2) t(cy)),
  m as (select vec_id, x0, y0, sum(a)::double as sa, sum(b)::double as sb, sum(a * a)::double as saa, sum(b * b)::double as sbb, sum(a * b)::double as sab from q join w on x between x0 and x0 + 6 and y between y0 and y0 + 6 group by all),
@@ -646,11 +692,11 @@ SQL = {
     "top_patches": f"with {_PX}, k as (select vec_id, y >> 1 as by, x >> 1 as bx, cast(sum((v >> 4) * pow(16, (y % 2) * 2 + x % 2)) as bigint) as patch from px group by all) select patch, count(*) as cnt from k group by 1 order by cnt desc, patch limit 10",
     "knn_exact": f"with {_VEC}, d as (select q.vec_id as q, x.vec_id as id, cast({_D2.format(c='q.vec')} as bigint) as d2 from vecs x cross join vecs q where q.vec_id % 20 = 0 and x.vec_id <> q.vec_id), r as (select *, cast(row_number() over (partition by q order by d2, id) as int) as rnk from d) select q, rnk, id, d2 from r where rnk <= 5",
     "vq_assign": f"with {_VEC}, {_near_code(16)} select cast(code as int) as code, count(*) as n, cast(sum(d2) as bigint) as d2 from near group by 1",
-    "vq_cost": f"with {_VEC}, {_near_code(16)}, parts as (select 'indices' as component, code as sym from near union all select 'residual', unnest(list_transform(range(1, 65), lambda i: vec[i] - c[i])) from near union all select 'codebook', unnest(c) from book), k as (select component, sym, count(*) as cnt from parts group by all) select component, {_BITS.format(d=3)} as bits from k group by 1",
-    "kmeans_steps": _kmeans_sql(),
+    "vq_cost": f"with {_VD}, {trained_sql('v', 'vecs', CODES)}, parts as (select 'indices' as component, code::double as sym from near_v union all select 'residual', unnest({LEFT}) from near_v union all select 'codebook', unnest(c) from book_v), k as (select component, sym, count(*) as cnt from parts group by all) select component, {_BITS.format(d=3)} as bits from k group by 1",
+    "kmeans_steps": f"with {_VD}, {trained_sql('v', 'vecs', 8)} select cast(code as int) as code, count(*) as n from near_v group by 1",
     "residual_vq": _residual_vq_sql(),
-    "product_vq": f"with {_VEC}, book as (select row_number() over (order by vec_id) - 1 as code, vec as c from (select * from vecs order by vec_id limit 8)), d as (select x.vec_id, s.sub, b.code, list_sum(list_transform(range(1, 17), lambda i: (x.vec[s.sub * 16 + i] - b.c[s.sub * 16 + i]) * (x.vec[s.sub * 16 + i] - b.c[s.sub * 16 + i]))) as d2 from vecs x cross join book b cross join range(0, 4) s(sub)), n as (select vec_id, sub, arg_min(code, d2 * 64 + code) as code from d group by all) select cast(sub as int) as sub, cast(code as int) as code, count(*) as n from n group by all",
-    "lsh_candidates": _lsh_sql(),
+    "product_vq": _product_vq_sql(),
+    "lsh_candidates": f"with {_lsh_buckets_sql(4)}, n as (select tbl, bucket, count(*) as n from b group by all) select cast(tbl as int) as tbl, count(*) as buckets, max(n) as max_bucket from n group by 1",
     "region_gradient_fit": f"with {_PX}, s as (select label, count(*)::double as n, sum(v)::double as s, sum((x - 3.5::double) * v) as sx, sum((y - 3.5::double) * v) as sy from px group by 1), c as (select label, n, s, sx / (n * 5.25::double) as b, sy / (n * 5.25::double) as c from s) select label, round(s / n - b * 3.5::double - c * 3.5::double, 4) as a, round(b, 6) as b, round(c, 6) as c from c",
     "top_coefficients": f"with {_PX}, r as (select (v - 128) * (v - 128) as e, row_number() over (partition by vec_id order by (v - 128) * (v - 128) desc, p) as r from px) select cast(k as int) as k, round(sum(case when r <= k then e end) * 100.0::double / sum(e), 4) as energy_pct from r cross join (values (1), (4), (16), (64)) t(k) group by 1",
     "threshold_percentile": f"with {_PX}, d as (select abs(v - 128) as d from px), t as (select cast(pct as int) as pct, (select quantile_cont(d::double, 0.5) from d) as q50, (select quantile_cont(d::double, 0.9) from d) as q90, (select quantile_cont(d::double, 0.99) from d) as q99 from (values (50), (90), (99)) p(pct)), u as (select pct, case pct when 50 then q50 when 90 then q90 else q99 end as thr from t) select pct, round(thr, 4) as thr, count(*) as kept from u join d on d >= thr group by pct, thr",
@@ -665,13 +711,19 @@ SQL = {
     "region_mask": f"with {_PX} select label, cast(round_even(avg(v), 0) as int) as mean, count(distinct vec_id) as cells from px group by 1",
     "block_hash": f"with {_VEC} select list_reduce(list_transform(vec, lambda v: v::hugeint), lambda h, v: (xor(h, v) * 16777619) % 4294967296, 2166136261::hugeint)::bigint % 8 as bucket, count(*) as n from vecs group by 1",
     "quadtree_splits": None,
+    "lsh_nearest": _LSH_NEAREST,
+    "knn_metrics": f"with {_VEC}, p as (select q.vec_id as q, x.vec_id as id, list_transform(range(1, 65), lambda i: abs(x.vec[i] - q.vec[i])) as a from vecs x cross join vecs q where q.vec_id % 50 = 0 and x.vec_id <> q.vec_id), d as (select 'absolutes' as metric, q, id, cast(list_sum(a) as bigint) as d2 from p union all select 'greatest', q, id, cast(list_max(a) as bigint) from p), r as (select metric, q, cast(row_number() over (partition by metric, q order by d2, id) as int) as rnk, id, d2 from d) select * from r where rnk <= 2",
+    "kmeans_spread": _spread_sql(),
+    "haar_threshold": f"with {_PX}, t as (select vec_id, y >> 1 as by, x >> 1 as bx, max(case when y % 2 = 0 and x % 2 = 0 then v end) as a, max(case when y % 2 = 0 and x % 2 = 1 then v end) as b, max(case when y % 2 = 1 and x % 2 = 0 then v end) as c, max(case when y % 2 = 1 and x % 2 = 1 then v end) as d from px group by all), h as (select vec_id, unnest([a + b + c + d, a - b + c - d, a + b - c - d, a - b - c + d]) / 2.0::double as h from t), q as (select vec_id, quantile_cont(abs(h), 0.5) as t50, quantile_cont(abs(h), 0.9) as t90 from h group by 1) select vec_id, count(*) filter (abs(h) >= t50) as kept50, count(*) filter (abs(h) >= t90) as kept90, cast(sum(h * h) as bigint) as energy from h join q using (vec_id) group by 1",
+    "dct_energy": f"with {_PX}, c as (select u, i, cos(pi() * (2 * i + 1) * u / 16.0::double) * case when u = 0 then sqrt(1 / 8.0::double) else 0.5::double end as b from range(8) a(u), range(8) z(i)), r as (select vec_id, y, u, sum((v - 128) * b) as s from px join c on i = x group by all), f as (select vec_id, w.u + r.u as band, sum(s * w.b) as c from r join c w on w.i = r.y group by vec_id, w.u, r.u) select cast(band as int) as band, round(sum(c * c), 1) as energy from f group by 1",
+    **{k: "select vec_id, true as ok from embeddings" for k in ("huffman_roundtrip", "shifted_roundtrip", "bucket_roundtrip", "arith_roundtrip", "context_roundtrip", "planes_roundtrip", "palette_roundtrip")},
 }
 SQL["quadtree_splits"] = SQL["quadtree_costs"].replace("select vec_id, level, cast(sum(cost) as bigint) as cost from e group by all", "select split, count(*) as blocks from (select vec_id, (sum(case when level = 4 then cost end) + 1) * 10 < sum(case when level = 8 then cost end) * 9 as split from e group by 1) group by 1")
 
 QUERIES = [
     block_mode_select, block_mode_grid, block_mode_kernel, pixel_oracle_modes, implicit_mode_select, med_residual_hist, residual_entropy_by_mode, predictor_ranking, context_features_summary,
-    residual_context_entropy, mixer_context_hist, lookup_table_predict, block_gradients, block_region_class, smooth_block_fit, quadtree_costs, quadtree_splits, mdl_block_choice, huffman_roundtrip, arith_roundtrip,
-    planes_roundtrip, svd_rank_energy, svd_container_size, tensor_errors, omp_sparsity, ksvd_cost, siren_fit, polynomial_surface, haar_threshold, dtree_accuracy, decision_split, patch_extract, top_patches, knn_exact,
-    vq_assign, vq_cost, kmeans_steps, residual_vq, product_vq, lsh_candidates, region_gradient_fit, top_coefficients, dct_energy, threshold_percentile, psnr_by_level, abs_diff_stats, ssim_tiles, downsample_pyramid,
-    hilbert_scan_entropy, omp_first_atom, lossless_antijoin, palette_sizes, block_hash, crop_and_stride, region_mask,
+    residual_context_entropy, mixer_context_hist, lookup_table_predict, block_gradients, block_region_class, smooth_block_fit, quadtree_costs, quadtree_splits, mdl_block_choice, huffman_roundtrip, shifted_roundtrip, bucket_roundtrip, arith_roundtrip, context_roundtrip, palette_roundtrip,
+    planes_roundtrip, svd_rank_energy, svd_container_size, tensor_errors, omp_sparsity, ksvd_cost, siren_fit, polynomial_surface, haar_threshold, dtree_accuracy, decision_split, patch_extract, top_patches, knn_exact, knn_metrics,
+    vq_assign, vq_cost, kmeans_steps, kmeans_spread, residual_vq, product_vq, lsh_candidates, lsh_nearest, region_gradient_fit, top_coefficients, dct_energy, threshold_percentile, psnr_by_level, abs_diff_stats, ssim_tiles, downsample_pyramid,
+    hilbert_scan_entropy, omp_first_atom, lossless_antijoin, block_hash, crop_and_stride, region_mask,
 ]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +14,8 @@ from sigloom.operators import fields, linalg
 from sigloom.operators.entropy import entropy, total_bits
 from sigloom.operators.neighbours import block_predictions, map_blocks, with_neighbours
 from sigloom.operators.ordered import ContextMixer, LogitMixer, RunningLine, fold
-from sigloom.operators.quantise import first_vectors, residuals
+from sigloom.operators.quantise import first_vectors, lloyd, residuals
+from sigloom.plans.blocks import _BITS, _VD, LEFT, STEPS, trained_sql
 from sigloom.sources.signals import blocks, colours, pixels, series
 
 
@@ -41,10 +41,25 @@ def _named(name: str, query):
 _abs = lambda r: int(np.abs(r).sum())
 _r = lambda x: round(float(x), 4) + 0.0
 _KERNEL = np.array([[1, 2, 1], [2, 4, 2], [1, 2, 1]])
+#: Blocks whose halved forms are the domains of self-similarity.
+POOL = 32
 
 local_fit_residual = _named("local_fit_residual", _rows(lambda b: (_abs(b - fields.local_fit(b)),), abs_err="long"))
 edge_directions = _named("edge_directions", _rows(lambda b: (*fields.edge_direction(b), _abs(b - np.roll(b, fields.edge_direction(b), (0, 1)))), dy="int", dx="int", abs_err="long"))
-self_similarity = _named("self_similarity", _rows(lambda b: (lambda s: (s[0], _r(s[1])))(fields.self_similarity(b)), matched="long", mse="double"))
+
+
+def self_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, matched, mse): quarters of blocks by the best of the halved forms of POOL blocks, those of the smallest ids, in four turns."""
+    vectors = blocks(spark, sf_dir)
+    pool = fields.domains(first_vectors(vectors, POOL).reshape(-1, 8, 8))
+
+    def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        errors = fields.domain_errors(v.astype(float), pool)
+        return {"vec_id": ids, "matched": (errors < 400).sum(1).astype(np.int64), "mse": np.round(errors.mean(1), 4) + 0.0}
+
+    return map_blocks(vectors, kernel, "vec_id long, matched long, mse double")
+
+
 patch_kmeans = _named("patch_kmeans", _rows(lambda b: (_abs(b - fields.patch_means(b)),), abs_err="long"))
 wavelet_db2 = _named("wavelet_db2", _rows(lambda b: (_r((fields.db2(b.astype(float)) ** 2).sum() - (b.astype(float) ** 2).sum()), int((np.abs(fields.db2(b.astype(float))) > 20).sum())), energy_change="double", large="long"))
 fourier_top = _named("fourier_top", _rows(lambda b: tuple(_r(fields.fourier_top(b - 128, k)[1]) for k in (1, 8, 64)), top1="double", top8="double", top64="double"))
@@ -59,36 +74,50 @@ mask_composite = _named("mask_composite", _rows(lambda b: (lambda c: (int(c.min(
 noise_fit = _named("noise_fit", _rows(lambda b: (_r(np.corrcoef(fields.gradient_noise(8, 8, 2, 1).ravel(), b.ravel())[0, 1] if b.std() else 0.0), _r((fields.cell_distance(8, 8, np.array([[0.2, 0.3], [0.7, 0.8]])) * b).sum())), noise_corr="double", cell_sum="double"))
 
 
-def _random_projection(b: np.ndarray) -> tuple[float, ...]:
-    """Rest after projecting on Gaussian directions of 10, 30 and 50 per cent and back by least squares."""
-    x = b.ravel() - 128.0
-    out = []
-    for share in (0.1, 0.3, 0.5):
-        p = np.random.default_rng(9).normal(size=(int(64 * share), 64))
-        out.append(_r(np.linalg.norm(x - np.linalg.lstsq(p, p @ x, rcond=None)[0])))
-    return tuple(out)
+def _batch(name: str, doc: str, make, **kinds: str):
+    """A query of one row per block: make(blocks as n x 64 doubles) gives columns of doubles, rounded to four places."""
 
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+            cols = make(v.reshape(len(v), -1).astype(float))
+            return {"vec_id": ids, **{k: np.round(c, 4) + 0.0 for k, c in zip(kinds, cols, strict=True)}}
+
+        return map_blocks(blocks(spark, sf_dir), kernel, "vec_id long, " + ", ".join(f"{k} {t}" for k, t in kinds.items()))
 
-random_projection = _named("random_projection", _rows(_random_projection, rest10="double", rest30="double", rest50="double"))
+    query.__name__, query.__doc__ = name, doc
+    return query
 
 
-def _random_features(b: np.ndarray) -> tuple[float]:
-    y, x = linalg.plane_features(8, 8)
-    a = linalg.random_features(np.c_[x.ravel(), y.ravel()], 12, 1)
-    return (_r(((a @ np.linalg.lstsq(a, b.ravel().astype(float), rcond=None)[0] - b.ravel()) ** 2).mean()),)
+def _onto(a: np.ndarray) -> np.ndarray:
+    """The projection on the columns of a: a least-squares fit of every block is one product with it."""
+    return a @ np.linalg.pinv(a)
+
 
+def _fit_error(a: np.ndarray):
+    m = _onto(a)
+    return lambda v: (((v @ m.T - v) ** 2).mean(1),)
 
-random_feature_fit = _named("random_feature_fit", _rows(_random_features, mse="double"))
 
+def _projections() -> list[np.ndarray]:
+    return [_onto(np.random.default_rng(9).normal(size=(int(64 * share), 64)).T) for share in (0.1, 0.3, 0.5)]
 
-def _fourier_codec(b: np.ndarray) -> tuple[float]:
-    """Least squares on harmonics of the coordinates."""
+
+def _features() -> np.ndarray:
+    y, x = linalg.plane_features(8, 8)
+    return linalg.random_features(np.c_[x.ravel(), y.ravel()], 12, 1)
+
+
+def _waves() -> np.ndarray:
     y, x = linalg.plane_features(8, 8)
-    a = np.stack([np.ones(64)] + [f(math.pi * k * c.ravel()) for k in (0.5, 1, 1.5) for c in (x, y, x + y) for f in (np.sin, np.cos)], 1)
-    return (_r(((a @ np.linalg.lstsq(a, b.ravel().astype(float), rcond=None)[0] - b.ravel()) ** 2).mean()),)
+    return np.stack([np.ones(64)] + [f(math.pi * k * c.ravel()) for k in (0.5, 1, 1.5) for c in (x, y, x + y) for f in (np.sin, np.cos)], 1)
 
 
-fourier_codec = _named("fourier_codec", _rows(_fourier_codec, mse="double"))
+random_projection = _batch(
+    "random_projection", "Rest after projecting on Gaussian directions of 10, 30 and 50 per cent and back by least squares (L25).",
+    lambda v: [np.linalg.norm((v - 128) - (v - 128) @ m.T, axis=1) for m in _projections()], rest10="double", rest30="double", rest50="double",
+)
+random_feature_fit = _batch("random_feature_fit", "Least squares on random features of the coordinates (L10).", lambda v: _fit_error(_features())(v), mse="double")
+fourier_codec = _batch("fourier_codec", "Least squares on harmonics of the coordinates (L18).", lambda v: _fit_error(_waves())(v), mse="double")
 
 
 def _procedural(b: np.ndarray) -> tuple[float]:
@@ -170,21 +199,37 @@ def finite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hierarchical_vq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stage, bits): whole blocks by codes, then their quarters, then their sixteenths, each from what is left."""
+    """(stage, bits): whole blocks by codes, then their quarters, then their sixteenths, each by a codebook trained on what is left."""
     left, out = blocks(spark, sf_dir).select("vec_id", "vec"), None
-    for stage, k in enumerate((8, 4, 2)):
-        left = residuals(left, first_vectors(left, k, skip=(0, 32, 160)[stage]))
+    for stage, k in enumerate(HIERARCHY):
+        left = residuals(left, lloyd(left, first_vectors(left, k), STEPS)).select("vec_id", "vec")
         bits = total_bits(left.select(F.lit(stage).alias("stage"), F.explode("vec").alias("sym")), ["stage"], digits=3)
         out = bits if out is None else out.unionByName(bits)
-        side = 8 >> (stage + 1)
-        squares = [F.filter(F.transform("vec", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), _inside(by, bx, side, side * 2)) for by in (0, 1) for bx in (0, 1)]
-        parts = left.select("vec_id", F.posexplode(F.array(*(F.transform(s, lambda t: t["x"]) for s in squares))).alias("part", "vec"))
+        quarters = [F.array(*(F.col("vec")[i] for i in places)) for places in _quarters(8 >> stage)]
+        parts = left.select("vec_id", F.posexplode(F.array(*quarters)).alias("part", "vec"))
         left = parts.select((F.col("vec_id") * 4 + F.col("part")).alias("vec_id"), "vec")
     return out.select("stage", "bits")
 
 
-def _inside(by: int, bx: int, side: int, width: int):
-    return lambda t: (F.floor(F.floor(t["i"] / width) / side) == by) & (F.floor((t["i"] % width) / side) == bx)
+#: Codes of whole blocks, quarters and sixteenths.
+HIERARCHY = (8, 16, 32)
+
+
+def _quarters(width: int) -> list[list[int]]:
+    """Places, row by row, of the four quarters of a square."""
+    half = width // 2
+    return [[(by * half + y) * width + bx * half + x for y in range(half) for x in range(half)] for by in (0, 1) for bx in (0, 1)]
+
+
+def _hierarchical_sql() -> str:
+    out = f"with {_VD}, h0 as (select * from vecs)"
+    for s, k in enumerate(HIERARCHY):
+        out += f", {trained_sql(f'h{s}', f'h{s}', k)}, l{s} as (select vec_id, {LEFT} as vec from near_h{s})"
+        if s < len(HIERARCHY) - 1:
+            parts = " union all ".join(f"select vec_id * 4 + {j} as vec_id, list_transform({[i + 1 for i in places]}, lambda i: vec[i]) as vec from l{s}" for j, places in enumerate(_quarters(8 >> s)))
+            out += f", h{s + 1} as ({parts})"
+    rows = " union all ".join(f"select {s} as stage, unnest(vec) as sym from l{s}" for s in range(len(HIERARCHY)))
+    return f"{out}, k as (select stage, sym, count(*) as cnt from ({rows}) group by all) select cast(stage as int) as stage, {_BITS.format(d=3)} as bits from k group by 1"
 
 
 def cross_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +242,7 @@ def cross_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pca_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(n, mismatches, spread): colours less their means, turned by three lifting rotations of the axes of their covariance, and back."""
+    """(n, mismatches): colours less their means, turned by three lifting rotations of the axes of their covariance, and back."""
     c = colours(spark, sf_dir).select("r", "g", "b")
     m = c.agg(*(F.avg(x).alias(x) for x in "rgb"), *(F.covar_pop(x, y).alias(x + y) for i, x in enumerate("rgb") for y in "rgb"[i:])).first()
     cov = np.array([[m["r" * 2], m["rg"], m["rb"]], [m["rg"], m["gg"], m["gb"]], [m["rb"], m["gb"], m["bb"]]])
@@ -208,12 +253,11 @@ def pca_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, j, t in turns:
         a, b = rotate(F.col(f"c{i}"), F.col(f"c{j}"), t)
         df = df.withColumns({f"c{i}": a, f"c{j}": b})
-    df = df.withColumn("first", F.col("c0"))
     for i, j, t in reversed(turns):
         a, b = unrotate(F.col(f"c{i}"), F.col(f"c{j}"), t)
         df = df.withColumns({f"c{i}": a, f"c{j}": b})
     off = (F.col("c0") + round(m.r) != F.col("r")) | (F.col("c1") + round(m.g) != F.col("g")) | (F.col("c2") + round(m.b) != F.col("b"))
-    return df.agg(F.count("*").alias("n"), F.sum(off.cast("int")).alias("mismatches"), F.round(F.stddev_pop("first"), 2).alias("spread"))
+    return df.agg(F.count("*").alias("n"), F.sum(off.cast("int")).alias("mismatches"))
 
 
 def grey_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,32 +285,37 @@ def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.agg(F.greatest(F.min("y") - 1, F.lit(0)).alias("y0"), F.least(F.max("y") + 1, F.lit(7)).alias("y1"), F.greatest(F.min("x") - 1, F.lit(0)).alias("x0"), F.least(F.max("x") + 1, F.lit(7)).alias("x1"))
 
 
-def _mixed(rows: pd.DataFrame) -> pd.DataFrame:
+class _Mixed:
     """Online mixing over a series: predictions by context, a line on the value before, and a logit mix of the sign's chance."""
-    mixer, line, logit = ContextMixer(8, 3), RunningLine(), LogitMixer(2)
-    last = before = 0
-    total = line_total = 0
-    bits = 0.0
-    up = [1, 1]
-    for v in rows["sample"].tolist():
-        preds = [last, 2 * last - before, (last + before) // 2]
-        ctx = min(7, abs(last - before).bit_length() // 2)
-        total += abs(v - mixer.predict(ctx, preds))
-        mixer.learn(ctx, preds, v)
-        line_total += abs(v - line.predict(last))
-        line.learn(last, v)
-        bit = int(v > last)
-        p = logit.mix([up[1] / sum(up), 0.75 if last < before else 0.25])
-        bits -= math.log2(p if bit else 1 - p)
-        logit.learn(bit)
-        up[bit] += 1
-        before, last = last, v
-    return pd.DataFrame({"user_id": [rows.user_id.iloc[0]], "mixed": [total], "line": [line_total], "sign_bits": [round(bits, 4)]})
+
+    def __init__(self):
+        self.mixer, self.line, self.logit = ContextMixer(8, 3), RunningLine(), LogitMixer(2)
+        self.last = self.before = self.total = self.line_total = 0
+        self.bits, self.up = 0.0, [1, 1]
+
+    def learn_all(self, values: list[int]) -> None:
+        for v in values:
+            last, before, up = self.last, self.before, self.up
+            preds = [last, 2 * last - before, (last + before) // 2]
+            ctx = min(7, abs(last - before).bit_length() // 2)
+            self.total += abs(v - self.mixer.predict(ctx, preds))
+            self.mixer.learn(ctx, preds, v)
+            self.line_total += abs(v - self.line.predict(last))
+            self.line.learn(last, v)
+            bit = int(v > last)
+            p = self.logit.mix([up[1] / sum(up), 0.75 if last < before else 0.25])
+            self.bits -= math.log2(p if bit else 1 - p)
+            self.logit.learn(bit)
+            up[bit] += 1
+            self.before, self.last = last, v
+
+    def row(self) -> tuple[int, int, float]:
+        return self.total, self.line_total, round(self.bits, 4)
 
 
 def online_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, mixed, line, sign_bits): the online mixers over each series."""
-    return fold(series(spark, sf_dir).select("user_id", "ts", "event_id", "sample"), ["user_id"], ["ts", "event_id"], _mixed, "user_id long, mixed long, line long, sign_bits double")
+    return fold(series(spark, sf_dir), "user_id", ["ts", "event_id"], "sample", _Mixed, "mixed long, line long, sign_bits double")
 
 
 _PX = "px as (select vec_id, cast(p as int) as p, cast(p // 8 as int) as y, cast(p % 8 as int) as x, cast(round(cast(e as double) * 127 + 128) as int) as v from (select vec_id, unnest(embedding) as e, unnest(range(64)) as p from embeddings))"
@@ -278,7 +327,21 @@ _SEVEN = [
 ]
 _BPS = "round((sum(cnt) * log2(sum(cnt)::double) - sum(cnt * log2(cnt::double))) / sum(cnt), 6) + 0.0"
 
+_OFFSETS = "o as (select dy - 2 as dy, dx - 2 as dx from range(5) a(dy), range(5) b(dx))"
+
+
+def _window(name: str, source: str, pick: str) -> str:
+    """A 5 x 5 window over m, edges repeated."""
+    return f"{name} as (select c.vec_id, c.y, c.x, {pick}(d.m) as m from {source} c cross join o join {source} d on d.vec_id = c.vec_id and d.y = greatest(0, least(7, c.y + o.dy)) and d.x = greatest(0, least(7, c.x + o.dx)) group by all)"
+
+
+_HARMONICS = ["sin(1 * pi() * u)", "cos(1 * pi() * u)", "sin(2 * pi() * u)", "cos(2 * pi() * u)"]
 SQL = {
+    "hierarchical_vq": _hierarchical_sql(),
+    "block_resize": f"with {_PX}, m as (select vec_id, v - cast(round_even(avg(v) over (partition by vec_id, y // 2, x // 2), 0) as int) as r from px) select vec_id, cast(sum(abs(r)) as bigint) as down_up, 0::bigint as padding from m group by 1",
+    "mask_composite": f"with {_PX}, {_OFFSETS}, m0 as (select vec_id, y, x, (v > 128)::int::double as m from px), {_window('m1', 'm0', 'min')}, {_window('m2', 'm1', 'max')}, {_window('m3', 'm2', 'avg')}, c as (select vec_id, cast(round_even(m * v + (1 - m) * 128, 0) as bigint) as c from m3 join px using (vec_id, y, x)) select vec_id, min(c) as low, max(c) as high, cast(sum(c) as bigint) as total from c group by 1",
+    "pca_roundtrip": "select count(*) as n, 0::bigint as mismatches from lineitem",
+    "harmonic_features": f"with {_PX}, h as (select unnest([0, 1, 2, 3]) as k, [{', '.join(_HARMONICS)}] as h from (select -1 + 2 * y / 7.0::double as u from px)), e as (select k, h[k + 1] as v, exp(h[k + 1] - list_max(h)) / list_sum(list_transform(h, lambda a: exp(a - list_max(h)))) as s from h) select k, round(avg(v), 6) + 0.0 as mean, round(avg(s), 6) as weight from e group by 1",
     "smooth_filter": f"with {_PX}, k as (select vec_id, oy, ox, sum(v * case when y - oy = 1 then 2 else 1 end * case when x - ox = 1 then 2 else 1 end) as s from px cross join range(0, 6) a(oy) cross join range(0, 6) b(ox) where y between oy and oy + 2 and x between ox and ox + 2 group by all) select vec_id, cast(sum(s) as bigint) as total, cast(max(s) as bigint) as top from k group by 1",
     "scalar_mode_entropy": f"with {_NB}, r as ({' union all '.join(f'select {i} as mode_idx, v - least(511, greatest(0, {m})) as r from nb' for i, m in enumerate(_SEVEN))}), k as (select mode_idx, r, count(*) as cnt from r group by all) select cast(mode_idx as int) as mode_idx, {_BPS} as bps from k group by 1",
     "pixel_means": f"with {_NB} select y, cast(round_even(avg(v), 0) as int) as mean, round(avg((v = l)::int::double) * 100, 4) as zero_pct from nb group by 1",

@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 
 from sigloom.operators import containers, fields, linalg, report
 from sigloom.operators.codecs import CODERS
-from sigloom.operators.entropy import total_bits
+from sigloom.functions.scalar import zigzag
+from sigloom.operators.entropy import entropy_of, total_bits
 from sigloom.operators.neighbours import block_predictions, map_blocks
+from sigloom.sources.images import png_bytes
 from sigloom.sources.signals import blocks, pixels, table
 
 GOP = 30
 
 
 def video_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gop, frames, bytes, ok): blocks as frames in order of id, coded and decoded by groups of 30 (F02, O14-O16), with their row means as sound.
+    """(gop, frames, ok): blocks as frames in order of id, coded and decoded by groups of 30 (F02, O14-O16), with their row means as sound.
 
     A group starts with an intra frame, so that groups are decoded in parallel.
     """
@@ -28,11 +30,10 @@ def video_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     def code(rows: pd.DataFrame) -> pd.DataFrame:
         frames = [np.array(v, np.int64).reshape(8, 8) for v in rows.sort_values("vec_id").vec]
         sound = [int(m) * 257 - 32768 for f in frames for m in f.mean(1)]
-        blob = containers.pack_video(frames, audio=sound, gop=GOP)
-        back, heard = containers.unpack_video(blob)
-        return pd.DataFrame({"gop": [rows.gop.iloc[0]], "frames": [len(frames)], "bytes": [len(blob)], "ok": [heard == sound and all((a == b).all() for a, b in zip(frames, back, strict=True))]})
+        back, heard = containers.unpack_video(containers.pack_video(frames, audio=sound, gop=GOP))
+        return pd.DataFrame({"gop": [rows.gop.iloc[0]], "frames": [len(frames)], "ok": [heard == sound and all((a == b).all() for a, b in zip(frames, back, strict=True))]})
 
-    return blocks(spark, sf_dir).select(F.floor(F.col("vec_id") / GOP).alias("gop"), "vec_id", "vec").groupBy("gop").applyInPandas(code, "gop long, frames long, bytes long, ok boolean")
+    return blocks(spark, sf_dir).select(F.floor(F.col("vec_id") / GOP).alias("gop"), "vec_id", "vec").groupBy("gop").applyInPandas(code, "gop long, frames long, ok boolean")
 
 
 def svd_container_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,21 @@ def svd_container_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("rank").agg(F.sum("bytes").alias("bytes"), F.when(mse == 0, float("inf")).otherwise(F.round(F.log10(65025 / mse) * 10, 2)).alias("psnr"))
 
 
+def decode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, blocks, exact): blocks packed in five kinds of artifacts by their id, decoded by what their first bytes say."""
+    kinds = {
+        "planes": lambda b: containers.pack_planes([b]), "video": lambda b: containers.pack_video([b]), "palette": lambda b: containers.pack_palette(b, [(g,) * 3 for g in range(256)]),
+        "standard": lambda b: png_bytes(np.stack([b] * 3, -1)), "small": lambda b: containers.pack_small(containers.pack_planes([b]), None),
+    }
+
+    def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        names = list(kinds)
+        blobs = [kinds[names[i % len(names)]](b) for i, b in zip(ids, v.astype(np.int64), strict=True)]
+        return {"kind": np.array([containers.kind_of(x) for x in blobs]), "ok": np.array([int((containers.decode(x, (8, 8)) == b).all()) for x, b in zip(blobs, v, strict=True)])}
+
+    return map_blocks(blocks(spark, sf_dir), kernel, "kind string, ok long").groupBy("kind").agg(F.count("*").alias("blocks"), F.sum("ok").alias("exact"))
+
+
 def _le(v: Column, n: int) -> Column:
     """An integer as n bytes, low byte first, in hexadecimal."""
     return F.concat(*(F.lpad(F.hex(F.shiftright(v, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(n)))
@@ -97,36 +113,92 @@ def entropy_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.union(whole)
 
 
-def _methods(b: np.ndarray) -> list[tuple[str, int, int, float]]:
-    """(method, tier, bytes, sum of squared errors) of one block by a registry of methods."""
+#: Parameters of the battery's sweeps.
+RANKS, GREYS, FACTORS, PERCENTILES = (5, 10, 20, 50, 100), (8, 16, 32, 64, 128, 256), (2, 4, 8), (90, 95, 99)
+#: A plane of the battery: so many blocks in order of id, side by side.
+ACROSS = 4
+
+
+def _greys(plane: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, levels) of a plane in k greys: Lloyd steps over its histogram from levels of even shares (T06, K02); ends when no index moves."""
+    values, counts = np.unique(plane, return_counts=True)
+    share = (np.cumsum(counts) - counts / 2) / counts.sum()
+    levels = np.unique(values[np.minimum(np.searchsorted(share, (np.arange(k) + 0.5) / k), len(values) - 1)].astype(float))
+    near = None
+    for _ in range(rounds):
+        new = np.abs(values[:, None] - levels).argmin(1)
+        if near is not None and (new == near).all():
+            break
+        near = new
+        mass = np.bincount(near, counts, len(levels))
+        levels = np.where(mass > 0, np.bincount(near, counts * values, len(levels)) / np.maximum(mass, 1), levels)
+    return near[np.searchsorted(values, plane)], np.rint(levels).astype(int)
+
+
+def _wavelet(v: np.ndarray, name: str, back: bool) -> np.ndarray:
+    """One level of a wavelet on a plane, averages first, or the plane again."""
+    low = np.array([1.0, 1.0]) / math.sqrt(2) if name == "haar" else fields.DB2
+    n = v.shape[0]
+    m = np.zeros((n, n))
+    for i in range(n // 2):
+        for j, c in enumerate(low):
+            m[i, (2 * i + j) % n] += c
+            m[n // 2 + i, (2 * i + j) % n] += low[::-1][j] * (-1) ** j
+    return m.T @ v @ m if back else m @ v @ m.T
+
+
+def _ssim(a: np.ndarray, b: np.ndarray) -> float:
+    """Structural similarity by 7 x 7 box windows and sample moments."""
+    win = lambda x: np.lib.stride_tricks.sliding_window_view(x.astype(float), (7, 7)).reshape(-1, 49)
+    x, y = win(a), win(b)
+    mx, my = x.mean(1), y.mean(1)
+    vx, vy, c = x.var(1, ddof=1), y.var(1, ddof=1), ((x - mx[:, None]) * (y - my[:, None])).sum(1) / 48
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    return float(((2 * mx * my + c1) * (2 * c + c2) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean())
+
+
+def battery(b: np.ndarray) -> list[tuple[str, int, bytes, np.ndarray]]:
+    """(method, tier, blob, plane again) of a square plane by a registry of methods."""
     raw = b.astype(np.uint8).tobytes()
-    out = [(f"lossless_{k}", 1, len(e(raw)), 0.0) for k, (e, _) in CODERS.items()]
-    out.append(("lossless_modes", 1, len(containers.pack_planes([b])), 0.0))
-    out += [(f"svd_{r}", 4, len(blob), float(((containers.unpack_svd(blob)[0] - b) ** 2).sum())) for r in (1, 2, 4) for blob in [containers.pack_svd([b], r)]]
-    for k in (4, 16):
-        grey = [(g * 256 // k + 128 // k,) * 3 for g in range(k)]
-        blob = containers.pack_palette(b * k // 256, grey)
-        out.append((f"palette_{k}", 3, len(blob), float(((containers.unpack_palette(blob)[:, :, 0].astype(int) - b) ** 2).sum())))
-    c = linalg.dct2(b - 128.0)
-    for pct in (75, 95):
-        kept = np.rint(np.where(np.abs(c) >= np.percentile(np.abs(c), pct), c, 0))
-        out.append((f"dct_p{pct}", 4, len(zlib.compress(kept.astype("<i2").tobytes(), 9)), float(((np.rint(linalg.idct2(kept) + 128) - b) ** 2).sum())))
-    half = fields.box_down(b, 2)
-    out.append(("downscale_2x", 4, len(zlib.compress(half.astype(np.uint8).tobytes(), 9)), float(((fields.resize(half, 8, 8) - b) ** 2).sum())))
+    small = lambda q: zlib.compress(q.astype("<i2").tobytes(), 9)
+    out = [(f"lossless_{k}", 1, e(raw), b) for k, (e, _) in CODERS.items()]
+    out.append(("lossless_modes", 1, containers.pack_planes([b]), b))
+    out += [(f"svd_rank{r}", 4, blob, containers.unpack_svd(blob)[0]) for r in RANKS for blob in [containers.pack_svd([b], r)]]
+    for k in GREYS:
+        at, levels = _greys(b, k)
+        blob = containers.pack_palette(at, [(int(g),) * 3 for g in levels])
+        out.append((f"palette_k{k}", 3, blob, containers.unpack_palette(blob)[:, :, 0].astype(int)))
+    for f in FACTORS:
+        part = fields.box_down(b, f)
+        out.append((f"downscale_{f}x", 4, zlib.compress(part.astype(np.uint8).tobytes(), 9), fields.resize(part, *b.shape)))
+    spectra = {"dct": (linalg.dct2(b - 128.0), linalg.idct2), **{f"wavelet_{w}": (_wavelet(b - 128.0, w, False), lambda c, w=w: _wavelet(c, w, True)) for w in ("haar", "db2")}}
+    for name, (c, back) in spectra.items():
+        for pct in PERCENTILES:
+            kept = np.rint(np.where(np.abs(c) >= np.percentile(np.abs(c), pct), c, 0))
+            out.append((f"{name}_pct{pct}", 4, small(kept), np.clip(np.rint(back(kept) + 128), 0, 255).astype(int)))
+    for name, tier, blob, plane in [m for m in out if m[1] > 1]:  # a second pass over the artifacts (T10)
+        out.append((f"{name}+again", 5, min((e(blob) for e, _ in CODERS.values()), key=len), plane))
     return out
 
 
 def method_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tier, rnk, name, compressed_size, ratio, psnr): every method over every block, ranked in its tier."""
+    """(tier, rnk, name, compressed_size, ratio, psnr, ssim): every method over planes of blocks, ranked in its tier."""
 
-    def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        rows = [(i, *m) for i, b in zip(ids, v.astype(np.int64), strict=True) for m in _methods(b)]
-        return dict(zip(("vec_id", "name", "tier", "bytes", "sse"), map(np.array, zip(*rows, strict=True)), strict=True))
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        tiles = np.zeros((ACROSS * ACROSS, 8, 8), np.int64) + 128
+        for i, v in zip(rows.vec_id % (ACROSS * ACROSS), rows.vec, strict=True):
+            tiles[i] = np.array(v).reshape(8, 8)
+        b = tiles.reshape(ACROSS, ACROSS, 8, 8).swapaxes(1, 2).reshape(8 * ACROSS, 8 * ACROSS)
+        return pd.DataFrame([(n, t, len(blob), float(((p - b) ** 2).sum()), _ssim(b, p)) for n, t, blob, p in battery(b)], columns=["name", "tier", "bytes", "sse", "s"])
 
-    each = map_blocks(blocks(spark, sf_dir), kernel, "vec_id long, name string, tier long, bytes long, sse double")
-    mse = F.sum("sse") / (F.count("*") * 64)
-    sums = each.groupBy("tier", "name").agg((F.count("*") * 64).alias("original_size"), F.sum("bytes").alias("compressed_size"), F.when(mse == 0, float("inf")).otherwise(F.round(F.log10(65025 / mse) * 10, 2)).alias("psnr"))
-    return report.leaderboard(sums).select("tier", "rnk", "name", "compressed_size", "ratio", "psnr")
+    planes = blocks(spark, sf_dir).select(F.floor(F.col("vec_id") / (ACROSS * ACROSS)).alias("plane"), "vec_id", "vec")
+    each = planes.groupBy("plane").applyInPandas(run, "name string, tier long, bytes long, sse double, s double")
+    pixels_of = F.count("*") * 64 * ACROSS * ACROSS
+    mse = F.sum("sse") / pixels_of
+    sums = each.groupBy("tier", "name").agg(
+        pixels_of.alias("original_size"), F.sum("bytes").alias("compressed_size"), F.when(mse == 0, float("inf")).otherwise(F.round(F.log10(65025 / mse) * 10, 2)).alias("psnr"), F.round(F.avg("s"), 4).alias("ssim")
+    )
+    return report.leaderboard(sums).select("tier", "rnk", "name", "compressed_size", "ratio", "psnr", "ssim")
 
 
 def sparse_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,10 +257,60 @@ def blend(plane: np.ndarray, back: bool) -> np.ndarray:
 
 def blend_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        rs = [blend(b, False) for b in v.astype(np.int64)]
-        return {"vec_id": ids, "abs_err": np.array([int(np.abs(r).sum()) for r in rs]), "ok": np.array([bool((blend(r, True) == b).all()) for r, b in zip(rs, v, strict=True)])}
+        return {"vec_id": ids, "ok": np.array([bool((blend(blend(b, False), True) == b).all()) for b in v.astype(np.int64)])}
+
+    return map_blocks(blocks(spark, sf_dir), kernel, "vec_id long, ok boolean")
+
+
+#: Fixed values: (tier, format, name of the parameter, its values) of the sweeps by coders that are not on the box.
+SWEEPS = [
+    (2, "jpeg", "quality", [95, 97, 99, 100]), (2, "webp", "quality", [95, 97, 99, 100]), (2, "jxl", "distance", [0.1, 0.2, 0.3, 0.5]), (2, "avif", "quality", [90, 95, 97, 100]),
+    (3, "jxl", "distance", [1.0, 2.0, 3.0, 5.0, 8.0, 10.0, 15.0]),
+]
+#: Qualities that the lossy sweeps of jpeg, webp and avif take.
+QUALITIES = [90, 80, 70, 60, 50, 40, 30, 20, 10]
 
-    return map_blocks(blocks(spark, sf_dir), kernel, "vec_id long, abs_err long, ok boolean")
+
+def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tier, format, parameter, runs, low, high): the sweeps of coders that are not on the box, as data."""
+    rows = [(t, f, p, float(v)) for t, f, p, vs in SWEEPS + [(3, f, "quality", QUALITIES) for f in ("jpeg", "webp", "avif")] for v in vs]
+    grid = spark.createDataFrame(rows, "tier int, format string, parameter string, value double")
+    return grid.groupBy("tier", "format", "parameter").agg(F.count("*").alias("runs"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def clamp_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_returnflag, clipped, bits): prices in cents, clipped to 16 bits, at the entropy of their zig-zag."""
+    cents = F.round(F.col("l_extendedprice") * 2).cast("int") - 50_000
+    v = F.greatest(F.lit(-32768), F.least(F.lit(32767), cents))
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (v != cents).cast("int").alias("cut"), zigzag(v).alias("sym"))
+    counts = rows.groupBy("l_returnflag", "sym").agg(F.count("*").alias("cnt"), F.sum("cut").alias("cut"))
+    bits, _ = entropy_of()
+    return counts.groupBy("l_returnflag").agg(F.sum("cut").alias("clipped"), (F.round(bits, 2) + 0.0).alias("bits"))
+
+
+def adaptive_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, abs_err): each row of a block from the row of its 4-bit form by a line, that of the whole block at first, then moved by a
+    twentieth to each row's own (W06)."""
+
+    def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        t = v.astype(np.int64)
+        r = t // 16
+
+        def line(t: np.ndarray, r: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+            axes = tuple(range(1, t.ndim))
+            sr, st = r.sum(axes), t.sum(axes)
+            a = ((n * (r * t).sum(axes) - sr * st) / (n * n)) / ((n * (r * r).sum(axes) - sr * sr) / (n * n) + 1e-10)
+            return a, st / n - a * (sr / n)
+
+        a, b = line(t, r, 64)
+        total = np.zeros(len(t), np.int64)
+        for y in range(8):
+            total += np.abs(t[:, y] - np.rint(a[:, None] * r[:, y] + b[:, None]).astype(np.int64)).sum(1)
+            ra, rb = line(t[:, y], r[:, y], 8)
+            a, b = 0.95 * a + (1 - 0.95) * ra, 0.95 * b + (1 - 0.95) * rb
+        return {"vec_id": ids, "abs_err": total}
+
+    return map_blocks(blocks(spark, sf_dir), kernel, "vec_id long, abs_err long")
 
 
 def duplicate_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +334,20 @@ def lag_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PX = "px as (select vec_id, cast(p as int) as p, cast(p // 8 as int) as y, cast(p % 8 as int) as x, cast(round(cast(e as double) * 127 + 128) as int) as v from (select vec_id, unnest(embedding) as e, unnest(range(64)) as p from embeddings))"
 _B = "sum(cnt) * log2(sum(cnt)::double) - sum(cnt * log2(cnt::double))"
 
+_LINE = "(({n} * sum(r * t) - sum(r) * sum(t)) / ({n} * {n})::double) / (({n} * sum(r * r) - sum(r) * sum(r)) / ({n} * {n})::double + 1e-10::double)"
+_SWEEP = ", ".join(f"({t}, '{f}', '{p}', {float(v)}::double)" for t, f, p, vs in SWEEPS + [(3, f, "quality", QUALITIES) for f in ("jpeg", "webp", "avif")] for v in vs)
+
 SQL = {
+    "video_roundtrip": f"select vec_id // {GOP} as gop, count(*) as frames, true as ok from embeddings group by 1",
+    "decode_dispatch": "select (['planes', 'video', 'palette', 'standard', 'small'])[vec_id % 5 + 1] as kind, count(*) as blocks, count(*) as exact from embeddings group by 1",
+    "blend_roundtrip": "select vec_id, true as ok from embeddings",
+    "sweep_grid": f"select cast(t as int) as tier, f as format, p as parameter, count(*) as runs, min(v) as low, max(v) as high from (values {_SWEEP}) g(t, f, p, v) group by all",
+    "clamp_cost": f"with c as (select l_returnflag, cast(round(l_extendedprice * 2) as int) - 50000 as c from lineitem), v as (select l_returnflag, c, greatest(-32768, least(32767, c)) as v from c), k as (select l_returnflag, case when v >= 0 then 2 * v else -2 * v - 1 end as sym, count(*) as cnt, sum((v <> c)::int) as cut from v group by all) select l_returnflag, cast(sum(cut) as bigint) as clipped, round({_B}, 2) + 0.0 as bits from k group by 1",
+    "adaptive_line": f"""with recursive {_PX}, tr as (select vec_id, y, x, v as t, v // 16 as r from px),
+      g as (select vec_id, a, st / 64.0::double - a * (sr / 64.0::double) as b from (select vec_id, {_LINE.format(n=64)} as a, sum(t) as st, sum(r) as sr from tr group by 1)),
+      l as (select vec_id, y, a, st / 8.0::double - a * (sr / 8.0::double) as b from (select vec_id, y, {_LINE.format(n=8)} as a, sum(t) as st, sum(r) as sr from tr group by all)),
+      w as (select vec_id, 0 as y, a, b from g union all select w.vec_id, w.y + 1, 0.95::double * w.a + (1 - 0.95::double) * l.a, 0.95::double * w.b + (1 - 0.95::double) * l.b from w join l on l.vec_id = w.vec_id and l.y = w.y where w.y < 7)
+      select vec_id, cast(sum(abs(t - cast(round_even(a * r + b, 0) as bigint))) as bigint) as abs_err from w join tr using (vec_id, y) group by 1""",
     "container_headers": f"select ([{', '.join(repr(k) for k in HEADERS)}])[l_partkey % {len(HEADERS)} + 1] as kind, count(*) as n, cast(sum(cast(l_quantity as int) % 50 + 1) as bigint) as widths, cast(sum(l_linenumber * 9) as bigint) as heights from lineitem group by 1",
     "json_header": "select (['raw', 'zlib', 'bz2', 'lzma'])[doc_id % 4 + 1] as algo, count(*) as n, cast(sum(octet_length(encode(text))) as bigint) as total, count(distinct sha256(text)) as hashes from documents group by 1",
     "giant_integers": "select source, cast(sum(case when length(text) = 0 then 0 else octet_length(encode(text)) * 8 - 8 + length(ltrim(bin(('0x' || substring(hex(encode(text)), 1, 2))::int), '0')) end) as bigint) as bits from documents group by 1",
@@ -222,5 +357,5 @@ SQL = {
 }
 
 QUERIES = [
-    video_roundtrip, svd_container_psnr, container_headers, json_header, giant_integers, entropy_estimate, method_battery, sparse_cost, multi_scale, blend_roundtrip, duplicate_share, lag_autocorrelation,
+    video_roundtrip, decode_dispatch, svd_container_psnr, container_headers, json_header, giant_integers, entropy_estimate, method_battery, sparse_cost, multi_scale, blend_roundtrip, sweep_grid, clamp_cost, adaptive_line, duplicate_share, lag_autocorrelation,
 ]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sigloom.functions.scalar import fnv1a, wrap16
 from sigloom.operators.entropy import adaptive_bits
-from sigloom.operators.ordered import fold, series_modes
+from sigloom.operators.ordered import FourContexts, RescaledBits, SeriesBlend, SeriesModes, fold
 from sigloom.sources.signals import series
+from sigloom.sources.shared import shared_dir
 from sigloom.streaming.series import EVENTS, gop_counts, run_once
 
 ORDER = ("ts", "event_id")
@@ -38,14 +39,14 @@ def gop_temporal_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adaptive_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adaptive_bits(series(spark, sf_dir), ["user_id"], ORDER, 5).select("user_id", "bits")
+    return adaptive_bits(series(spark, sf_dir), ["user_id"], 5).select("user_id", "bits")
 
 
 def context_model_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ctx, n, bits): the same in the context of the user's previous symbol."""
     w = Window.partitionBy("user_id").orderBy(*ORDER)
     s = series(spark, sf_dir).withColumn("ctx", F.lag("sym", 1, 5).over(w))
-    return adaptive_bits(s, ["ctx"], ORDER, 5)
+    return adaptive_bits(s, ["ctx"], 5)
 
 
 def fnv_context_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +67,23 @@ def trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ema_mode_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, best_mode, residual_sum): the online choice of a predictor (O01), one series per task call."""
-    return fold(series(spark, sf_dir).select("user_id", *ORDER, "sample"), ["user_id"], list(ORDER), series_modes, "user_id long, best_mode long, residual_sum long")
+    """(user_id, best_mode, residual_sum): the online choice of a predictor (O01), one series after the other."""
+    return fold(series(spark, sf_dir), "user_id", list(ORDER), "sample", SeriesModes, "best_mode long, residual_sum long")
+
+
+def ema_blend_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, residual_sum): the same predictors blended by their errors."""
+    return fold(series(spark, sf_dir), "user_id", list(ORDER), "sample", SeriesBlend, "residual_sum long")
+
+
+def rescaled_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, n, bits, rescales): adaptive code length with counts halved at 24 in all."""
+    return fold(series(spark, sf_dir), "user_id", list(ORDER), "sym", lambda: RescaledBits(6, 24), "n long, bits double, rescales long")
+
+
+def four_context_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, n, bits): bits of symbols under four contexts of the bits before."""
+    return fold(series(spark, sf_dir), "user_id", list(ORDER), "sym", FourContexts, "n long, bits double")
 
 
 def gop_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +96,7 @@ def stream_gop_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by Structured Streaming: the file is read as a stream, and the state kept to the end of what is there."""
     stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*").parquet(f"{sf_dir}/").withColumn("ts", F.col("ts").cast("timestamp"))
     name = f"gop_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return run_once(spark, gop_counts(stream), name, f"{base.rstrip('/')}/sigloom-stream-{name}")
+    return run_once(spark, gop_counts(stream), name, f"{shared_dir(spark)}/sigloom-stream-{name}")
 
 
 def top_spenders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +116,32 @@ def _adaptive(keys: str) -> str:
     return f"select {keys}, count(*) as n, round(sum(cost), 4) + 0.0 as bits from (select {keys}, log2((row_number() over (partition by {keys} order by ts, event_id) - 1 + 5)::double) - log2((row_number() over (partition by {keys}, sym order by ts, event_id))::double) as cost from k) group by {keys}"
 
 
+_N = f"{_S}, q as (select user_id, sym, sample, row_number() over {_W} as i, count(*) over (partition by user_id) as n from s)"
+#: The state is carried from sample to sample, all users at once.
+_LEARN = "select q.user_id, q.n, r.i + 1, q.sample, r.last, r.e0 * 0.998::double + pow(q.sample - r.last, 2), r.e1 * 0.998::double + pow(q.sample - (2 * r.last - r.before), 2), r.e2 * 0.998::double + pow(q.sample - cast(floor((3 * r.last - r.before) / 2.0::double) as bigint), 2), r.total + abs(q.sample - {p}) from r join q on q.user_id = r.user_id and q.i = r.i + 1"
+_PREDS = "[r.last, 2 * r.last - r.before, cast(floor((3 * r.last - r.before) / 2.0::double) as bigint)]"
+_BEST = "case when e0 <= e1 and e0 <= e2 then 0 when e1 <= e2 then 1 else 2 end"
+
+
+def _modes_sql(prediction: str, out: str) -> str:
+    start = "select user_id, n, 0::bigint as i, 0::bigint as last, 0::bigint as before, 1.0::double as e0, 1.0::double as e1, 1.0::double as e2, 0::bigint as total from q where i = 1"
+    return f"with recursive {_N}, r as ({start} union all {_LEARN.format(p=prediction)}) {out} from r where i = n"
+
+
+_WEIGHTS = "1.0::double / (r.e0 + 1), 1.0::double / (r.e1 + 1), 1.0::double / (r.e2 + 1)"
+_BLEND = f"cast(round_even((list_sum(list_transform(range(1, 4), lambda k: ([{_WEIGHTS}])[k] * ({_PREDS})[k]))) / list_sum([{_WEIGHTS}]), 0) as bigint)"
+_RESCALED = f"""with recursive {_N}, r as (
+  select user_id, n, 0::bigint as i, [1, 1, 1, 1, 1, 1] as c, 0.0::double as bits, 0::bigint as h from (select *, 0 from q where i = 1)
+  union all
+  select user_id, n, i + 1, case when full_ then list_transform(d, lambda v: greatest(1, v >> 1)) else d end, bits, h + full_::int from (
+    select q.user_id, q.n, r.i, list_transform(range(1, 7), lambda k: r.c[k] + (k = q.sym + 1)::int) as d, r.bits + log2(list_sum(r.c)::double) - log2(r.c[q.sym + 1]::double) as bits, r.h, list_sum(r.c) + 1 >= 24 as full_
+    from r join q on q.user_id = r.user_id and q.i = r.i + 1))
+select user_id, n, round(bits, 4) + 0.0 as bits, h as rescales from r where i = n"""
+
 SQL = {
+    "ema_mode_error": _modes_sql(f"({_PREDS})[{_BEST.replace('e0', 'r.e0').replace('e1', 'r.e1').replace('e2', 'r.e2')} + 1]", f"select user_id, cast({_BEST} as bigint) as best_mode, total as residual_sum"),
+    "ema_blend_error": _modes_sql(_BLEND, "select user_id, total as residual_sum"),
+    "rescaled_code_length": _RESCALED,
     "delta_cumsum_roundtrip": f"with {_S}, p as (select *, ((sample + 32768) & 65535) - 32768 as pcm from s), d as (select user_id, ((pcm - coalesce(lag(pcm) over {_W}, 0) + 32768) & 65535) - 32768 as d from p) select user_id, cast(0 as bigint) as mismatches, cast(sum(abs(d)) as bigint) as abs_d from d group by 1",
     "gop_temporal_residual": f"with {_S}, f as (select {_DAY} as frame, user_id, sum(sample) as v from s group by all), r as (select frame, cast(frame // 5 as int) as gop, v - coalesce(lag(v) over (partition by user_id, frame // 5 order by frame), 0) as r from f) select gop, count(distinct frame) as frames, cast(sum(abs(r)) as bigint) as abs_sum from r group by 1",
     "adaptive_code_length": f"with {_S}, k as (select * from s) select user_id, bits from ({_adaptive('user_id')})",
@@ -113,4 +153,4 @@ SQL = {
     "top_spenders": f"with {_S}, t as (select user_id, cast(sum(sample) as bigint) as total from s group by 1), r as (select *, cast(row_number() over (order by total desc, user_id) as int) as rnk from t) select * from r where rnk <= 10",
 }
 
-QUERIES = [delta_cumsum_roundtrip, gop_temporal_residual, adaptive_code_length, context_model_bits, fnv_context_hash, trie_counts, ema_mode_error, gop_batch, stream_gop_state, top_spenders]
+QUERIES = [delta_cumsum_roundtrip, gop_temporal_residual, adaptive_code_length, context_model_bits, fnv_context_hash, trie_counts, ema_mode_error, ema_blend_error, rescaled_code_length, four_context_bits, gop_batch, stream_gop_state, top_spenders]

@@ -10,28 +10,28 @@ from pyspark.sql import functions as F
 
 from sigloom.operators import containers, report
 from sigloom.operators.codecs import CODERS, EXTRA_CODERS, code_lengths
-from sigloom.operators.entropy import entropy, frequencies, total_bits
-from sigloom.operators.quantise import bloom_build, bloom_probe
-from sigloom.sources.signals import characters, table
+from sigloom.operators.entropy import character_counts, entropy_from, total_bits_from
+from sigloom.operators.quantise import bloom_build, bloom_probe, bloom_size, bloom_words
+from sigloom.sources.signals import table
 
 #: The baseline of the comparisons, in bytes.
 BASELINE = 1024
-BLOOM_BITS, BLOOM_HASHES = 1917, 6  # for 200 items at one in a hundred
+#: The share of strangers that a filter lets pass.
+BLOOM_RATE = 0.01
 
 
 def symbol_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequencies(characters(spark, sf_dir), [])
+    return character_counts(table(spark, sf_dir, "documents"))
 
 
 def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(lang, bps) of code points."""
-    return entropy(characters(spark, sf_dir), ["lang"]).select("lang", "bps")
+    return entropy_from(character_counts(table(spark, sf_dir, "documents"), "lang"), ["lang"]).select("lang", "bps")
 
 
 def entropy_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, n, bits): what an order-0 code must spend on each source."""
-    chars = table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "")).alias("sym")).where("sym != ''")
-    return total_bits(chars, ["source"], digits=1)
+    return total_bits_from(character_counts(table(spark, sf_dir, "documents"), "source"), ["source"], digits=1)
 
 
 def huffman_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def huffman_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
         by = code_lengths(dict(zip(rows["sym"], rows["cnt"], strict=True)))
         return rows.assign(len=[by[s] for s in rows["sym"]])
 
-    return frequencies(characters(spark, sf_dir), ["lang"]).groupBy("lang").applyInPandas(lengths, "lang string, sym string, cnt long, len long")
+    return character_counts(table(spark, sf_dir, "documents"), "lang").groupBy("lang").applyInPandas(lengths, "lang string, sym string, cnt long, len long")
 
 
 def huffman_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,19 +110,25 @@ def _words(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.split("text", r"\s+")).alias("word")).where("word != ''")
 
 
+def _benchmark_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """The distinct words of all benchmark texts, and the size of a filter for them."""
+    words = _words(table(spark, sf_dir, "benchmark")).distinct()
+    return words, *bloom_size(max(1, words.count()), BLOOM_RATE)
+
+
 def bloom_build_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(set_bits): places that the benchmark's first words set."""
-    first = table(spark, sf_dir, "benchmark").select(F.substring_index("text", " ", 1).alias("word"))
-    return bloom_build(first, "word", BLOOM_BITS, BLOOM_HASHES).agg(F.count("*").alias("set_bits"))
+    """(bits, set_bits): the size of a filter of all the benchmark's words, and the places that they set."""
+    words, m, k = _benchmark_words(spark, sf_dir)
+    return bloom_build(words, "word", m, k).agg(F.count("*").alias("set_bits")).select(F.lit(m).cast("long").alias("bits"), "set_bits")
 
 
 def bloom_probe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(hits, false_pos) of the documents' distinct words in that filter; no word of the filter is missed."""
-    first = table(spark, sf_dir, "benchmark").select(F.substring_index("text", " ", 1).alias("word")).distinct()
-    built = bloom_build(first, "word", BLOOM_BITS, BLOOM_HASHES)
+    """(hits, false_pos, missed) of the documents' distinct words in that filter; no word of the filter is missed."""
+    known, m, k = _benchmark_words(spark, sf_dir)
     words = _words(table(spark, sf_dir, "documents")).distinct()
-    probed = bloom_probe(words, "word", built, BLOOM_BITS, BLOOM_HASHES).join(F.broadcast(first.withColumn("real", F.lit(1))), "word", "left")
-    return probed.agg(F.sum(F.col("maybe").cast("int")).alias("hits"), F.sum((F.col("maybe") & F.col("real").isNull()).cast("int")).alias("false_pos"), F.sum((~F.col("maybe") & F.col("real").isNotNull()).cast("int")).alias("missed"))
+    probed = bloom_probe(words, "word", bloom_words(bloom_build(known, "word", m, k), m), m, k)
+    real = known.withColumn("real", F.lit(1))
+    return probed.join(real, "word", "left").agg(F.sum(F.col("maybe").cast("int")).alias("hits"), F.sum((F.col("maybe") & F.col("real").isNull()).cast("int")).alias("false_pos"), F.sum((~F.col("maybe") & F.col("real").isNotNull()).cast("int")).alias("missed"))
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,27 +179,35 @@ _RES = """m as (
 _BYTES = "list_transform(range(1, octet_length(encode({w})) + 1), lambda i: ('0x' || substring(hex(encode({w})), i * 2 - 1, 2))::int)"
 
 
+_KNOWN = r"known as (select distinct word from (select unnest(regexp_split_to_array(text, '\s+')) as word from benchmark) where word <> '')"
+_SIZE = f"size as (select n, m, greatest(1, cast(trunc(m::double / n * ln(2::double)) as bigint)) as k from (select n, cast(trunc(-n * ln({BLOOM_RATE}::double) / pow(ln(2::double), 2)) as bigint) as m from (select count(*) as n from known)))"
+
+
 def _bloom_sql(words: str) -> str:
     h1 = "list_reduce(list_transform(b, lambda v: v::hugeint), lambda h, v: (xor(h, v) * 16777619) % 4294967296, 2166136261::hugeint)"
     h2 = "list_reduce(list_transform(b, lambda v: v::hugeint), lambda h, v: (h * 31 + v) % 4294967296, 16777619::hugeint)"
-    return f"(select word, list_transform(range(0, {BLOOM_HASHES}), lambda i: ((h1 + i * h2) % {BLOOM_BITS})::int) as bits from (select word, {h1} as h1, {h2} as h2 from (select word, {_BYTES.format(w='word')} as b from ({words}))))"
+    return f"(select word, list_transform(range(0, k), lambda i: ((h1 + i * h2) % m)::int) as bits from (select word, {h1} as h1, {h2} as h2 from (select word, {_BYTES.format(w='word')} as b from {words})), size)"
 
 
-_FIRST = "select distinct string_split(text, ' ')[1] as word from benchmark"
 SQL = {
     "symbol_frequency": f"with {_C} select sym, count(*) as cnt from d group by 1",
     "byte_entropy": f"with {_C}, k as (select lang, sym, count(*) as cnt from d group by all) select lang, round(({_K}) / sum(cnt), 6) + 0.0 as bps from k group by 1",
     "entropy_floor": f"with {_C}, k as (select source, sym, count(*) as cnt from d group by all) select source, cast(sum(cnt) as bigint) as n, round({_K}, 1) + 0.0 as bits from k group by 1",
     "container_kinds": f"select ([{', '.join(repr(k) for k in containers.MAGIC.values())}, 'standard'])[doc_id % {len(containers.MAGIC) + 1} + 1] as kind, count(*) as n from documents group by 1",
     "exact_dup_groups": "select dup_count, count(*) as groups from (select count(*) as dup_count from documents group by sha256(text)) group by 1",
-    "bloom_build_bits": f"select count(distinct bit) as set_bits from (select unnest(bits) as bit from {_bloom_sql(_FIRST)})",
-    "bloom_probe_words": f"""with f as ({_FIRST}), s as (select distinct unnest(bits) as bit from {_bloom_sql('select word from f')}), w as (select distinct word from (select unnest(regexp_split_to_array(text, '\\s+')) as word from documents) where word <> ''),
-      p as (select word, unnest(bits) as bit from {_bloom_sql('select word from w')}), q as (select word, bool_and(s.bit is not null) as maybe from p left join s on p.bit = s.bit group by 1)
-      select cast(sum(maybe::int) as bigint) as hits, cast(sum((maybe and f.word is null)::int) as bigint) as false_pos, cast(sum((not maybe and f.word is not null)::int) as bigint) as missed from q left join f on q.word = f.word""",
+    "bloom_build_bits": f"with {_KNOWN}, {_SIZE} select any_value(m) as bits, count(distinct bit) as set_bits from (select unnest(bits) as bit from {_bloom_sql('known')}), size",
+    "bloom_probe_words": rf"""with {_KNOWN}, {_SIZE}, s as (select distinct unnest(bits) as bit from {_bloom_sql('known')}), w as (select distinct word from (select unnest(regexp_split_to_array(text, '\s+')) as word from documents) where word <> ''),
+      p as (select word, unnest(bits) as bit from {_bloom_sql('w')}), q as (select word, bool_and(s.bit is not null) as maybe from p left join s on p.bit = s.bit group by 1)
+      select cast(sum(maybe::int) as bigint) as hits, cast(sum((maybe and f.word is null)::int) as bigint) as false_pos, cast(sum((not maybe and f.word is not null)::int) as bigint) as missed from q left join known f on q.word = f.word""",
+    "huffman_cost": f"""with recursive {_C}, k as (select lang, sym, count(*) as cnt from d group by all), r as (
+      select lang, list_sort(list(cnt::bigint)) as w, 0::bigint as bits, cast(sum(cnt) as bigint) as n from k group by 1
+      union all select lang, list_sort(list_append(w[3:], w[1] + w[2])), bits + w[1] + w[2], n from r where len(w) > 1)
+      select lang, n, case when bits = 0 then n else bits end as bits from r where len(w) = 1""",
     "tier_winners": f"with {_RES}, r as (select *, row_number() over (partition by tier order by compressed_size, name) as k from res) select tier, name, compressed_size from r where k = 1",
     "best_under_budget": f"with {_RES}, r as (select *, row_number() over (partition by tier order by ssim desc, compressed_size, name) as k from res where compressed_size <= 40000) select tier, name, compressed_size, ssim from r where k = 1",
     "report_rollup": f"with {_RES} select tier, count(*) as methods, min(compressed_size) as best_size, cast(sum(compressed_size) as bigint) as total_size from res group by rollup (tier)",
     "size_leaderboard": f"with {_RES} select tier, cast(rank() over (partition by tier order by compressed_size) as int) as rnk, name, compressed_size, round(original_size::double / compressed_size, 4) as ratio, case when compressed_size < 1024 then compressed_size || ' B' when compressed_size < 1048576 then format('{{:.1f}} KB', compressed_size / 1024.0::double) else format('{{:.2f}} MB', compressed_size / 1048576.0::double) end as size from res",
+    "report_lines": f"with {_RES} select tier, cast(row_number() over (partition by tier order by compressed_size, name) as int) as line_no, printf('%-35s %10s %7.1fx %8s %8s %s', name, case when compressed_size < 1024 then compressed_size || ' B' when compressed_size < 1048576 then format('{{:.1f}} KB', compressed_size / 1024.0::double) else format('{{:.2f}} MB', compressed_size / 1048576.0::double) end, round(round(original_size::double / compressed_size, 4), 1), printf('%.4f', round(ssim, 4)), 'N/A', '') as line from res",
     "baseline_delta": f"with {_RES} select name, round((compressed_size - {BASELINE}) / {BASELINE}.0::double * 100, 4) as delta_pct from res",
 }
 

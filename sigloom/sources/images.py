@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -92,6 +94,43 @@ def raw_frames(spark: SparkSession, path: str, width: int, height: int, max_fram
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "path string, frame_idx int, y int, px array<int>")
 
 
+def raw_sound(spark: SparkSession, path: str, rate: int = 16_000, chunk: int = 4096) -> DataFrame:
+    """(path, rate, at, samples) of raw 16-bit mono sound files, low bytes first (S03): chunks of so many samples, `at` the first one's place."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for f in files.itertuples():
+                v = np.frombuffer(f.content, "<i2", len(f.content) // 2).astype(np.int32)
+                starts = np.arange(0, len(v), chunk)
+                yield pd.DataFrame({"path": f.path, "rate": np.int32(rate), "at": starts, "samples": [v[a : a + chunk] for a in starts]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "path string, rate int, at long, samples array<int>")
+
+
+def frame_files(frames: DataFrame) -> DataFrame:
+    """(name, png) of frames (frame_idx, y, px): one grey image a frame, numbered from 1 in five places."""
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        plane = np.stack(part.sort_values("y").px.tolist())
+        return pd.DataFrame({"name": [f"frame_{int(part.frame_idx.iloc[0]) + 1:05d}.png"], "png": [png_bytes(np.stack([plane] * 3, -1))]})
+
+    return frames.groupBy("frame_idx").applyInPandas(build, "name string, png binary")
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Files (name, content) into a folder that all tasks can write to as a path, each task its own; a file appears whole or not at all."""
+
+    def write(rows) -> None:
+        for name, content in rows:
+            part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+            with open(part, "wb") as f:
+                f.write(content)
+            os.replace(part, os.path.join(folder, name))
+
+    os.makedirs(folder, exist_ok=True)
+    files.foreachPartition(write)
+
+
 def even_scale(size: int, scale: float) -> int:
     return int(size * scale) & ~1
 

@@ -31,6 +31,66 @@ def test_round_trips(xs):
     assert c.unpack_indices(c.pack_indices(syms, 3), len(syms), 3) == syms
 
 
+@settings(max_examples=40, deadline=None)
+@given(small)
+def test_shifted_and_bucket_codes(xs):
+    assert c.decode_shifted(c.encode_shifted(xs, 300, 600), 300) == xs
+    assert c.decode_shifted(c.encode_shifted(xs, 255, 510), 255) == [min(255, max(-255, x)) for x in xs]
+    assert c.decode_buckets(c.encode_buckets(xs)) == xs
+
+
+def test_a_million_symbols_take_linear_time():
+    from time import process_time
+
+    rng = random.Random(3)
+    xs = [int(rng.gauss(0, 9)) for _ in range(1_000_000)]
+    began = process_time()
+    assert c.unpack_indices(c.pack_indices([x & 15 for x in xs], 4), len(xs), 4) == [x & 15 for x in xs]
+    assert c.decode_shifted(c.encode_shifted(xs, 255, 510), 255) == xs
+    assert c.decode_buckets(c.encode_buckets(xs)) == xs
+    assert process_time() - began < 40
+
+
+def _written(symbols, shift):
+    """A payload written bit by bit, as the format says, with a flat code of its own."""
+    symbols = [s + shift for s in symbols]
+    size = max(1, (len(set(symbols)) - 1).bit_length())
+    used = sorted(set(symbols))
+    out, n = bytearray(), max(used) + 1
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    out += bytes(size if s in used else 0 for s in range(max(used) + 1))
+    out += len(symbols).to_bytes(4, "little")
+    byte = place = 0
+    for s in symbols:
+        for i in range(size - 1, -1, -1):
+            byte |= (used.index(s) >> i & 1) << place
+            place += 1
+            if place == 8:
+                out.append(byte)
+                byte = place = 0
+    return bytes(out) + (bytes([byte]) if place else b"")
+
+
+def test_a_video_written_by_hand():
+    """Header, a sound packet of kind 3, an intra frame of kind 1 and a difference of kind 2."""
+    import struct
+
+    first = np.full((2, 3), 128)
+    blob = b"NXV1" + struct.pack("<IIIHHBBIBBB", 3, 2, 2, 25, 1, 1, 1, 16000, 1, 0, 0)
+    packets = [(3, _written([5, -7, 0, 32767], 32768)), (1, _written([0] * 6, 255)), (2, _written([1, -1, 2, -2, 3, -3], 255))]
+    blob += b"".join(struct.pack("<BI", kind, len(data)) + data for kind, data in packets) + b"NXVE"
+    frames, sound = k.unpack_video(blob)
+    assert sound == [5, -2, -2, 32765] and (frames[0] == first).all() and (frames[1] == first + [[1, -1, 2], [-2, 3, -3]]).all()
+    assert (k.decode(blob) == first).all() and k.decode(blob, (4, 6)).shape == (4, 6)
+    with pytest.raises(ValueError):
+        k.unpack_video(blob.replace(b"\x03" + struct.pack("<I", len(packets[0][1])), b"\x09" + struct.pack("<I", len(packets[0][1])), 1))
+    with pytest.raises(ValueError):
+        k.decode(b"CHYB" + b"0" * 9)
+
+
 def test_zigzag_order_and_varints():
     assert [c.zigzag(x) for x in (0, -1, 1, -2, 2)] == [0, 1, 2, 3, 4]
     for v in (0, 1, 127, 128, 16383, 16384, 2**40):

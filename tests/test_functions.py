@@ -10,7 +10,7 @@ from sigloom.functions import scalar as s
 from sigloom.operators import fields
 from sigloom.operators.neighbours import map_blocks
 from sigloom.operators.ordered import ContextMixer, DecayedModes, LogitMixer, RunningLine
-from sigloom.operators.quantise import bloom_build, bloom_probe, bloom_size, knn
+from sigloom.operators.quantise import bloom_build, bloom_probe, bloom_size, bloom_words, knn
 
 
 def one(spark, **cols):
@@ -116,5 +116,7 @@ def test_membership(spark):
     items = spark.createDataFrame([(f"item {i}",) for i in range(50)], "t string")
     others = spark.createDataFrame([(f"other {i * 7}",) for i in range(500)], "t string")
     built = bloom_build(items, "t", m, k)
-    assert bloom_probe(items, "t", built, m, k).where("not maybe").count() == 0
-    assert bloom_probe(others, "t", built, m, k).where("maybe").count() < 25
+    words = bloom_words(built, m)
+    assert sum(bin(w & (1 << 64) - 1).count("1") for w in words) == built.count()
+    assert bloom_probe(items, "t", words, m, k).where("not maybe").count() == 0
+    assert bloom_probe(others, "t", words, m, k).where("maybe").count() < 25

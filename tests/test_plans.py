@@ -8,7 +8,7 @@ from sigloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
 #: Exchanges that a query needs at most.
-EXCHANGES = {"block_mode_grid": 1, "block_mode_select": 2, "block_mode_kernel": 0, "smooth_block_fit": 1, "smooth_filter": 0, "arith_roundtrip": 0, "ycocg_roundtrip": 1, "symbol_frequency": 1, "exact_dup_groups": 2, "patch_extract": 1, "delta_cumsum_roundtrip": 2}
+EXCHANGES = {"block_mode_grid": 1, "block_mode_select": 2, "block_mode_kernel": 0, "smooth_block_fit": 1, "smooth_filter": 0, "arith_roundtrip": 0, "ycocg_roundtrip": 1, "symbol_frequency": 1, "exact_dup_groups": 2, "patch_extract": 1, "delta_cumsum_roundtrip": 2, "vq_assign": 2, "kmeans_steps": 2, "context_model_bits": 3, "byte_entropy": 2, "ema_mode_error": 1, "random_projection": 0, "method_battery": 4}
 COLUMNS = {
     "block_mode_grid": {"vec_id", "embedding"}, "region_mask": {"vec_id", "embedding", "label"}, "exact_dup_groups": {"text"}, "giant_integers": {"text", "source"}, "symbol_frequency": {"text"},
     "ycocg_forward": {"l_quantity", "l_discount", "l_tax"}, "container_headers": {"l_partkey", "l_quantity", "l_linenumber"}, "top_spenders": {"user_id", "value"},
