@@ -181,14 +181,17 @@ def entropy_bits(r: np.ndarray) -> float:
     return float((n * np.log2(r.size / n)).sum())
 
 
-def attention_residuals(v: np.ndarray, window: int = 12, width: int = 4, rate: float = 0.01, seed: int = 2) -> np.ndarray:
-    """Online prediction by attention over the nearest earlier samples: two small projections, learned as it goes."""
+def attention_residuals(v: np.ndarray, window: int = 12, width: int = 4, rate: float = 0.01, seed: int = 2, heads: int = 1, other: np.ndarray | None = None) -> np.ndarray:
+    """Online prediction by attention over the nearest earlier samples: two small projections a head, learned as it goes, the heads'
+    predictions averaged (W17, O13). other: a plane known already, whose co-located samples are a feature more, so that attention crosses channels."""
     rng = np.random.default_rng(seed)
-    wq, wk = rng.normal(0, 0.3, (4, width)), rng.normal(0, 0.3, (4, width))
     h, w = v.shape
     x = v / 255.0
+    side = None if other is None else other / 255.0
+    n = 4 + (side is not None)
+    wq, wk = rng.normal(0, 0.3, (heads, n, width)), rng.normal(0, 0.3, (heads, n, width))
     out = np.zeros_like(v)
-    feat = lambda y, k: np.array([x[y, k - 1] if k else 0.5, x[y - 1, k] if y else 0.5, y / h, k / w])
+    feat = lambda y, k: np.array([x[y, k - 1] if k else 0.5, x[y - 1, k] if y else 0.5, y / h, k / w, *(() if side is None else (side[y, k],))])
     spots = sorted(((dy, dx) for dy in range(3) for dx in range(-2, 3) if dy or dx > 0), key=lambda s: (s[0] ** 2 + s[1] ** 2, s))
     for y in range(h):
         for k in range(w):
@@ -197,14 +200,15 @@ def attention_residuals(v: np.ndarray, window: int = 12, width: int = 4, rate: f
                 out[y, k] = v[y, k] - 128
                 continue
             f, fs, vs = feat(y, k), np.array([feat(*s) for s in seen]), np.array([x[s] for s in seen])
-            q, ks = f @ wq, fs @ wk
-            a = np.exp(ks @ q / math.sqrt(width))
-            a /= a.sum()
-            p = float(a @ vs)
+            q, ks = f @ wq, fs @ wk  # heads x width, heads x seen x width
+            a = np.exp((ks @ q[:, :, None])[:, :, 0] / math.sqrt(width))
+            a /= a.sum(1, keepdims=True)
+            each = a @ vs
+            p = float(each.mean())
             out[y, k] = v[y, k] - round(p * 255)
-            g = 2 * (p - x[y, k]) * a * (vs - p) / math.sqrt(width)
-            wq -= rate * np.outer(f, g @ ks)
-            wk -= rate * fs.T @ np.outer(g, q)
+            g = 2 * (p - x[y, k]) / heads * a * (vs - each[:, None]) / math.sqrt(width)
+            wq -= rate * f[:, None] * (g[:, None] @ ks)
+            wk -= rate * np.einsum("sn,hs,hw->hnw", fs, g, q)
     return out
 
 

@@ -163,19 +163,56 @@ def siren_fit(v: np.ndarray, hidden: int = 16, steps: int = 150, seed: int = 0,
     return first, last
 
 
-def evolve(fitness, dim: int, rounds: int = 30, people: int = 16, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Covariance-matrix evolution, mean and spread from the better half of each generation."""
+def evolve(fitness, dim: int, rounds: int = 30, people: int = 16, seed: int = 0, spread: float = 0.5) -> tuple[np.ndarray, float]:
+    """Covariance-matrix evolution (L19): a weighted mean of the better half, a path that sets the step's size, and one that, with the better
+    half's steps, moves the covariance; the constants are the method's usual ones."""
     rng = np.random.default_rng(seed)
-    mean, cov, step, best = np.zeros(dim), np.eye(dim), 0.5, (np.zeros(dim), math.inf)
-    for _ in range(rounds):
-        xs = rng.multivariate_normal(mean, step * step * cov, people, method="cholesky")
-        scores = np.array([fitness(x) for x in xs])
-        top = xs[np.argsort(scores, kind="stable")[: people // 2]]
-        if scores.min() < best[1]:
-            best = (xs[scores.argmin()], float(scores.min()))
-        else:
-            step *= 0.9
-        d = (top - mean) / step
-        cov = 0.8 * cov + 0.2 * d.T @ d / len(d) + 1e-9 * np.eye(dim)
-        mean = top.mean(0)
+    half = people // 2
+    w = math.log(half + 0.5) - np.log(np.arange(1, half + 1))
+    w /= w.sum()
+    mass = 1 / (w * w).sum()
+    c_step, c_path = (mass + 2) / (dim + mass + 5), (4 + mass / dim) / (dim + 4 + 2 * mass / dim)
+    damp = 1 + c_step + 2 * max(0.0, math.sqrt((mass - 1) / (dim + 1)) - 1)
+    c_one = 2 / ((dim + 1.3) ** 2 + mass)
+    c_many = min(1 - c_one, 2 * (mass - 2 + 1 / mass) / ((dim + 2) ** 2 + mass))
+    usual = math.sqrt(dim) * (1 - 1 / (4 * dim) + 1 / (21 * dim * dim))
+    mean, cov, step, best = np.zeros(dim), np.eye(dim), spread, (np.zeros(dim), math.inf)
+    turn, path = np.zeros(dim), np.zeros(dim)
+    for t in range(1, rounds + 1):
+        size, axes = np.linalg.eigh(cov)
+        size = np.sqrt(np.maximum(size, 1e-12))
+        steps = rng.normal(size=(people, dim)) * size @ axes.T
+        scores = np.array([fitness(mean + step * y) for y in steps])
+        order = np.argsort(scores, kind="stable")
+        if scores[order[0]] < best[1]:
+            best = (mean + step * steps[order[0]], float(scores[order[0]]))
+        top = steps[order[:half]]
+        move = w @ top
+        mean = mean + step * move
+        turn = (1 - c_step) * turn + math.sqrt(c_step * (2 - c_step) * mass) * (axes @ ((axes.T @ move) / size))
+        calm = np.linalg.norm(turn) / math.sqrt(1 - (1 - c_step) ** (2 * t)) < (1.4 + 2 / (dim + 1)) * usual
+        path = (1 - c_path) * path + calm * math.sqrt(c_path * (2 - c_path) * mass) * move
+        cov = (1 - c_one - c_many) * cov + c_one * np.outer(path, path) + c_many * (top.T * w) @ top
+        step *= math.exp(min(1.0, c_step / damp * (np.linalg.norm(turn) / usual - 1)))
     return best
+
+
+def drawn_atoms(signals: np.ndarray, size: int) -> np.ndarray:
+    """A dictionary of cosine atoms and, for the rest of its size, the signals themselves, brought to unit norm."""
+    base = dct_atoms(int(math.isqrt(signals.shape[1])))
+    own = signals[: max(0, size - base.shape[1])].astype(float).T
+    norms = np.linalg.norm(own, axis=0)
+    return np.hstack([base[:, :size], own / np.where(norms < 1e-12, 1.0, norms)])
+
+
+def two_scales(v: np.ndarray, coarse: int, fine: int) -> tuple[np.ndarray, np.ndarray]:
+    """What sparse codes of a block leave, and what codes of its quarters leave of that, rounded."""
+    big, small = dct_atoms(v.shape[0]), dct_atoms(v.shape[0] // 2)
+    flat = v.ravel().astype(float)
+    first = np.rint(pursuit(big, flat, coarse)[2]).astype(np.int64).reshape(v.shape)
+    h = v.shape[0] // 2
+    out = np.empty_like(first)
+    for y in (0, h):
+        for x in (0, h):
+            out[y : y + h, x : x + h] = np.rint(pursuit(small, first[y : y + h, x : x + h].ravel().astype(float), fine)[2]).reshape(h, h)
+    return first, out

@@ -13,7 +13,7 @@ from sigloom.operators import linalg
 from sigloom.operators.codecs import decode_buckets, decode_in_contexts, decode_residuals, decode_shifted, encode_buckets, encode_in_contexts, encode_residuals, encode_shifted, huffman_decode, huffman_encode, zigzag as zigzag_int, unzigzag
 from sigloom.operators.containers import pack_palette, pack_planes, pack_svd, unpack_palette, unpack_planes
 from sigloom.operators.entropy import entropy, entropy_of, frequencies, total_bits
-from sigloom.operators.neighbours import block_predictions, haar, map_blocks, with_neighbours
+from sigloom.operators.neighbours import block_predictions, haar, map_blocks, shifted, with_neighbours
 from sigloom.operators.quantise import assign, first_vectors, knn, lloyd, lsh_buckets, lsh_search, plane_signs, residuals, spread_vectors
 from sigloom.sources.signals import blocks, pixels
 
@@ -193,6 +193,28 @@ def mdl_block_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_blocks(blocks(spark, sf_dir), kernel, "vec_id long, model string, bytes double")
 
 
+def edge_complex_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, edge_bits, complex_bits): bits of what prediction along the mean gradient leaves, with two bytes for its angle, and of what the
+    median edge predictor leaves (M08)."""
+
+    def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        v = v.astype(np.int64)
+        angle = np.arctan2(np.diff(v, axis=1).sum((1, 2)) / 64, np.diff(v, axis=2).sum((1, 2)) / 64)
+        dy, dx = np.rint(np.sin(angle)).astype(int), np.rint(np.cos(angle)).astype(int)
+        y, x = np.mgrid[:8, :8]
+        sy, sx = y - dy[:, None, None], x - dx[:, None, None]
+        inside = (sy >= 0) & (sy < 8) & (sx >= 0) & (sx < 8)
+        left, above, ul = (shifted(v, a, b, 0) for a, b in ((0, 1), (1, 0), (1, 1)))
+        near = np.where(x > 0, left, np.where(y > 0, above, 0))
+        edge = np.where(inside, v[np.arange(len(v))[:, None, None], np.clip(sy, 0, 7), np.clip(sx, 0, 7)], near)
+        med = np.where(ul >= np.maximum(left, above), np.minimum(left, above), np.where(ul <= np.minimum(left, above), np.maximum(left, above), left + above - ul))
+        med = np.where((x == 0) & (y == 0), 128, np.where(y == 0, left, np.where(x == 0, above, med)))
+        bits = lambda r: np.array([64 * 6 - (c * np.log2(c)).sum() for b in r for c in [np.unique(b, return_counts=True)[1]]])
+        return {"vec_id": ids, "edge_bits": np.round(bits(v - edge) + 16, 4), "complex_bits": np.round(bits(v - med), 4)}
+
+    return map_blocks(blocks(spark, sf_dir), kernel, "vec_id long, edge_bits double, complex_bits double")
+
+
 def _kernel(name: str, schema: str, make) -> object:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return map_blocks(blocks(spark, sf_dir), make, schema)
@@ -285,6 +307,18 @@ def ksvd_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_blocks(vectors, kernel, "vec_id long, cosine double, learnt double").agg(F.round(F.avg("cosine"), 4).alias("cosine"), F.round(F.avg("learnt"), 4).alias("learnt"))
 
 
+def dictionary_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared rest per pixel of four-atom codes by 64 cosine atoms, and by these and 64 drawn blocks, those of the smallest ids."""
+    vectors = blocks(spark, sf_dir)
+    drawn = linalg.drawn_atoms(first_vectors(vectors, 64) - 128.0, 128)
+
+    def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        rest = lambda atoms: np.array([float((linalg.pursuit(atoms, b.ravel() - 128.0, 4)[2] ** 2).mean()) for b in v])
+        return {"vec_id": ids, "cosine": rest(drawn[:, :64]), "drawn": rest(drawn)}
+
+    return map_blocks(vectors, kernel, "vec_id long, cosine double, drawn double").agg(F.round(F.avg("cosine"), 4).alias("cosine"), F.round(F.avg("drawn"), 4).alias("drawn"))
+
+
 def siren_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
         ends = [linalg.siren_fit(b, steps=60) for b in v]
@@ -712,6 +746,14 @@ SQL = {
     "block_hash": f"with {_VEC} select list_reduce(list_transform(vec, lambda v: v::hugeint), lambda h, v: (xor(h, v) * 16777619) % 4294967296, 2166136261::hugeint)::bigint % 8 as bucket, count(*) as n from vecs group by 1",
     "quadtree_splits": None,
     "lsh_nearest": _LSH_NEAREST,
+    "edge_complex_costs": f"""with {_nb(0)}, g as (select vec_id, atan2(sum(case when y > 0 then v - a else 0 end) / 64.0::double, sum(case when x > 0 then v - l else 0 end) / 64.0::double) as t from nb group by 1),
+      d as (select vec_id, cast(round_even(sin(t), 0) as int) as dy, cast(round_even(cos(t), 0) as int) as dx from g),
+      e as (select n.vec_id, n.v - coalesce(s.v, case when n.x > 0 then n.l when n.y > 0 then n.a else 0 end) as r,
+        n.v - case when n.x = 0 and n.y = 0 then 128 when n.y = 0 then n.l when n.x = 0 then n.a when n.ul >= greatest(n.l, n.a) then least(n.l, n.a) when n.ul <= least(n.l, n.a) then greatest(n.l, n.a) else n.l + n.a - n.ul end as q
+        from nb n join d using (vec_id) left join px s on s.vec_id = n.vec_id and s.y = n.y - d.dy and s.x = n.x - d.dx),
+      a as (select vec_id, r, count(*) as cnt from e group by all), b as (select vec_id, q, count(*) as cnt from e group by all),
+      m as (select vec_id, 384 - sum(cnt * log2(cnt::double)) as bits from a group by 1), w as (select vec_id, 384 - sum(cnt * log2(cnt::double)) as bits from b group by 1)
+      select vec_id, round(m.bits + 16, 4) as edge_bits, round(w.bits, 4) as complex_bits from m join w using (vec_id)""",
     "knn_metrics": f"with {_VEC}, p as (select q.vec_id as q, x.vec_id as id, list_transform(range(1, 65), lambda i: abs(x.vec[i] - q.vec[i])) as a from vecs x cross join vecs q where q.vec_id % 50 = 0 and x.vec_id <> q.vec_id), d as (select 'absolutes' as metric, q, id, cast(list_sum(a) as bigint) as d2 from p union all select 'greatest', q, id, cast(list_max(a) as bigint) from p), r as (select metric, q, cast(row_number() over (partition by metric, q order by d2, id) as int) as rnk, id, d2 from d) select * from r where rnk <= 2",
     "kmeans_spread": _spread_sql(),
     "haar_threshold": f"with {_PX}, t as (select vec_id, y >> 1 as by, x >> 1 as bx, max(case when y % 2 = 0 and x % 2 = 0 then v end) as a, max(case when y % 2 = 0 and x % 2 = 1 then v end) as b, max(case when y % 2 = 1 and x % 2 = 0 then v end) as c, max(case when y % 2 = 1 and x % 2 = 1 then v end) as d from px group by all), h as (select vec_id, unnest([a + b + c + d, a - b + c - d, a + b - c - d, a - b - c + d]) / 2.0::double as h from t), q as (select vec_id, quantile_cont(abs(h), 0.5) as t50, quantile_cont(abs(h), 0.9) as t90 from h group by 1) select vec_id, count(*) filter (abs(h) >= t50) as kept50, count(*) filter (abs(h) >= t90) as kept90, cast(sum(h * h) as bigint) as energy from h join q using (vec_id) group by 1",
@@ -722,8 +764,8 @@ SQL["quadtree_splits"] = SQL["quadtree_costs"].replace("select vec_id, level, ca
 
 QUERIES = [
     block_mode_select, block_mode_grid, block_mode_kernel, pixel_oracle_modes, implicit_mode_select, med_residual_hist, residual_entropy_by_mode, predictor_ranking, context_features_summary,
-    residual_context_entropy, mixer_context_hist, lookup_table_predict, block_gradients, block_region_class, smooth_block_fit, quadtree_costs, quadtree_splits, mdl_block_choice, huffman_roundtrip, shifted_roundtrip, bucket_roundtrip, arith_roundtrip, context_roundtrip, palette_roundtrip,
-    planes_roundtrip, svd_rank_energy, svd_container_size, tensor_errors, omp_sparsity, ksvd_cost, siren_fit, polynomial_surface, haar_threshold, dtree_accuracy, decision_split, patch_extract, top_patches, knn_exact, knn_metrics,
+    residual_context_entropy, mixer_context_hist, lookup_table_predict, block_gradients, block_region_class, smooth_block_fit, quadtree_costs, quadtree_splits, mdl_block_choice, edge_complex_costs, huffman_roundtrip, shifted_roundtrip, bucket_roundtrip, arith_roundtrip, context_roundtrip, palette_roundtrip,
+    planes_roundtrip, svd_rank_energy, svd_container_size, tensor_errors, omp_sparsity, ksvd_cost, dictionary_rest, siren_fit, polynomial_surface, haar_threshold, dtree_accuracy, decision_split, patch_extract, top_patches, knn_exact, knn_metrics,
     vq_assign, vq_cost, kmeans_steps, kmeans_spread, residual_vq, product_vq, lsh_candidates, lsh_nearest, region_gradient_fit, top_coefficients, dct_energy, threshold_percentile, psnr_by_level, abs_diff_stats, ssim_tiles, downsample_pyramid,
     hilbert_scan_entropy, omp_first_atom, lossless_antijoin, block_hash, crop_and_stride, region_mask,
 ]

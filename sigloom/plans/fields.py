@@ -67,6 +67,8 @@ scale_search = _named("scale_search", _rows(lambda b: tuple(map(_r, fields.best_
 layered_model = _named("layered_model", _rows(lambda b: tuple(_r(fields.entropy_bits(r)) for r in fields.layered(b)), mean_bits="double", rank_bits="double", tile_bits="double"))
 svd_then_predict = _named("svd_then_predict", _rows(lambda b: (lambda r: (_r(fields.entropy_bits(r)), _r(min(fields.entropy_bits(r - p[0]) for p in block_predictions(r[None], border=0)))))(linalg.integer_rank(b, 1)[1]), svd_bits="double", predicted_bits="double"))
 attention_residual = _named("attention_residual", _rows(lambda b: (_abs(fields.attention_residuals(b)),), abs_err="long"))
+attention_heads = _named("attention_heads", _rows(lambda b: (_abs(fields.attention_residuals(b, heads=2)), _abs(fields.attention_residuals(b, heads=2, other=b // 16 * 16))), two="long", across="long"))
+two_scale_codes = _named("two_scale_codes", _rows(lambda b: tuple(map(_abs, linalg.two_scales(b - 128, 2, 2))), coarse="long", fine="long"))
 program_search = _named("program_search", _rows(lambda b: (_r(fields.evolve_program(b)[1]),), mse="double"))
 plane_memoriser = _named("plane_memoriser", _rows(lambda b: tuple(map(_r, fields.memorise(b))), mse_before="double", mse_after="double"))
 block_resize = _named("block_resize", _rows(lambda b: (_abs(fields.resize(fields.box_down(b, 2), 8, 8) - b), _abs(fields.pad_to(b[:7, :5], 8)[:7, :5] - b[:7, :5])), down_up="long", padding="long"))
@@ -121,10 +123,18 @@ fourier_codec = _batch("fourier_codec", "Least squares on harmonics of the coord
 
 
 def _procedural(b: np.ndarray) -> tuple[float]:
-    """Evolution of a rendered plane: gradients and a wave."""
+    """Evolution of a rendered plane of 30 parameters: a gradient, three waves and three soft spots."""
     y, x = linalg.plane_features(8, 8)
-    render = lambda p: 128 + 60 * (p[0] + p[1] * x + p[2] * y + p[3] * np.sin(3 * p[4] * x + p[5]))
-    return (_r(linalg.evolve(lambda p: float(((render(p) - b) ** 2).mean()), 6, rounds=12)[1]),)
+
+    def render(p: np.ndarray) -> np.ndarray:
+        out = p[0] + p[1] * x + p[2] * y
+        for a, fx, fy, at in p[3:15].reshape(3, 4):
+            out = out + a * np.sin(3 * fx * x + 3 * fy * y + at)
+        for a, cx, cy, sx, sy in p[15:].reshape(3, 5):
+            out = out + a * np.exp(-(((x - cx) * (1 + sx * sx)) ** 2) - ((y - cy) * (1 + sy * sy)) ** 2)
+        return 128 + 60 * out
+
+    return (_r(linalg.evolve(lambda p: float(((render(p) - b) ** 2).mean()), 30, rounds=12)[1]),)
 
 
 procedural_fit = _named("procedural_fit", _rows(_procedural, mse="double"))
@@ -354,7 +364,7 @@ SQL = {
 }
 
 QUERIES = [
-    local_fit_residual, edge_directions, self_similarity, patch_kmeans, wavelet_db2, fourier_top, scale_search, layered_model, svd_then_predict, attention_residual, program_search, plane_memoriser, block_resize, mask_composite,
+    local_fit_residual, edge_directions, self_similarity, patch_kmeans, wavelet_db2, fourier_top, scale_search, layered_model, svd_then_predict, attention_residual, attention_heads, two_scale_codes, program_search, plane_memoriser, block_resize, mask_composite,
     noise_fit, random_projection, random_feature_fit, fourier_codec, procedural_fit, conv_sparse_codes, symbolic_surface, smooth_filter, scalar_mode_entropy, pixel_means, coefficient_codes, finite_rows, hierarchical_vq,
     cross_channel, pca_roundtrip, grey_levels, clipped_inverse, harmonic_features, bounding_boxes, online_mixing,
 ]

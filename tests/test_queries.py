@@ -50,6 +50,10 @@ def test_low_rank_and_sparse_forms(spark):
     assert (t.full == 0).all() and (t.tucker > 0).any() and (t.train > 0).any()
     k = run(spark, "ksvd_cost").iloc[0]
     assert k.learnt < k.cosine
+    d = run(spark, "dictionary_rest").iloc[0]
+    assert d.drawn < d.cosine
+    two = run(spark, "two_scale_codes")
+    assert (two.fine <= two.coarse * 1.05 + 64).all() and two.fine.sum() < two.coarse.sum()
     c = run(spark, "sparse_cost").set_index("component").bytes
     assert set(c.index) == {"coefficient", "index", "residual"} and c["index"] == 500 * 4 * 6 // 8
     p = run(spark, "svd_container_psnr").sort_values("rank")
@@ -85,6 +89,8 @@ def test_local_models(spark):
     for name in ("local_fit_residual", "attention_residual", "edge_directions", "patch_kmeans"):
         out = run(spark, name).set_index("vec_id")
         assert len(out) == 500 and (out.abs_err >= 0).all() and out.abs_err.median() < 6 * flat.median(), name
+    h = run(spark, "attention_heads").set_index("vec_id")
+    assert (h >= 0).all().all() and h.two.median() < 6 * flat.median()
     e = run(spark, "edge_directions")
     assert e.dy.between(-1, 1).all() and e.dx.between(-1, 1).all()
     s = run(spark, "self_similarity")
