@@ -134,7 +134,7 @@ def _procedural(b: np.ndarray) -> tuple[float]:
             out = out + a * np.exp(-(((x - cx) * (1 + sx * sx)) ** 2) - ((y - cy) * (1 + sy * sy)) ** 2)
         return 128 + 60 * out
 
-    return (_r(linalg.evolve(lambda p: float(((render(p) - b) ** 2).mean()), 30, rounds=12)[1]),)
+    return (_r(linalg.evolve(lambda p: float(((render(p) - b) ** 2).mean()), 30, rounds=25, spread=0.2)[1]),)
 
 
 procedural_fit = _named("procedural_fit", _rows(_procedural, mse="double"))
