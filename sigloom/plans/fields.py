@@ -346,7 +346,17 @@ def _window(name: str, source: str, pick: str) -> str:
 
 
 _HARMONICS = ["sin(1 * pi() * u)", "cos(1 * pi() * u)", "sin(2 * pi() * u)", "cos(2 * pi() * u)"]
+_EDGE = """g as (select vec_id, sum(case when y = 7 then v when y = 0 then -v else 0 end) / 56.0::double as gy, sum(case when x = 7 then v when x = 0 then -v else 0 end) / 56.0::double as gx from px group by 1),
+  d as (select vec_id, cast(round_even(sin(atan2(gy, gx) + pi() / 2), 0) as int) as dy, cast(round_even(cos(atan2(gy, gx) + pi() / 2), 0) as int) as dx from g)"""
+_TAPS = "taps as (select j, (case j when 0 then 1 + s when 1 then 3 + s when 2 then 3 - s else 1 - s end) / (4 * sqrt(2::double)) as low, (case j when 0 then 1 - s when 1 then -(3 - s) when 2 then 3 + s else -(1 + s) end) / (4 * sqrt(2::double)) as high from range(4) t(j), (select sqrt(3::double) as s))"
 SQL = {
+    "edge_directions": f"with {_PX}, {_EDGE} select p.vec_id, any_value(dy) as dy, any_value(dx) as dx, cast(sum(abs(p.v - q.v)) as bigint) as abs_err from px p join d using (vec_id) join px q on q.vec_id = p.vec_id and q.y = (p.y - dy + 8) % 8 and q.x = (p.x - dx + 8) % 8 group by 1",
+    "wavelet_db2": f"""with {_PX}, {_TAPS}, c as (select vec_id, i, x, sum(v * low) as a, sum(v * high) as d from px, range(4) t(i), taps where y = (2 * i + j) % 8 group by all),
+      q as (select vec_id, i, k, sum(a * low) as w1, sum(a * high) as w2, sum(d * low) as w3, sum(d * high) as w4 from c, range(4) t(k), taps where x = (2 * k + j) % 8 group by all), r as (select vec_id, unnest([w1, w2, w3, w4]) as w from q),
+      e as (select vec_id, sum(w * w) as e, count(*) filter (abs(w) > 20) as large from r group by 1), o as (select vec_id, sum(v * v)::double as o from px group by 1) select vec_id, round(e - o, 4) + 0.0 as energy_change, large from e join o using (vec_id)""",
+    "fourier_top": f"""with {_PX}, f as (select vec_id, u, w, sum((v - 128) * cos(pi() * (u * y + w * x) / 4.0::double)) as a, sum((v - 128) * sin(pi() * (u * y + w * x) / 4.0::double)) as b from px, range(8) s(u), range(8) t(w) group by all),
+      r as (select vec_id, a * a + b * b as e, row_number() over (partition by vec_id order by a * a + b * b desc) as k from f)
+      select vec_id, round(sum(e) filter (k <= 1) / sum(e), 4) as top1, round(sum(e) filter (k <= 8) / sum(e), 4) as top8, round(sum(e) / sum(e), 4) as top64 from r group by 1""",
     "hierarchical_vq": _hierarchical_sql(),
     "block_resize": f"with {_PX}, m as (select vec_id, v - cast(round_even(avg(v) over (partition by vec_id, y // 2, x // 2), 0) as int) as r from px) select vec_id, cast(sum(abs(r)) as bigint) as down_up, 0::bigint as padding from m group by 1",
     "mask_composite": f"with {_PX}, {_OFFSETS}, m0 as (select vec_id, y, x, (v > 128)::int::double as m from px), {_window('m1', 'm0', 'min')}, {_window('m2', 'm1', 'max')}, {_window('m3', 'm2', 'avg')}, c as (select vec_id, cast(round_even(m * v + (1 - m) * 128, 0) as bigint) as c from m3 join px using (vec_id, y, x)) select vec_id, min(c) as low, max(c) as high, cast(sum(c) as bigint) as total from c group by 1",

@@ -138,7 +138,15 @@ _RESCALED = f"""with recursive {_N}, r as (
     from r join q on q.user_id = r.user_id and q.i = r.i + 1))
 select user_id, n, round(bits, 4) + 0.0 as bits, h as rescales from r where i = n"""
 
+#: Bits of symbols, high ones first, with the sixteen bits before each as a number; counts so far are running counts.
+_FOUR = f"""with {_N}, b as (select user_id, 3 * q.i + r.i as t, (sym >> cast(2 - r.i as int)) & 1 as bit from q, range(3) r(i)),
+  p as (select user_id, t, bit, {' + '.join(f'coalesce(lag(bit, {j + 1}) over w, 0) * {1 << j}' for j in range(16))} as past from b window w as (partition by user_id order by t)),
+  c as (select user_id, t, k, row_number() over (partition by user_id, k, past & ((1 << k) - 1), bit order by t) as mine, row_number() over (partition by user_id, k, past & ((1 << k) - 1) order by t) + 1 as everyone from p, unnest([4, 8, 12, 16]) z(k)),
+  m as (select user_id, t, -log2(sum(mine::double / everyone) / 4) as bits from c group by all)
+  select user_id, count(*) as n, round(sum(bits), 4) + 0.0 as bits from m group by 1"""
+
 SQL = {
+    "four_context_bits": _FOUR,
     "ema_mode_error": _modes_sql(f"({_PREDS})[{_BEST.replace('e0', 'r.e0').replace('e1', 'r.e1').replace('e2', 'r.e2')} + 1]", f"select user_id, cast({_BEST} as bigint) as best_mode, total as residual_sum"),
     "ema_blend_error": _modes_sql(_BLEND, "select user_id, total as residual_sum"),
     "rescaled_code_length": _RESCALED,

@@ -199,6 +199,11 @@ SQL = {
     "bloom_probe_words": rf"""with {_KNOWN}, {_SIZE}, s as (select distinct unnest(bits) as bit from {_bloom_sql('known')}), w as (select distinct word from (select unnest(regexp_split_to_array(text, '\s+')) as word from documents) where word <> ''),
       p as (select word, unnest(bits) as bit from {_bloom_sql('w')}), q as (select word, bool_and(s.bit is not null) as maybe from p left join s on p.bit = s.bit group by 1)
       select cast(sum(maybe::int) as bigint) as hits, cast(sum((maybe and f.word is null)::int) as bigint) as false_pos, cast(sum((not maybe and f.word is not null)::int) as bigint) as missed from q left join known f on q.word = f.word""",
+    "huffman_lengths": f"""with recursive {_C}, k as (select lang, sym, count(*) as cnt from d group by all), r as (
+      select lang, list_sort(list({{'c': cnt::bigint, 's': sym, 'm': [sym]}})) as h, []::varchar[] as merged from k group by 1
+      union all select lang, list_sort(list_append(h[3:], {{'c': h[1].c + h[2].c, 's': least(h[1].s, h[2].s), 'm': list_concat(h[1].m, h[2].m)}})), list_concat(merged, list_concat(h[1].m, h[2].m)) from r where len(h) > 1),
+      n as (select lang, sym, count(*) as len from (select lang, unnest(merged) as sym from r where len(h) = 1) group by all)
+      select k.lang, k.sym, k.cnt, coalesce(n.len, 1) as len from k left join n on n.lang = k.lang and n.sym = k.sym""",
     "huffman_cost": f"""with recursive {_C}, k as (select lang, sym, count(*) as cnt from d group by all), r as (
       select lang, list_sort(list(cnt::bigint)) as w, 0::bigint as bits, cast(sum(cnt) as bigint) as n from k group by 1
       union all select lang, list_sort(list_append(w[3:], w[1] + w[2])), bits + w[1] + w[2], n from r where len(w) > 1)
