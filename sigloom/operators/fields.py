@@ -33,6 +33,18 @@ def db2(v: np.ndarray) -> np.ndarray:
     return v
 
 
+def wavelet_matrix(name: str, n: int) -> np.ndarray:
+    """One level of an orthogonal wavelet over n periodic samples, averages in the upper half (C33): two equal taps, or the four of DB2."""
+    low = np.full(2, math.sqrt(0.5)) if name == "haar" else DB2
+    high = low[::-1] * (-1.0) ** np.arange(len(low))
+    m = np.zeros((n, n))
+    for i in range(n // 2):
+        for j in range(len(low)):
+            m[i, (2 * i + j) % n] += low[j]
+            m[n // 2 + i, (2 * i + j) % n] += high[j]
+    return m
+
+
 def fourier_top(v: np.ndarray, keep: int) -> tuple[np.ndarray, float]:
     """(the plane of its `keep` strongest Fourier coefficients, their share of the energy) (C34, L22, A11); ties to the first."""
     f = np.fft.fft2(v)
@@ -181,12 +193,13 @@ def entropy_bits(r: np.ndarray) -> float:
     return float((n * np.log2(r.size / n)).sum())
 
 
-def attention_residuals(v: np.ndarray, window: int = 12, width: int = 4, rate: float = 0.01, seed: int = 2, heads: int = 1, other: np.ndarray | None = None) -> np.ndarray:
+def attention_residuals(v: np.ndarray, window: int = 12, width: int = 4, rate: float = 0.01, seed: int = 2, heads: int = 1, other: np.ndarray | None = None, back: bool = False) -> np.ndarray:
     """Online prediction by attention over the nearest earlier samples: two small projections a head, learned as it goes, the heads'
-    predictions averaged (W17, O13). other: a plane known already, whose co-located samples are a feature more, so that attention crosses channels."""
+    predictions averaged (W17, O13). other: a plane known already, whose co-located samples are a feature more, so that attention crosses channels.
+    back: v are residuals, and the samples come back."""
     rng = np.random.default_rng(seed)
     h, w = v.shape
-    x = v / 255.0
+    x = np.zeros(v.shape) if back else v / 255.0
     side = None if other is None else other / 255.0
     n = 4 + (side is not None)
     wq, wk = rng.normal(0, 0.3, (heads, n, width)), rng.normal(0, 0.3, (heads, n, width))
@@ -197,7 +210,8 @@ def attention_residuals(v: np.ndarray, window: int = 12, width: int = 4, rate: f
         for k in range(w):
             seen = [(y - dy, k - dx) for dy, dx in spots if y >= dy and 0 <= k - dx < w][:window]
             if not seen:
-                out[y, k] = v[y, k] - 128
+                out[y, k] = v[y, k] + (128 if back else -128)
+                x[y, k] = (out if back else v)[y, k] / 255.0
                 continue
             f, fs, vs = feat(y, k), np.array([feat(*s) for s in seen]), np.array([x[s] for s in seen])
             q, ks = f @ wq, fs @ wk  # heads x width, heads x seen x width
@@ -205,7 +219,8 @@ def attention_residuals(v: np.ndarray, window: int = 12, width: int = 4, rate: f
             a /= a.sum(1, keepdims=True)
             each = a @ vs
             p = float(each.mean())
-            out[y, k] = v[y, k] - round(p * 255)
+            out[y, k] = v[y, k] + (round(p * 255) if back else -round(p * 255))
+            x[y, k] = (out if back else v)[y, k] / 255.0
             g = 2 * (p - x[y, k]) / heads * a * (vs - each[:, None]) / math.sqrt(width)
             wq -= rate * f[:, None] * (g[:, None] @ ks)
             wk -= rate * np.einsum("sn,hs,hw->hnw", fs, g, q)

@@ -179,16 +179,16 @@ def mdl_block_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
         return float((c * np.log2(r.size / c)).sum() / 8)
 
     def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        y, x = np.mgrid[:8, :8] - 3.5
-        base = np.stack([np.ones(64), x.ravel(), y.ravel(), (x * y).ravel()], 1)
-        fit = np.rint(v.reshape(-1, 64) @ np.linalg.pinv(base).T @ base.T).reshape(v.shape)
+        y, x = np.mgrid[:8, :8] - 3.5  # the centred terms are orthogonal
+        part = lambda t, n: (v * t).sum((1, 2), keepdims=True) / n * t
+        fit = np.rint(part(np.ones((8, 8)), 64.0) + part(x, 336.0) + part(y, 336.0) + part(x * y, 1764.0))
         tiles = np.repeat(np.repeat(np.rint(v.reshape(-1, 4, 2, 4, 2).mean((2, 4))), 2, 1), 2, 2)
         modes = block_predictions(v.astype(np.int64))
         models = [
             [2 + cost(b - round(b.mean())) for b in v], [8 + cost(b - f) for b, f in zip(v, fit, strict=True)],
             [1 + min(cost(b - m[i]) for m in modes) for i, b in enumerate(v)], [16 + cost(b - t) for b, t in zip(v, tiles, strict=True)],
         ]
-        return {"vec_id": ids, "model": np.array(["constant", "plane", "mode", "tiles"])[np.argmin(models, 0)], "bytes": np.round(np.min(models, 0), 4)}
+        return {"vec_id": ids, "model": np.array(["constant", "plane", "mode", "tiles"])[np.argmin(np.round(models, 9), 0)], "bytes": np.round(np.min(models, 0), 4)}
 
     return map_blocks(blocks(spark, sf_dir), kernel, "vec_id long, model string, bytes double")
 
@@ -746,6 +746,14 @@ SQL = {
     "block_hash": f"with {_VEC} select list_reduce(list_transform(vec, lambda v: v::hugeint), lambda h, v: (xor(h, v) * 16777619) % 4294967296, 2166136261::hugeint)::bigint % 8 as bucket, count(*) as n from vecs group by 1",
     "quadtree_splits": None,
     "lsh_nearest": _LSH_NEAREST,
+    "mdl_block_choice": f"""with {_nb(128)}, q as (select *, x - 3.5::double as cx, y - 3.5::double as cy from nb),
+      f as (select vec_id, sum(v) / 64.0::double as s, sum(v * cx) / 336.0::double as sx, sum(v * cy) / 336.0::double as sy, sum(v * (cx * cy)) / 1764.0::double as sxy from q group by 1),
+      r as (select vec_id, 'constant' as model, 0 as k, 2 as extra, v - cast(round_even(s, 0) as int) as r from q join f using (vec_id)
+        union all select vec_id, 'plane', 1, 8, v - cast(round_even(s + sx * cx + sy * cy + sxy * (cx * cy), 0) as int) from q join f using (vec_id)
+        {''.join(f" union all select vec_id, 'mode', {i + 2}, 1, v - ({m}) from nb" for i, m in enumerate(_MODES))}
+        union all select vec_id, 'tiles', 11, 16, v - cast(round_even(avg(v) over (partition by vec_id, y // 2, x // 2), 0) as int) from nb),
+      c as (select vec_id, model, k, extra, r, count(*) as cnt from r group by all), b as (select vec_id, model, k, extra + sum(cnt * log2(64.0::double / cnt)) / 8 as bytes from c group by vec_id, model, k, extra),
+      w as (select *, row_number() over (partition by vec_id order by round(bytes, 9), k) as n from b) select vec_id, model, round(bytes, 4) as bytes from w where n = 1""",
     "edge_complex_costs": f"""with {_nb(0)}, g as (select vec_id, atan2(sum(case when y > 0 then v - a else 0 end) / 64.0::double, sum(case when x > 0 then v - l else 0 end) / 64.0::double) as t from nb group by 1),
       d as (select vec_id, cast(round_even(sin(t), 0) as int) as dy, cast(round_even(cos(t), 0) as int) as dx from g),
       e as (select n.vec_id, n.v - coalesce(s.v, case when n.x > 0 then n.l when n.y > 0 then n.a else 0 end) as r,

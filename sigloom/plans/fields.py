@@ -295,6 +295,88 @@ def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.agg(F.greatest(F.min("y") - 1, F.lit(0)).alias("y0"), F.least(F.max("y") + 1, F.lit(7)).alias("y1"), F.greatest(F.min("x") - 1, F.lit(0)).alias("x0"), F.least(F.max("x") + 1, F.lit(7)).alias("x1"))
 
 
+def _inverses() -> dict[str, object]:
+    """Transforms and back of blocks (n, 8, 8) of doubles."""
+    many = lambda f: lambda v: np.stack([f(b) for b in v])
+    waves = {w: fields.wavelet_matrix(w, 8) for w in ("haar", "db2")}
+    atoms, draws = linalg.dct_atoms(), np.random.default_rng(9).normal(size=(64, 64))
+    projection = np.linalg.pinv(draws) @ draws
+
+    def low_rank(b: np.ndarray) -> np.ndarray:
+        return linalg.integer_rank(b, 8)[0]
+
+    def cube(f) -> object:
+        return many(lambda b: f(b.reshape(4, 4, 4)).reshape(8, 8))
+
+    def coded(b: np.ndarray) -> np.ndarray:
+        chosen, coef, _ = linalg.pursuit(atoms, b.ravel(), 64)
+        return (atoms[:, chosen] @ coef).reshape(8, 8)
+
+    return {
+        "cosine": lambda v: linalg.idct2(linalg.dct2(v)), "fourier": many(lambda b: fields.fourier_top(b, 64)[0]), **{w: lambda v, m=m: m.T @ (m @ v @ m.T) @ m for w, m in waves.items()},
+        "singular": many(low_rank), "tucker": cube(lambda t: linalg.untucker(*linalg.tucker(t, (4, 4, 4)))), "train": cube(lambda t: linalg.untrain(linalg.tensor_train(t, 16))),
+        "pursuit": many(coded), "projection": lambda v: (v.reshape(len(v), 64) @ projection.T).reshape(v.shape),
+    }
+
+
+def inverse_roundtrips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(transform, blocks, exact): blocks that a transform of full size and its inverse give back to the unit (L07 over C33, C34, L01, L04, L05, L13, L22, L25)."""
+
+    def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        found = {k: (np.rint(f(v - 128.0)) + 128 == v).all((1, 2)) for k, f in _inverses().items()}
+        return {"transform": np.array([k for k in found for _ in ids]), "ok": np.concatenate(list(found.values())).astype(np.int64)}
+
+    return map_blocks(blocks(spark, sf_dir), kernel, "transform string, ok long").groupBy("transform").agg(F.count("*").alias("blocks"), F.sum("ok").alias("exact"))
+
+
+def attention_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, ok): blocks from their residuals by the same attention over what is back already."""
+
+    def kernel(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        return {"vec_id": ids, "ok": np.array([bool((fields.attention_residuals(fields.attention_residuals(b, heads=2), heads=2, back=True) == b).all()) for b in v.astype(np.int64)])}
+
+    return map_blocks(blocks(spark, sf_dir), kernel, "vec_id long, ok boolean")
+
+
+class _MixedBack:
+    """(n, ok): residuals of the context mixer's and the running line's predictions, decoded by twins that see what is decoded only."""
+
+    def __init__(self):
+        self.pairs = [(ContextMixer(8, 3), RunningLine()) for _ in range(2)]
+        self.past, self.n, self.ok = [(0, 0), (0, 0)], 0, True
+
+    def _predict(self, side: int) -> tuple[int, int, list[int], int]:
+        (mixer, line), (last, before) = self.pairs[side], self.past[side]
+        preds = [last, 2 * last - before, (last + before) // 2]
+        ctx = min(7, abs(last - before).bit_length() // 2)
+        return mixer.predict(ctx, preds), line.predict(last), preds, ctx
+
+    def _learn(self, side: int, v: int, preds: list[int], ctx: int) -> None:
+        mixer, line = self.pairs[side]
+        mixer.learn(ctx, preds, v)
+        line.learn(self.past[side][0], v)
+        self.past[side] = (v, self.past[side][0])
+
+    def learn_all(self, values: list[int]) -> None:
+        for v in values:
+            p, q, preds, ctx = self._predict(0)
+            sent = (v - p, v - q)
+            self._learn(0, v, preds, ctx)
+            p, q, preds, ctx = self._predict(1)
+            back = sent[0] + p
+            self.ok &= back == v == sent[1] + q
+            self._learn(1, back, preds, ctx)
+            self.n += 1
+
+    def row(self) -> tuple[int, int]:
+        return self.n, int(self.ok)
+
+
+def mixing_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, n, ok): series decoded from the residuals of the online mixers."""
+    return fold(series(spark, sf_dir), "user_id", ["ts", "event_id"], "sample", _MixedBack, "n long, ok long")
+
+
 class _Mixed:
     """Online mixing over a series: predictions by context, a line on the value before, and a logit mix of the sign's chance."""
 
@@ -349,7 +431,11 @@ _HARMONICS = ["sin(1 * pi() * u)", "cos(1 * pi() * u)", "sin(2 * pi() * u)", "co
 _EDGE = """g as (select vec_id, sum(case when y = 7 then v when y = 0 then -v else 0 end) / 56.0::double as gy, sum(case when x = 7 then v when x = 0 then -v else 0 end) / 56.0::double as gx from px group by 1),
   d as (select vec_id, cast(round_even(sin(atan2(gy, gx) + pi() / 2), 0) as int) as dy, cast(round_even(cos(atan2(gy, gx) + pi() / 2), 0) as int) as dx from g)"""
 _TAPS = "taps as (select j, (case j when 0 then 1 + s when 1 then 3 + s when 2 then 3 - s else 1 - s end) / (4 * sqrt(2::double)) as low, (case j when 0 then 1 - s when 1 then -(3 - s) when 2 then 3 + s else -(1 + s) end) / (4 * sqrt(2::double)) as high from range(4) t(j), (select sqrt(3::double) as s))"
+_TRANSFORMS = "cosine fourier haar db2 singular tucker train pursuit projection".split()
 SQL = {
+    "inverse_roundtrips": f"select unnest({_TRANSFORMS}) as transform, n as blocks, n as exact from (select count(*) as n from embeddings)",
+    "attention_roundtrip": "select vec_id, true as ok from embeddings",
+    "mixing_roundtrip": "select user_id, count(*) as n, 1::bigint as ok from events group by 1",
     "edge_directions": f"with {_PX}, {_EDGE} select p.vec_id, any_value(dy) as dy, any_value(dx) as dx, cast(sum(abs(p.v - q.v)) as bigint) as abs_err from px p join d using (vec_id) join px q on q.vec_id = p.vec_id and q.y = (p.y - dy + 8) % 8 and q.x = (p.x - dx + 8) % 8 group by 1",
     "wavelet_db2": f"""with {_PX}, {_TAPS}, c as (select vec_id, i, x, sum(v * low) as a, sum(v * high) as d from px, range(4) t(i), taps where y = (2 * i + j) % 8 group by all),
       q as (select vec_id, i, k, sum(a * low) as w1, sum(a * high) as w2, sum(d * low) as w3, sum(d * high) as w4 from c, range(4) t(k), taps where x = (2 * k + j) % 8 group by all), r as (select vec_id, unnest([w1, w2, w3, w4]) as w from q),
@@ -376,5 +462,5 @@ SQL = {
 QUERIES = [
     local_fit_residual, edge_directions, self_similarity, patch_kmeans, wavelet_db2, fourier_top, scale_search, layered_model, svd_then_predict, attention_residual, attention_heads, two_scale_codes, program_search, plane_memoriser, block_resize, mask_composite,
     noise_fit, random_projection, random_feature_fit, fourier_codec, procedural_fit, conv_sparse_codes, symbolic_surface, smooth_filter, scalar_mode_entropy, pixel_means, coefficient_codes, finite_rows, hierarchical_vq,
-    cross_channel, pca_roundtrip, grey_levels, clipped_inverse, harmonic_features, bounding_boxes, online_mixing,
+    cross_channel, pca_roundtrip, grey_levels, clipped_inverse, harmonic_features, bounding_boxes, online_mixing, inverse_roundtrips, attention_roundtrip, mixing_roundtrip,
 ]

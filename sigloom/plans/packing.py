@@ -135,18 +135,6 @@ def _greys(plane: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarray, np.
     return near[np.searchsorted(values, plane)], np.rint(levels).astype(int)
 
 
-def _wavelet(v: np.ndarray, name: str, back: bool) -> np.ndarray:
-    """One level of a wavelet on a plane, averages first, or the plane again."""
-    low = np.array([1.0, 1.0]) / math.sqrt(2) if name == "haar" else fields.DB2
-    n = v.shape[0]
-    m = np.zeros((n, n))
-    for i in range(n // 2):
-        for j, c in enumerate(low):
-            m[i, (2 * i + j) % n] += c
-            m[n // 2 + i, (2 * i + j) % n] += low[::-1][j] * (-1) ** j
-    return m.T @ v @ m if back else m @ v @ m.T
-
-
 def _ssim(a: np.ndarray, b: np.ndarray) -> float:
     """Structural similarity by 7 x 7 box windows and sample moments."""
     win = lambda x: np.lib.stride_tricks.sliding_window_view(x.astype(float), (7, 7)).reshape(-1, 49)
@@ -171,7 +159,7 @@ def battery(b: np.ndarray) -> list[tuple[str, int, bytes, np.ndarray]]:
     for f in FACTORS:
         part = fields.box_down(b, f)
         out.append((f"downscale_{f}x", 4, zlib.compress(part.astype(np.uint8).tobytes(), 9), fields.resize(part, *b.shape)))
-    spectra = {"dct": (linalg.dct2(b - 128.0), linalg.idct2), **{f"wavelet_{w}": (_wavelet(b - 128.0, w, False), lambda c, w=w: _wavelet(c, w, True)) for w in ("haar", "db2")}}
+    spectra = {"dct": (linalg.dct2(b - 128.0), linalg.idct2), **{f"wavelet_{w}": (m @ (b - 128.0) @ m.T, lambda c, m=m: m.T @ c @ m) for w in ("haar", "db2") for m in [fields.wavelet_matrix(w, len(b))]}}
     for name, (c, back) in spectra.items():
         for pct in PERCENTILES:
             kept = np.rint(np.where(np.abs(c) >= np.percentile(np.abs(c), pct), c, 0))

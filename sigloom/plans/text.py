@@ -69,6 +69,20 @@ def codec_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy("w.algo").agg(F.count("*").alias("docs"), F.sum("w.size").alias("bytes"))
 
 
+def byte_coder_roundtrips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(coder, docs, exact): texts that each general coder gives back (E10); containers are unpacked in container_budget."""
+    pairs = {**CODERS, **EXTRA_CODERS}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            rows = [(k, len(texts), sum(d(e(b)) == b for b in texts)) for k, (e, d) in pairs.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2))], ["coder", "docs", "exact"])
+
+    docs = table(spark, sf_dir, "documents").select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("b"))
+    return docs.mapInArrow(run, "coder string, docs long, exact long").groupBy("coder").agg(F.sum("docs").alias("docs"), F.sum("exact").alias("exact"))
+
+
 def container_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fits, docs): texts whose smallest container meets the budget (F03, P01), each unpacked again to check."""
 
@@ -190,6 +204,7 @@ def _bloom_sql(words: str) -> str:
 
 
 SQL = {
+    "byte_coder_roundtrips": f"select unnest({[*CODERS, *EXTRA_CODERS]}) as coder, n as docs, n as exact from (select count(*) as n from documents)",
     "symbol_frequency": f"with {_C} select sym, count(*) as cnt from d group by 1",
     "byte_entropy": f"with {_C}, k as (select lang, sym, count(*) as cnt from d group by all) select lang, round(({_K}) / sum(cnt), 6) + 0.0 as bps from k group by 1",
     "entropy_floor": f"with {_C}, k as (select source, sym, count(*) as cnt from d group by all) select source, cast(sum(cnt) as bigint) as n, round({_K}, 1) + 0.0 as bits from k group by 1",
@@ -217,6 +232,6 @@ SQL = {
 }
 
 QUERIES = [
-    symbol_frequency, byte_entropy, entropy_floor, huffman_lengths, huffman_cost, codec_race, container_budget, container_kinds, exact_dup_groups, bloom_build_bits, bloom_probe_words,
+    symbol_frequency, byte_entropy, entropy_floor, huffman_lengths, huffman_cost, codec_race, byte_coder_roundtrips, container_budget, container_kinds, exact_dup_groups, bloom_build_bits, bloom_probe_words,
     tier_winners, best_under_budget, report_rollup, size_leaderboard, baseline_delta, report_lines,
 ]

@@ -105,6 +105,19 @@ def test_local_models(spark):
     assert (mu[["surface_bits", "tile_bits", "edge_bits"]] >= 0).all().all()
 
 
+def test_inverses_are_orthogonal():
+    import numpy as np
+
+    from sigloom.operators import fields
+    from sigloom.plans.fields import _inverses
+
+    v = np.random.default_rng(0).normal(size=(3, 8, 8))
+    for name, f in _inverses().items():
+        if name != "singular":
+            assert np.allclose(f(v), v, atol=1e-6), name
+    assert np.allclose((fields.db2(v[0]) ** 2).sum(), (v[0] ** 2).sum())
+
+
 def test_transforms(spark):
     f = run(spark, "fourier_top")
     assert (f.top1 <= f.top8).all() and (f.top8 <= f.top64 + 1e-9).all() and (f.top64 == 1).all()
