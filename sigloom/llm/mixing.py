@@ -4,6 +4,9 @@ Shares p of the sources' tokens become weights p^a / sum p^a. The exponent a is
 entropy, but not so flat that a source would repeat more than the limit. Weights times the budget are the sources' quotas; a quota
 is spent on whole passes over the source's blocks, a block being the documents of one hash value, and then on blocks in a
 pseudo-random order, the last one up to the document with which the quota is reached.
+
+Any number of sources: the bisection needs how many sources have how many tokens, and of t tokens in all there are at most sqrt(2 t)
+different counts, 16 bytes each on the driver (some 70 MB of 10^13 tokens); sources themselves stay in tables.
 """
 
 from __future__ import annotations
@@ -13,38 +16,34 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import cut
+from sigloom.llm.common import BROADCAST_ROWS, cut
 
-#: Most sources whose weights one task works out; a table of sources is never larger than this on the driver.
-MAX_SOURCES = 100_000
-BLOCKS = 256
+#: Blocks of a source: so many at least, and so many that the block at which a quota ends has some BLOCK_ROWS documents at most.
+BLOCKS, BLOCK_ROWS = 256, 8192
 
 
 def tokens(text: str = "text") -> Column:
     """Words of a text: runs of other than ASCII white space."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    spaced = F.trim(F.translate(t, "\t\n\u000b\u000c\r", "     "))
-    return F.when(spaced == "", 0).otherwise(F.size(F.split(spaced, " +"))).cast("long")
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _weights(shares: list[float], a: float) -> list[float]:
-    raised = [s**a if s > 0 else 0.0 for s in shares]
-    total = math.fsum(raised)
-    return [r / total for r in raised]
+def _norm(sizes: dict[int, int], a: float) -> float:
+    """The sum of c^a over the sources, sizes[c] of them with c tokens."""
+    return math.fsum(n * float(c) ** a for c, n in sizes.items() if c)
 
 
-def entropy(weights: list[float]) -> float:
-    return -math.fsum(w * math.log(w) for w in weights if w > 0)
+def entropy(sizes: dict[int, int], a: float) -> float:
+    """Of the weights under exponent a."""
+    z = _norm(sizes, a)
+    return math.log(z) - math.fsum(n * float(c) ** a * a * math.log(c) for c, n in sizes.items() if c) / z
 
 
-def solve_exponent(counts: list[int], budget: int, target: float, limit: float, steps: int = 60) -> float:
+def solve_exponent(sizes: dict[int, int], budget: int, target: float, limit: float, steps: int = 60) -> float:
     """The largest a in [0, 1] whose weights reach `target` of the largest possible entropy, or, where these would repeat a source
-    more than `limit` times, the smallest a at which none is (1 if even the plain shares do)."""
-    total = sum(counts)
-    live = sum(c > 0 for c in counts)
+    more than `limit` times, the smallest a at which none is (1 if even the plain shares do). sizes: tokens -> sources."""
+    live = sum(n for c, n in sizes.items() if c)
     if live < 2:
         return 1.0
-    shares = [c / total for c in counts]
     goal = target * math.log(live)
 
     def bisect(low_ok) -> float:
@@ -55,8 +54,9 @@ def solve_exponent(counts: list[int], budget: int, target: float, limit: float,
             lo, hi = (mid, hi) if low_ok(mid) else (lo, mid)
         return lo
 
-    repeats = lambda a: max(w * budget / c for w, c in zip(_weights(shares, a), counts, strict=True) if c)
-    flat = 1.0 if entropy(_weights(shares, 1.0)) >= goal else bisect(lambda a: entropy(_weights(shares, a)) >= goal)
+    least = min(c for c in sizes if c)
+    repeats = lambda a: float(least) ** (a - 1) * budget / _norm(sizes, a)  # noqa: E731  a <= 1: the smallest source repeats most
+    flat = 1.0 if entropy(sizes, 1.0) >= goal else bisect(lambda a: entropy(sizes, a) >= goal)
     if repeats(flat) <= limit:
         return flat
     if repeats(1.0) > limit:
@@ -64,19 +64,15 @@ def solve_exponent(counts: list[int], budget: int, target: float, limit: float,
     return max(flat, bisect(lambda a: repeats(a) > limit) + 1e-12)
 
 
-def plan(docs: DataFrame, budget: int | None = None, target: float = 0.9, limit: float = 4.0) -> list[dict]:
-    """Per source with tokens, in order of name: source, tokens, weight, quota. docs: as `numbered` makes it."""
-    rows = docs.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: r.source)
-    counts = [r.tokens for r in rows]
-    if not rows:
-        return []
-    budget = sum(counts) if budget is None else budget
-    a = solve_exponent(counts, budget, target, limit)
-    weights = _weights([c / sum(counts) for c in counts], a)
-    return [{"source": r.source, "tokens": r.tokens, "weight": w, "quota": min(math.floor(w * budget), math.floor(limit * r.tokens))} for r, w in zip(rows, weights, strict=True)]
+def plan(docs: DataFrame, budget: int | None = None, target: float = 0.9, limit: float = 4.0) -> tuple[DataFrame, int]:
+    """Per source with tokens: source, tokens, weight, quota; and how many sources there are. docs: source, tokens."""
+    rows = docs.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
+    sizes = {r.tokens: r.n for r in rows.groupBy("tokens").agg(F.count("*").alias("n")).collect()}
+    budget = sum(c * n for c, n in sizes.items()) if budget is None else budget
+    a = solve_exponent(sizes, budget, target, limit)
+    weight = F.pow(F.col("tokens").cast("double"), F.lit(a)) / F.lit(_norm(sizes, a) or 1.0)
+    quota = F.least(F.floor(F.col("weight") * budget), F.floor(F.col("tokens") * F.lit(float(limit))))
+    return rows.withColumn("weight", weight).withColumn("quota", quota.cast("long")), sum(sizes.values())
 
 
 def mix_sources(docs: DataFrame, budget: int | None = None, target: float = 0.9, limit: float = 4.0, blocks: int = BLOCKS, seed: int = 17) -> DataFrame:
@@ -84,23 +80,22 @@ def mix_sources(docs: DataFrame, budget: int | None = None, target: float = 0.9,
     source's pass), weight and quota of the source.
 
     budget: tokens to draw, by default as many as there are. A null source is one source, named ''. Documents without tokens cost
-    nothing and are drawn where their block is. Repeated rows are drawn as separate documents. Whole passes draw every document;
-    of the last, only the block at which the quota ends is ordered by document, so that no source is sorted in one task unless it
-    is as small as a block: a hot source has `blocks` of them.
+    nothing and are drawn where their block is; those of a source without any are not drawn. Repeated rows are drawn as separate
+    documents. An empty table gives an empty draw. Whole passes draw every document; of the last, only the block at which the quota ends
+    is ordered by document: blocks grow in number with the table, so that such a block stays small however hot its source is.
     """
-    digest = cut(_numbered(docs, blocks, seed), "mix")
-    chosen = plan(digest, budget, target, limit)
-    spark = docs.sparkSession
-    kind = "source string, tokens long, weight double, quota long"
-    sources = spark.createDataFrame([tuple(c.values()) for c in chosen], kind)
-    per_block = digest.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens")).join(F.broadcast(sources), "source")
+    digest = cut(_numbered(docs, seed), "mix")
+    blocks = max(blocks, -(-digest.count() // BLOCK_ROWS))
+    digest = digest.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")).drop("h")
+    few = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    sources, n = plan(digest, budget, target, limit)
+    per_block = digest.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens")).join(few(sources, n), "source")
     per_block = per_block.withColumn("whole", F.expr("quota div tokens")).withColumn("rest", F.expr("quota % tokens"))
     order = F.xxhash64(F.lit(seed), "source", "block", "whole")
     line = Window.partitionBy("source").orderBy(order, "block")
     placed = per_block.withColumn("before", F.sum("block_tokens").over(line) - F.col("block_tokens")).withColumn("position", F.row_number().over(line))
     placed = placed.withColumn("left", F.col("rest") - F.col("before")).select("source", "block", "weight", "quota", "whole", "position", "block_tokens", F.when(F.col("left") <= 0, 0).when(F.col("left") >= F.col("block_tokens"), 2).otherwise(1).alias("share"), "left")
-    bounded = chosen and len(chosen) * blocks <= 2_000_000
-    rows = digest.join(F.broadcast(placed) if bounded else placed, ["source", "block"])
+    rows = digest.join(few(placed, n * blocks), ["source", "block"])
     whole = rows.where("share != 1").withColumn("passes", F.col("whole") + F.when(F.col("share") == 2, 1).otherwise(0))
     cut_line = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "tokens"), "doc_id")
     part = rows.where("share = 1").withColumn("before", F.sum("tokens").over(cut_line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
@@ -109,5 +104,5 @@ def mix_sources(docs: DataFrame, budget: int | None = None, target: float = 0.9,
     return drawn.select("doc_id", "source", F.col("tokens").alias("n_tokens"), "pass", "block", F.col("position").cast("long").alias("position"), "weight", "quota")
 
 
-def _numbered(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens().alias("tokens"), F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int").alias("block"))
+def _numbered(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), tokens().alias("tokens"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("h"))
