@@ -14,14 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import cut, gram_hashes, mix, small_batches, word_hashes
+from sigloom.llm.common import BROADCAST_ROWS, by_ids, gram_hashes, measured, mix, shared_path, slices, small_batches, word_hashes
 
-#: Items that are sent to the tasks at once, in expectation; more are searched for in blocks. And the longest run of one item's words that is one unit.
+#: Items that are sent to the tasks at once, in expectation; more are searched for in blocks, one after the other.
 BLOCK_ITEMS = 20_000
-MAX_WORDS = 512
+#: Words of a run: longer items are looked for by even runs of so many at most, one of which must be near where the item is.
+RUN = 512
 _SPLIT = bytes(32 if i < 0x30 or 0x3A <= i <= 0x60 or 0x7B <= i <= 0x7F else i for i in range(256))
 _PAD = np.uint64(0x5851F42D4C957F2D)
 
@@ -93,21 +95,26 @@ class Items:
 
     def __init__(self, items: list[tuple[int, bytes]], rate: float, recall: float):
         self.walks = Walks(rate, recall)
-        self.units: list[tuple[int, np.ndarray, int]] = []
+        #: Of each run its words, the edits it may have, the number of its item, and how many words stand ahead of it there.
+        self.units: list[tuple[np.ndarray, int, int, int]] = []
+        #: Items by number: name, words, the edits that it may have.
+        self.wholes: list[tuple[int, np.ndarray, int]] = []
         for item, text in items:
             h = word_hashes(words_of(text))
             if len(h):
-                for a in range(0, len(h), MAX_WORDS) if len(h) > MAX_WORDS else [0]:
-                    part = h[max(0, min(a, len(h) - MAX_WORDS)) :][:MAX_WORDS]
-                    self.units.append((item, part, int(rate * len(part))))
+                ahead = 0
+                for part in np.array_split(h, -(-len(h) // RUN)):
+                    self.units.append((part, int(rate * len(part)), len(self.wholes), ahead))
+                    ahead += len(part)
+                self.wholes.append((item, h, int(rate * len(h))))
         self.by_q: dict[int, list[int]] = defaultdict(list)
-        for u, (_, h, d) in enumerate(self.units):
+        for u, (h, d, _, _) in enumerate(self.units):
             q = next(q for q in (3, 2, 1) if len(h) - q + 1 - d * q >= 1 or q == 1)
             self.by_q[q].append(u)
         #: q -> sorted n-grams; and of each the sizes of the items that hold it, as (start of its run, sizes).
         self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for q, us in self.by_q.items():
-            both = sorted({(g, len(self.units[u][1])) for u in us for g in gram_hashes(self.units[u][1], q).tolist()})
+            both = sorted({(g, len(self.units[u][0])) for u in us for g in gram_hashes(self.units[u][0], q).tolist()})
             known, first = np.unique(np.array([g for g, _ in both], np.uint64), return_index=True)
             self.grams[q] = (known, np.append(first, len(both)), np.array([n for _, n in both]))
         self.bits = {q: np.bincount((g[0] >> np.uint64(44)).astype(np.int64), minlength=1 << 20) > 0 for q, g in self.grams.items()}
@@ -116,11 +123,11 @@ class Items:
         for q, us in self.by_q.items():
             by_n: dict[int, list[int]] = defaultdict(list)
             for u in us:
-                by_n[len(self.units[u][1])].append(u)
+                by_n[len(self.units[u][0])].append(u)
             self.sizes[q] = {}
             for n, same in sorted(by_n.items()):
-                d, starts = self.units[same[0]][2], np.arange(len(same)) * n
-                keys = self.walks.keys(np.concatenate([self.units[u][1] for u in same]), starts, starts + n, n)
+                d, starts = self.units[same[0]][1], np.arange(len(same)) * n
+                keys = self.walks.keys(np.concatenate([self.units[u][0] for u in same]), starts, starts + n, n)
                 who = np.repeat(same, keys.shape[1])
                 order = np.argsort(keys.ravel(), kind="stable")
                 known, first = np.unique(keys.ravel()[order], return_index=True)
@@ -170,20 +177,22 @@ class Items:
         return starts[ok], text[ok]
 
     def _probe(self, h: np.ndarray, starts: np.ndarray, text: np.ndarray, first: np.ndarray, n: int, size: tuple, best: dict) -> None:
-        d, _, known, runs, units = size
+        _, _, known, runs, units = size
         keys = self.walks.keys(h, starts, first[text + 1] - 1, n)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         rows, cols = np.nonzero(known[at] == keys)
         met = {(int(starts[r]), int(u)) for r, k in zip(rows.tolist(), at[rows, cols].tolist(), strict=True) for u in units[runs[k] : runs[k + 1]]}
-        seen: dict[int, int] = {}
+        seen: set[tuple[int, int]] = set()
         for s, u in sorted(met):
-            t = int(np.searchsorted(first, s, "right")) - 1
-            if s <= seen.get(u, -1):  # within the stretch that was verified last
+            _, _, i, ahead = self.units[u]
+            item, words, d = self.wholes[i]
+            begin = s - ahead  # where the whole item would begin; places less than d + 1 apart are verified together
+            if (i, begin // (d + 1)) in seen:
                 continue
-            seen[u] = min(s + d, int(first[t + 1]) - 1)
-            item, words, _ = self.units[u]
-            low = max(int(first[t]), s - d)
-            cost, a, b = edits(words, h[low : min(s + n + 2 * d, int(first[t + 1]) - 1)])
+            seen.add((i, begin // (d + 1)))
+            t = int(np.searchsorted(first, s, "right")) - 1
+            low, high = max(int(first[t]), begin - d), min(begin + len(words) + 2 * d, int(first[t + 1]) - 1)
+            cost, a, b = edits(words, h[low:high])
             place = (cost, low + a - int(first[t]), low + b - int(first[t]))
             if cost <= d and ((t, item) not in best or place[:2] < best[t, item][:2]):
                 best[t, item] = place
@@ -192,18 +201,13 @@ class Items:
 def _find(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, a = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            out: list[list] = [[], [], [], [], []]
-            while a < len(texts):  # some 8 MB of text at once
-                b, size = a, 0
-                while b < len(texts) and (b == a or size < 8_000_000):
-                    size += len(texts[b] or b"")
-                    b += 1
-                for t, *found in items.hits([word_hashes(words_of(x or b"")) for x in texts[a:b]]):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 8_000_000):
+                out: list[list] = [[], [], [], [], []]
+                for t, *found in items.hits([word_hashes(words_of(x or b"")) for x in texts.slice(a, b - a).to_pylist()]):
                     for col, v in zip(out, (ids[a + t], *found), strict=True):
                         col.append(v)
-                a = b
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "item_id", "edits", "first_word", "end_word"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "item_id", "edits", "first_word", "end_word"])
 
     return run
 
@@ -211,30 +215,37 @@ def _find(items: Items):
 KIND = "doc_id long, item_id long, edits long, first_word long, end_word long"
 
 
+def _search(texts: DataFrame, benchmark: DataFrame, rate: float, recall: float) -> DataFrame:
+    """Rows of KIND, of texts (id, binary text). The driver and the tasks hold one block of items at a time: of several blocks each one's rows are written before the next is read."""
+    spark = texts.sparkSession
+    small_batches(spark)
+    known = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("binary").alias("text")).distinct()
+    blocks = -(-known.count() // BLOCK_ITEMS)
+    path = shared_path(spark, "leaks") if blocks > 1 else ""
+    for b in range(blocks):
+        held = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+        found = texts.mapInArrow(_find(Items([(r.item_id, bytes(r.text)) for r in held], rate, recall)), KIND)
+        if blocks == 1:
+            return found
+        found.write.parquet(f"{path}/block={b}")
+    return spark.read.schema(KIND).parquet(path).select(*(c.split()[0] for c in KIND.split(", "))) if blocks else spark.createDataFrame([], KIND)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.98) -> DataFrame:
     """One row per document and benchmark item that it holds, within rate * (the item's words) edits: doc_id, item_id, edits,
     first_word, end_word (words of letters and digits, from 0, end exclusive) of the closest place, the first of those.
 
     Documents are searched one by one, whole, against tables of the items, which go to the tasks in blocks of bounded size; nothing
-    is shuffled, so that no source or copy is hot. Items over MAX_WORDS words are looked for by their runs of that many. Null and
+    is shuffled, so that no source or copy is hot. The edit distance of the whole item decides, however long it is. Null and
     wordless texts and items match nothing; repeated documents give repeated rows, repeated items one.
     """
-    small_batches(docs.sparkSession)
-    known = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("binary").alias("text")).distinct()
-    blocks = -(-known.count() // BLOCK_ITEMS)
-    out = docs.sparkSession.createDataFrame([], KIND)
-    for b in range(blocks):
-        held = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        items = Items([(r.item_id, bytes(r.text)) for r in held], rate, recall)
-        if items.units:
-            found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_find(items), KIND)
-            out = found if b == 0 else out.union(found)
-    return out
+    return _search(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), benchmark, rate, recall)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.98) -> DataFrame:
-    """docs without the documents that hold an item; rows without doc_id stay. All columns stay."""
-    from sigloom.llm.ngram_join import drop_ids
-
-    leaks = cut(find_leaks(docs, benchmark, rate, recall).where("doc_id is not null").select("doc_id").distinct(), "leaks")
-    return drop_ids(docs, leaks)
+    """docs without the rows whose text holds an item, whatever their doc_id, null or repeated; null and empty texts stay. All columns
+    stay; an empty table stays empty, and without items all stays as it is."""
+    rid = F.xxhash64("doc_id", "text").alias("rid")
+    leaks, seen = measured(_search(docs.select(rid, F.col("text").cast("binary").alias("text")), benchmark, rate, recall).select(F.col("doc_id").alias("rid")).distinct(), "leaks")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return by_ids(docs.select(row, rid), leaks, "rid", "left_anti", seen.n <= BROADCAST_ROWS).select("row.*")
