@@ -59,3 +59,41 @@ def test_gram_hashes():
     g = common.gram_hashes(h, 2)
     assert len(g) == 4 and g[0] == g[2] and len(set(g.tolist())) == 3
     assert len(common.gram_hashes(h[:2], 4)) == 1 and len(common.gram_hashes(h[:0], 4)) == 0
+
+
+def test_cuts_are_removed(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    since = common.made(spark)
+    folders = lambda: common.folders(spark)
+    common.cut(spark.range(5), "a")
+    with common.scratch(spark) as last:
+        common.cut(spark.range(5), "b")
+        kept = last(spark.range(7).select(F.col("id") * 2), "c")
+        common.cut(spark.range(5), "d")
+    assert kept.count() == 7 and common.made(spark) == since + 2 and all(os.path.isdir(f) for f in folders()[since:])
+    before = folders()[since:]
+    common.cut(spark.range(3), "e")
+    common.keep_last(spark, since)
+    assert common.made(spark) == since + 1 and not any(os.path.exists(f) for f in before)
+    common.release(spark, since)
+    assert common.made(spark) == since
+
+
+def test_shared_folder_is_demanded_of_clusters(spark):
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "x"
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Elsewhere)
+
+
+def test_slices():
+    assert list(common.slices(np.array([5, 1, 1, 9, 2]), 6)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+    assert list(common.slices(np.array([], int), 6)) == [] and list(common.slices(np.array([0, 0]), 6)) == [(0, 2)]

@@ -118,6 +118,69 @@ def test_ngram_edges(spark, edges):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 5, 8, 9] and kept.count() == 8
 
 
+def test_shared_keys_of_ranges():
+    """Whatever the batches: all rows of keys with several nodes once, and what may go on beyond the range's ends."""
+    import pyarrow as pa
+
+    from sigloom.llm.ngram_join import _shared
+
+    rng = np.random.default_rng(6)
+    for trial in range(300):
+        n = int(rng.integers(0, 30))
+        rows = sorted(zip(rng.integers(0, [2, 6, 20][trial % 3], n).tolist(), rng.integers(0, 5, n).tolist(), strict=True))
+        cuts = sorted(rng.integers(0, n + 1, 4).tolist())
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a:b]], pa.int64()) for i in (0, 1)], ["key", "node"]) for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
+        got = [tuple(r.values()) for b in _shared(iter(batches)) for r in b.to_pylist()]
+        distinct = sorted(set(rows))
+        by = defaultdict(list)
+        for k, v in distinct:
+            by[k].append(v)
+        ends = {distinct[0][0], distinct[-1][0]} if distinct else set()
+        want = [(k, v, vs[0]) for k, vs in by.items() for v in vs if len(vs) > 1 or k in ends]
+        assert sorted(got) == sorted(want), (rows, cuts)
+
+
+def test_ngram_groups_of_unlike_documents_with_one_passage(spark, monkeypatch):
+    """Hot buckets: many documents share a passage and little else; near copies among them are still found, and few pairs are compared."""
+    from sigloom.llm import ngram_join
+
+    compared, links = [], ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda docs, facts, pairs, n, *rest: [compared.append(n), links(docs, facts, pairs, n, *rest)][1])
+    rng = np.random.default_rng(12)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(50_000):
+        own = [f"w{x}" for x in rng.integers(10**9, size=int(rng.integers(40, 90)))]
+        a = int(rng.integers(len(own)))
+        rows.append((i, " ".join([*own[:a], *passage, *own[a:]])))
+    near = [(100_000 + i, " ".join(edited(rng, rows[i][1].split(), 1))) for i in range(0, 50_000, 400)]
+    got = ngram_join.ngram_groups(spark.createDataFrame(rows + near, "doc_id long, text string"), 5, 80, 100).toPandas()
+    comp = dict(zip(got.doc_id, got.component_id, strict=True))
+    sets = {i: sets_of(t, 5) for i, t in near}
+    linked = 0
+    for i, s in sets.items():
+        base = sets_of(rows[i - 100_000][1], 5)
+        same = 100 * len(s & base) >= 80 * len(s | base)
+        linked += same
+        assert comp[i] == (i - 100_000 if same else i)
+    assert linked > 100 and (got.component_id != got.doc_id).sum() == linked
+    assert sum(compared) < 40 * len(rows), compared
+
+
+def test_keep_one_of_rows_without_ids(spark):
+    """Rows are told apart by id and text: null and repeated ids lose no link, and no row that isn't linked."""
+    from sigloom.llm.ngram_join import keep_one
+
+    rng = np.random.default_rng(2)
+    base = [[f"w{x}" for x in rng.integers(10**6, size=80)] for _ in range(6)]
+    text = lambda k, e=0: " ".join(edited(rng, base[k], e))
+    rows = [(None, text(0)), (None, text(0)), (None, text(0, 1)), (7, text(1)), (7, text(2)), (7, text(1, 1)), (None, text(2, 1)), (8, text(3)), (8, text(3)), (9, text(3, 1)), (None, text(4)), (5, text(4)), (None, None), (None, None), (3, ""), (3, "")]
+    got = keep_one(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row long"), 5, 80, 100)
+    kept = sorted(((r.doc_id, (r.text or "")) for r in got.collect()), key=str)
+    of = lambda k: [d for d, t in kept if len(sets_of(t, 5) & sets_of(" ".join(base[k]), 5)) > 40]
+    assert [of(k) for k in range(5)] == [[None], [7], [7], [8], [5]] and len(kept) == 9 and got.columns == ["doc_id", "text", "row"]
+
+
 PATTERNS = {
     "assign": (re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
     "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
@@ -504,7 +567,8 @@ def test_language_model_state_runs_on():
     assert np.allclose(whole, [score_texts(m, [t])[0] for t in texts], rtol=1e-4)
 
 
-def test_leaks(spark, docs, edges):
+def test_leaks(spark, docs, edges, monkeypatch):
+    from sigloom.llm import decontaminate
     from sigloom.llm.decontaminate import drop_leaks, find_leaks, words_of
 
     bench = pd.read_parquet(f"{SF}/benchmark.parquet")
@@ -542,6 +606,16 @@ def test_leaks(spark, docs, edges):
     some = spark.createDataFrame([(1, None), (2, ""), (None, "a b c d e"), (3, "one"), (3, "one")], "item_id long, text string")
     assert sorted(map(tuple, find_leaks(edges, some).select("doc_id", "item_id").collect())) == [(4, 3)]
     assert find_leaks(edges, some.limit(0)).count() == 0 and find_leaks(edges.limit(0), some).count() == 0
+    long = [f"w{x}" for x in rng.integers(10**6, size=1300)]
+    worn = edited(rng, long, 200)
+    beyond = [*long[:600], *(f"v{x}" for x in range(500)), *long[1100:]]  # runs of the item, but not the item
+    made = spark.createDataFrame([(1, " ".join(["a", "b", *worn, "c"])), (2, " ".join(beyond)), (None, " ".join(long)), (None, "other words")], "doc_id long, text string")
+    item = spark.createDataFrame([(9, " ".join(long))], "item_id long, text string")
+    held = {r.doc_id: (r.edits, r.first_word) for r in find_leaks(made, item).collect()}
+    assert set(held) == {1, None} and held[None] == (0, 0) and held[1][1] == 2 and 150 < held[1][0] <= 200
+    assert sorted(r.text[:5] for r in drop_leaks(made, item).collect()) == sorted([" ".join(beyond)[:5], "other"])
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 40)  # several blocks find what one does
+    assert set(map(tuple, find_leaks(df, spark.createDataFrame(bench)).toPandas().values)) == set(map(tuple, got.values))
     left = drop_leaks(edges, some)
     assert left.columns == edges.columns and left.count() == len(EDGES) - 1
 
@@ -574,35 +648,124 @@ def test_quality(spark, edges):
     assert score_quality(edges.limit(0), some).count() == 0
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark: each value's hash is the seed of the next; longs and ints as their bytes, nulls pass."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v, kind in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack("<" + kind, v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_mix(rows, budget, target, limit, blocks, seed=17):
+    """The draw in plain Python: rows (doc_id, source, tokens)."""
+    total = Counter()
+    for _, s, n in rows:
+        total[s] += n
+    live = {s: n for s, n in total.items() if n}
+    budget = sum(live.values()) if budget is None else budget
+    weights = lambda a: {s: n**a / math.fsum(m**a for m in live.values()) for s, n in live.items()}
+    even = lambda a: -sum(w * math.log(w) for w in weights(a).values()) >= target * math.log(len(live))
+    most = lambda a: max(w * budget / live[s] for s, w in weights(a).items())
+    a = 1.0 if len(live) < 2 or even(1.0) else _halve(even)
+    if len(live) > 1 and most(a) > limit:
+        a = 1.0 if most(1.0) > limit else max(a, _halve(lambda x: most(x) > limit) + 1e-12)
+    out = []
+    for s, w in weights(a).items():
+        quota = min(math.floor(w * budget), math.floor(limit * live[s]))
+        own = [(d, n, spark_hash((seed, "i"), (d, "q")) % blocks) for d, t, n in rows if t == s]
+        whole, rest = divmod(quota, live[s])
+        order = sorted({b for *_, b in own}, key=lambda b: (spark_hash((seed, "i"), (s, "s"), (b, "i"), (whole, "q")), b))
+        left = rest
+        for b in order:
+            block = [(d, n) for d, n, c in own if c == b]
+            mass = sum(n for _, n in block)
+            if left <= 0:
+                more = [0] * len(block)
+            elif left >= mass:
+                more = [1] * len(block)
+            else:
+                block.sort(key=lambda x: (spark_hash((seed + 1, "i"), (x[0], "q"), (x[1], "q")), x[0] is not None, x[0]))
+                sums = np.cumsum([0, *(n for _, n in block)])
+                more = [int(v < left) for v in sums[:-1]]
+            left -= mass
+            out += [(d, s, n, p, b, quota) for (d, n), m in zip(block, more, strict=True) for p in range(whole + m)]
+    return out
+
+
+def _halve(ok):
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if ok(mid) else (lo, mid)
+    return lo
+
+
 def test_mixing(spark, docs, edges):
     from sigloom.llm.mixing import entropy, mix_sources, plan, solve_exponent
 
-    counts = [1000, 100, 10]
-    a = solve_exponent(counts, 1110, 0.9, 1e9)
-    w = np.array([c / 1110 for c in counts]) ** a
-    assert entropy(list(w / w.sum())) == pytest.approx(0.9 * math.log(3), abs=1e-6)
-    a = solve_exponent(counts, 1110, 0.99, 3.0)
-    w = np.array([c / 1110 for c in counts]) ** a
-    assert max(w / w.sum() * 1110 / counts) == pytest.approx(3.0, rel=1e-6)
-    assert solve_exponent([5], 5, 0.9, 4) == 1.0
+    sizes = {1000: 1, 100: 1, 10: 1}
+    a = solve_exponent(sizes, 1110, 0.9, 1e9)
+    assert entropy(sizes, a) == pytest.approx(0.9 * math.log(3), abs=1e-6)
+    a = solve_exponent(sizes, 1110, 0.99, 3.0)
+    w = np.array([c / 1110 for c in sizes]) ** a
+    assert max(w / w.sum() * 1110 / list(sizes)) == pytest.approx(3.0, rel=1e-6)
+    assert solve_exponent({5: 1}, 5, 0.9, 4) == 1.0
     tok = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in zip(docs.doc_id, docs.text, strict=True)}
     docs = docs.assign(source=np.where(docs.doc_id % 3 == 0, "hot", docs.source))
     df = spark.createDataFrame(docs)
+    rows = [(int(d), s, tok[d]) for d, s in zip(docs.doc_id, docs.source, strict=True)]
     for budget in (None, 5000, 300_000):
         got = mix_sources(df, budget=budget, limit=3.0, blocks=8).toPandas()
         again = mix_sources(df.repartition(3), budget=budget, limit=3.0, blocks=8).toPandas()
         key = ["doc_id", "pass", "position"]
         assert sorted(got[key].itertuples(index=False)) == sorted(again[key].itertuples(index=False))
-        assert (got.n_tokens == got.doc_id.map(tok)).all()
+        drawn = sorted(map(tuple, got[["doc_id", "source", "n_tokens", "pass", "block", "quota"]].values.tolist()))
+        assert drawn == sorted(brute_mix(rows, budget, 0.9, 3.0, 8))
         for s, part in got.groupby("source"):
             own = docs[docs.source == s].doc_id
-            quota, drawn = part.quota.iloc[0], part.n_tokens.sum()
-            assert quota <= drawn < quota + max(tok[i] for i in own) + 1
+            quota, n = part.quota.iloc[0], part.n_tokens.sum()
+            assert quota <= n < quota + max(tok[i] for i in own) + 1
             times = part.groupby("doc_id").size().reindex(own, fill_value=0)
             assert times.max() - times.min() <= 1 and times.max() <= 3
     out = mix_sources(edges).toPandas()
     assert set(out.source) <= {"", "a", "b", "c"} and mix_sources(edges.limit(0)).count() == 0
-    assert plan(edges.limit(0).selectExpr("source", "n_chars as tokens")) == []
+    assert plan(edges.limit(0).selectExpr("source", "n_chars as tokens"))[0].count() == 0
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """No source table on the driver, no broadcast beyond the bound, and blocks that grow with the table."""
+    from sigloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 20)
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), f"s{i % 400 if i % 3 else 0}") for i in range(3000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), blocks=16).toPandas()
+    want = brute_mix([(i, s, len(t.split())) for i, t, s in rows], None, 0.9, 4.0, 150)
+    assert sorted(map(tuple, got[["doc_id", "source", "n_tokens", "pass", "block", "quota"]].values.tolist())) == sorted(want)
+
+
+def test_quality_column_is_the_rules(spark, docs):
+    """The column expression against the rules in NumPy, over every document."""
+    from sigloom.llm import quality
+
+    labels = pd.read_parquet(f"{SF}/labels.parquet")
+    df, lab = spark.createDataFrame(docs), spark.createDataFrame(labels)
+    model = quality.learn(df, lab)
+    assert model.rules
+    got = quality.score_quality(df, lab).toPandas().set_index("doc_id").score
+    import pyarrow as pa
+
+    stats = quality._stats(pa.array([t.encode() for t in docs.text], pa.binary()))
+    x = np.array([list(r.values()) for r in stats.to_pylist()])
+    margin = model.intercept + sum(w * rule.of(x) for rule, w in model.rules)
+    for r, (rule, _) in zip(x[:50], model.rules * 50, strict=False):
+        assert rule.of(r[None])[0] == all((r[f] > t) == above for f, above, t in rule.tests)
+    assert np.allclose(got.loc[docs.doc_id].values, 1 / (1 + np.exp(-margin)), rtol=1e-12)
 
 
 def test_queries_have_names():

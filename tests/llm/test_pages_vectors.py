@@ -196,6 +196,22 @@ def test_url_rules_brute(spark):
         assert got.verdict[i] == (fits[0][3] if fits else "allow")
 
 
+def test_many_rules_of_one_host(spark):
+    """A url costs what its path's length allows, not the number of its host's rules."""
+    from time import process_time
+
+    import pyarrow as pa
+
+    from sigloom.llm.url_rules import _sweep
+
+    n = 20_000
+    rows = [(0, "com\u0001", 0, None, "com", f"/{i}/", "block") for i in range(n)] + [(0, "com\u0001a\u0001", 1, i, "a.com", f"/{i}/x", "") for i in range(n)]
+    cols = [pa.array([r[i] for r in rows]) for i in range(7)]
+    began = process_time()
+    out = next(_sweep(iter([pa.RecordBatch.from_arrays(cols, list("abcdefg"))]))).to_pylist()
+    assert process_time() - began < 5 and [r["rule"] for r in out] == [f"com/{i}/" for i in range(n)]
+
+
 def test_url_oracle(spark):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{SF}/pages.parquet'")

@@ -78,6 +78,13 @@ def test_run_equals_the_stages(spark, steps):
     assert sorted(map(tuple, got[key].values.tolist())) == sorted(map(tuple, steps[5][key].values.tolist()))
 
 
+def test_run_removes_what_it_wrote(spark):
+    from sigloom.llm.common import made
+
+    before = made(spark)
+    assert corpus_pipeline.run(spark, SF).count() > 0 and made(spark) == before + 2  # the last stage's input, and the draw's digest
+
+
 def test_stages_on_edges(spark, tmp_path):
     kind = "doc_id long, text string, lang string, source string, n_chars long, n long, row string, stats double, sketch int"
     docs = spark.createDataFrame([(*r, 1, "x", 0.5, 2) for r in EDGES], kind)
