@@ -2,12 +2,13 @@
 
 A rule's host, labels reversed, is the prefix of the hosts that it fits: an interval of sorted keys. Urls and rules are dealt to
 ranges of keys, a rule to every range that its interval touches, and a range that one url fills is shared by several tasks. Each
-task sweeps its sorted rows with a stack of the rules whose interval is open; those are nested, the deepest on top.
+task sweeps its sorted rows with a stack of the rules whose interval is open; those are nested, the deepest on top. The paths of a host are
+looked up by their lengths, so that many rules of one host cost a url no more than few.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +43,7 @@ def _key(host: str):
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (range, key, kind, id, host, path, verdict), rules (kind 0) ahead of urls (kind 1) of one key: urls with their rule."""
-    part, stack = None, []
+    part, stack = None, []  # of each open host: its key, the host, its rules by path, and the lengths of paths, longest first
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         for p, key, kind, page, host, path, verdict in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -51,16 +52,18 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while stack and not key.startswith(stack[-1][0]):
                 stack.pop()
             if kind == 0:
-                if stack and stack[-1][0] == key:
-                    stack[-1][1].append((host, path, verdict))
-                else:
-                    stack.append((key, [(host, path, verdict)]))
+                if not stack or stack[-1][0] != key:
+                    stack.append((key, host, {}, []))
+                _, _, rules, sizes = stack[-1]
+                rules[path] = verdict
+                if len(path) not in sizes:
+                    insort(sizes, len(path), key=lambda n: -n)
                 continue
             best = None
-            for _, rules in reversed(stack):
-                for h, r, v in rules:
-                    if path.startswith(r) and (best is None or len(h) + len(r) > len(best[0]) + len(best[1])):
-                        best = (h, r, v)
+            for _, h, rules, sizes in reversed(stack):  # the longest path that fits this host's; deeper hosts come first, and keep what is as long
+                r = next((path[:n] for n in sizes if n <= len(path) and path[:n] in rules), None)
+                if r is not None and (best is None or len(h) + len(r) > len(best[0]) + len(best[1])):
+                    best = (h, r, rules[r])
             for col, v in zip(out, (page, host, path, best and best[0] + best[1], best and best[2]), strict=True):
                 col.append(v)
         kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
