@@ -159,12 +159,14 @@ def fold(doc_id: str, parts: int) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
-    """Fit on at most `sample` labelled documents whose fold is not 0. A document labelled twice takes the larger label."""
+    """Fit on at most `sample` labelled documents whose fold is not 0. A document labelled twice takes the larger label; of several rows with one
+    doc_id the one of the smallest statistics counts."""
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").where(fold("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = bounded_sample(known, "doc_id", sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "quality", text_stats(F.col("text").cast("binary")).alias("s")).dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "quality", text_stats(F.col("text").cast("binary")).alias("s")).collect()
+    # a doc_id of several rows teaches with the one of the least statistics, whatever order they come in
+    rows = list({r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, tuple(r.s)), reverse=True)}.values())[::-1]
     x = np.array([list(r.s) for r in rows], float).reshape(len(rows), len(STATS))
     return fit_rules(x, np.array([int(r.quality > 0) for r in rows], int))
 
@@ -179,7 +181,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score at least threshold, unchanged."""
+    """The rows of docs that score at least threshold, unchanged: each is judged by itself, so that repeated rows stay or go together; null and
+    empty texts are judged as texts of no characters; an empty table stays empty, and without labels every text scores 0.5 and stays."""
     model = learn(docs, labels)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     rated = docs.select(row.alias("row"), text_stats(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("stats"))
