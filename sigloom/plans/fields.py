@@ -432,7 +432,16 @@ _EDGE = """g as (select vec_id, sum(case when y = 7 then v when y = 0 then -v el
   d as (select vec_id, cast(round_even(sin(atan2(gy, gx) + pi() / 2), 0) as int) as dy, cast(round_even(cos(atan2(gy, gx) + pi() / 2), 0) as int) as dx from g)"""
 _TAPS = "taps as (select j, (case j when 0 then 1 + s when 1 then 3 + s when 2 then 3 - s else 1 - s end) / (4 * sqrt(2::double)) as low, (case j when 0 then 1 - s when 1 then -(3 - s) when 2 then 3 + s else -(1 + s) end) / (4 * sqrt(2::double)) as high from range(4) t(j), (select sqrt(3::double) as s))"
 _TRANSFORMS = "cosine fourier haar db2 singular tucker train pursuit projection".split()
+#: Places of a 4 x 4 square after k quarter turns, by (i, j).
+_TURNS = " union all ".join(f"select d, {k} as k, i, j, h from halves, range(4) a(i), range(4) b(j) where hy = {y} and hx = {x}" for k, (y, x) in enumerate((("i", "j"), ("j", "3 - i"), ("3 - i", "3 - j"), ("3 - j", "i"))))
+_SELF = f"""with {_PX}, first as (select vec_id as d from embeddings order by vec_id limit {POOL}), halves as (select d, y // 2 as hy, x // 2 as hx, avg(v) as h from px join first on d = vec_id group by all),
+  turned as ({_TURNS}), pool as (select d, k, i, j, h - avg(h) over (partition by d, k) as h from turned), spread as (select d, k, sum(h * h) / 16 as f from pool group by all),
+  parts as (select vec_id, y // 4 as qy, x // 4 as qx, y % 4 as i, x % 4 as j, v - avg(v) over (partition by vec_id, y // 4, x // 4) as w from px), owned as (select vec_id, qy, qx, sum(w * w) / 16 as q from parts group by all),
+  cov as (select vec_id, qy, qx, d, k, sum(w * h) / 16 as c from parts join pool using (i, j) group by all),
+  e as (select vec_id, qy, qx, min(s * s * f - 2 * s * c + q) as e from (select *, least(1.0::double, case when f > 0 then sqrt(q / f) else 0 end) as s from cov join spread using (d, k) join owned using (vec_id, qy, qx)) group by all)
+  select vec_id, cast(sum((greatest(0, e) < 400)::int) as bigint) as matched, round(sum(greatest(0, e)) / 4, 4) + 0.0 as mse from e group by 1"""
 SQL = {
+    "self_similarity": _SELF,
     "inverse_roundtrips": f"select unnest({_TRANSFORMS}) as transform, n as blocks, n as exact from (select count(*) as n from embeddings)",
     "attention_roundtrip": "select vec_id, true as ok from embeddings",
     "mixing_roundtrip": "select user_id, count(*) as n, 1::bigint as ok from events group by 1",
