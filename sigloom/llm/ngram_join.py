@@ -60,7 +60,8 @@ class Bands:
 
     def keys(self, s: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """Keys of the pieces under the group of the set's own band and of the one below, and for groups of even and of odd bands how many keys
-        a linked set of the group shares at least. The last bit of a key is that of its band; s is sorted."""
+        a linked set of the group shares at least. The last bit of a key is that of its band; s is sorted. A pair is compared in the group of its
+        smaller set's band, so that two sets that are both there as larger ones need not be."""
         out, need = [], [0, 0]
         for band in {max(0, self.of(len(s)) - 1), self.of(len(s))}:
             k, slack = self.pieces(band)
@@ -89,29 +90,29 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-DIGEST = "rid long, doc_id long, n long, node long, keys array<long>, need array<int>, sketch array<long>"
+DIGEST = "rid long, doc_id long, n long, node long, odd int, keys array<long>, need array<int>, sketch array<long>"
 
 
 def _digest(words: int, num: int, den: int):
-    """Rows (rid, doc_id, text) as DIGEST: size and hash of the set; keys, need and sketch where a task meets a set first."""
+    """Rows (rid, doc_id, text) as DIGEST: size and hash of the set, an even number, and whether its own band is odd; keys, need and sketch where a task meets a set first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
         for batch in batches:
-            ns, nodes, keys, needs, sketches = [], [], [], [], []
+            ns, nodes, odd, keys, needs, sketches = [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text or b"", words)
-                node = int(signed(mix(np.array([np.bitwise_xor.reduce(s) ^ mix(s[:1] + np.uint64(len(s)))[0] ^ np.add.reduce(mix(s))])))[0]) if len(s) else None
+                node = int(signed(mix(np.array([np.bitwise_xor.reduce(s) ^ mix(s[:1] + np.uint64(len(s)))[0] ^ np.add.reduce(mix(s))])))[0]) & ~1 if len(s) else None
                 first = len(s) and node not in seen
-                ns.append(len(s)), nodes.append(node)
+                ns.append(len(s)), nodes.append(node), odd.append(bands.of(len(s)) & 1 if len(s) else None)
                 k, need = bands.keys(s) if first else (None, None)
                 keys.append(signed(k) if first else None), needs.append(need), sketches.append(sketch(s) if first else None)
                 if first:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(node)
-            made = [pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(needs, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["rid", "doc_id", "n", "node", "keys", "need", "sketch"])
+            made = [pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(odd, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(needs, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["rid", "doc_id", "n", "node", "odd", "keys", "need", "sketch"])
 
     return run
 
@@ -218,10 +219,12 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     docs = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     digest = cut(docs.select("rid", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_digest(words, num, den), DIGEST), "digest")
     facts = cut(_facts(digest), "facts")
-    index = digest.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    shared = cut(index.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, low long"), "shared")
+    # the last bit of a node says there whether it is in its own band's group
+    index = digest.where("keys is not null").select(F.explode("keys").alias("key"), "node", "odd").select("key", F.expr("node | (1 - ((key & 1) ^ odd))").alias("node"))
+    found = index.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, low long")
+    shared = cut(found.select("key", F.expr("node & ~1L").alias("node"), F.expr("low & ~1L").alias("low"), F.expr("cast(node & 1 as int)").alias("own"), F.expr("cast((node | low) & 1 as int)").alias("pair")), "shared")
     docs = docs.select("rid", "text")
-    pairs = shared.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = shared.where("node != low and pair = 1").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     check = lambda found, name: _links(docs, facts, *found, name, words, num, den)
     links, n = check(_allowed(facts, pairs, num, den), "links")
     groups = components(links)
@@ -258,9 +261,9 @@ def _allowed(facts: DataFrame, pairs: DataFrame, num: int, den: int) -> tuple[Da
 
 
 def _mixed(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, node, comp, rows) of the buckets, of so many rows, that hold more than one component so far."""
-    at = shared.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")).where("c0 < c1").select("key", "rows")
+    """(key, node, own, comp, rows) of the buckets, of so many rows, that hold more than one component so far and a set of their own band."""
+    at = shared.select("key", "node", "own").join(comps, "node", "left").select("key", "node", "own", F.coalesce("comp", "node").alias("comp"))
+    mixed = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("own").alias("any"), F.count("*").alias("rows")).where("c0 < c1 and any = 1").select("key", "rows")
     return at.join(mixed, "key")
 
 
@@ -272,8 +275,8 @@ def _chained(shared: DataFrame, comps: DataFrame, i: int) -> DataFrame:
     """
     order = F.xxhash64("node", "key", F.lit(i))
     w = Window.partitionBy("key", F.pmod(F.xxhash64(F.lit(i), "node"), F.ceil(F.col("rows") / CHAIN_ROWS))).orderBy(order)
-    rows = _mixed(shared, comps).select("node", "comp", F.lag("node").over(w).alias("n2"), F.lag("comp").over(w).alias("c2"))
-    return rows.where("comp != c2").select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct()
+    rows = _mixed(shared, comps).select("node", "comp", "own", F.lag("node").over(w).alias("n2"), F.lag("comp").over(w).alias("c2"), F.lag("own").over(w).alias("o2"))
+    return rows.where("comp != c2 and own + o2 > 0").select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct()
 
 
 def _across(facts: DataFrame, shared: DataFrame, comps: DataFrame, num: int, den: int) -> tuple[DataFrame, int]:
@@ -283,20 +286,19 @@ def _across(facts: DataFrame, shared: DataFrame, comps: DataFrame, num: int, den
     another bucket. What remains of a hot bucket is dealt to cells, pairs of its parts of some HOT nodes.
     """
     mixed, seen = measured(_mixed(shared, comps), "mixed", most=F.max("rows"))
-    rows = mixed.where(F.col("rows") <= HOT).select("key", "node", "comp", F.lit(1).alias("cells"))
+    rows = mixed.where(F.col("rows") <= HOT).select("key", "node", "own", "comp", F.lit(1).alias("cells"))
     if (seen.most or 0) > HOT:
         band = F.col("key").bitwiseAND(F.lit(1)).cast("int")
-        hot = mixed.where(F.col("rows") > HOT).select("key", "node", "comp", band.alias("band"))
+        hot = mixed.where(F.col("rows") > HOT).select("key", "node", "own", "comp", band.alias("band"))
         many = hot.groupBy("node", "band").agg(F.count("*").alias("hot"))
         bound = cut(many.join(facts.select("node", "need"), "node").where(F.col("hot") >= F.col("need")[F.col("band")]).select("node", "band"), "bound")
-        stay = hot.join(bound, ["node", "band"], "left_semi").select("key", "node", "comp")
+        stay = hot.join(bound, ["node", "band"], "left_semi").select("key", "node", "own", "comp")
         left = cut(stay.join(stay.groupBy("key").agg(F.count("*").alias("rows")), "key"), "hot")
-        rows = rows.union(left.select("key", "node", "comp", F.ceil(F.col("rows") / HOT).cast("int")))
+        rows = rows.union(left.select("key", "node", "own", "comp", F.ceil(F.col("rows") / HOT).cast("int")))
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("node", F.lit(7)), F.col("cells")).cast("int")).join(facts.drop("rid", "need"), "node")
-    x = rows.withColumn("other", F.explode(F.sequence(F.col("cell"), F.col("cells") - 1))).alias("x")
-    y = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cell")))).alias("y")
-    one = (F.col("x.key") == F.col("y.key")) & (F.col("x.cell") == F.col("y.other")) & (F.col("x.other") == F.col("y.cell"))
-    across = one & ((F.col("x.cell") < F.col("y.cell")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.comp") != F.col("y.comp"))
+    x = rows.where("own = 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).alias("x")  # with every cell of its bucket
+    y = rows.alias("y")
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.other") == F.col("y.cell")) & ((F.col("y.own") == 0) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.comp") != F.col("y.comp"))
     pairs = x.join(y, across & _fits("x", "y", num, den)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     pairs, seen = measured(pairs.distinct(), "across")
     return pairs, seen.n
