@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of ids that are ever broadcast: 16 bytes each, some 30 MB as a hash relation.
 BROADCAST_ROWS = 500_000
-#: Most rows of an Arrow batch of texts.
-BATCH_ROWS = 2000
+#: Most rows of an Arrow batch of texts, and bytes of texts, about, that a task takes apart at once.
+BATCH_ROWS, SLICE = 2000, 3_000_000
 
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import BROADCAST_ROWS, by_ids, gram_hashes, measured, mix, shared_path, slices, small_batches, word_hashes
+from sigloom.llm.common import BROADCAST_ROWS, SLICE, by_ids, gram_hashes, measured, mix, shared_path, slices, small_batches, word_hashes
 
 #: Items that are sent to the tasks at once, in expectation; more are searched for in blocks, one after the other.
 BLOCK_ITEMS = 20_000
@@ -202,7 +202,7 @@ def _find(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 8_000_000):
+            for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), SLICE):
                 out: list[list] = [[], [], [], [], []]
                 for t, *found in items.hits([word_hashes(words_of(x or b"")) for x in texts.slice(a, b - a).to_pylist()]):
                     for col, v in zip(out, (ids[a + t], *found), strict=True):
