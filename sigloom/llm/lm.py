@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import cut, slices, small_batches, word_hashes
+from sigloom.llm.common import SLICE, cut, slices, small_batches, word_hashes
 
 #: The model's vocabulary, its classes of words, the state, and the words whose counts every task holds (rarer ones are joined).
 VOCABULARY, CLASSES, HIDDEN, HEAD = 2000, 44, 16, 100_000
@@ -350,7 +350,7 @@ def _indexed(lexicon: Lexicon, n_all: int, n_words: int, other: float):
         share = np.log10((lexicon.counts + 1.0) / other)
         for batch in batches:
             texts = batch.column(3)
-            for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 8_000_000):
+            for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), SLICE):
                 yield rows(batch.slice(a, b - a), texts.slice(a, b - a).to_pylist(), base, share)
 
     def rows(batch: pa.RecordBatch, texts: list, base: np.ndarray, share: np.ndarray) -> pa.RecordBatch:
