@@ -94,11 +94,6 @@ def fnv1a(values: Column) -> Column:
     return F.aggregate(values, F.lit(2166136261).cast("long"), lambda h, v: (h.bitwiseXOR(v.cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
 
 
-def times31(values: Column) -> Column:
-    """The second hash of the membership filter: h * 31 + v, from 16777619, modulo 2 ** 32 (C14)."""
-    return F.aggregate(values, F.lit(16777619).cast("long"), lambda h, v: (h * 31 + v.cast("long")).bitwiseAND(F.lit(4294967295)))
-
-
 def utf8_bytes(text: Column) -> Column:
     """Bytes of a string's UTF-8 form as an array of integers."""
     digits = F.hex(F.encode(text, "UTF-8"))

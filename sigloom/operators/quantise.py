@@ -15,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.functions.scalar import fnv1a, times31, utf8_bytes
-
 #: Queries that go to the tasks at once.
 QUERY_BLOCK = 10_000
 
@@ -191,11 +189,31 @@ def bloom_size(items: int, rate: float) -> tuple[int, int]:
     return m, max(1, int(m / items * math.log(2)))
 
 
+def _double_hash(words: pa.Array, m: int, k: int) -> np.ndarray:
+    """(words, k) places in a filter of m bits: xor-multiply and times-31 hashes of the UTF-8 bytes, byte by byte over all words at once."""
+    data = words.cast(pa.binary()).fill_null(b"")
+    sizes = np.array([len(w) for w in data.to_pylist()], np.int64)
+    flat = np.frombuffer(b"".join(data.to_pylist()), np.uint8).astype(np.uint64)
+    first = np.cumsum(sizes) - sizes
+    h1, h2, low = np.full(len(sizes), 2166136261, np.uint64), np.full(len(sizes), 16777619, np.uint64), np.uint64(0xFFFFFFFF)
+    on = np.flatnonzero(sizes > 0)
+    j = 0
+    while len(on):
+        byte = flat[first[on] + j]
+        h1[on] = (h1[on] ^ byte) * np.uint64(16777619) & low
+        h2[on] = h2[on] * np.uint64(31) + byte & low
+        j += 1
+        on = on[sizes[on] > j]
+    return ((h1[:, None] + np.arange(k, dtype=np.uint64) * h2[:, None]) % np.uint64(m)).astype(np.int64)
+
+
 def bloom_bits(items: DataFrame, text: str, m: int, k: int) -> DataFrame:
     """items with bits: the k places of each in a filter of m bits, by double hashing (C14)."""
-    data = utf8_bytes(F.col(text))
-    hashed = items.withColumn("_h1", fnv1a(data)).withColumn("_h2", times31(data))
-    return hashed.withColumn("bits", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(F.col("_h1") + i * F.col("_h2"), F.lit(m)))).drop("_h1", "_h2")
+
+    def places(words: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(np.arange(len(words) + 1, dtype=np.int32) * k, pa.array(_double_hash(words, m, k).ravel()))
+
+    return items.withColumn("bits", F.arrow_udf(places, "array<bigint>")(F.col(text)))
 
 
 def bloom_build(items: DataFrame, text: str, m: int, k: int) -> DataFrame:
@@ -213,10 +231,14 @@ def bloom_words(built: DataFrame, m: int) -> list[int]:
 
 
 def bloom_probe(items: DataFrame, text: str, words: list[int], m: int, k: int) -> DataFrame:
-    """items with maybe: whether all places of each are set in a filter of bloom_words. No exchange: the filter is a literal."""
-    filter_ = F.lit(words).cast("array<bigint>")
-    isset = lambda b: F.call_function("shiftright", filter_[F.floor(b / 64).cast("int")], F.pmod(b, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return bloom_bits(items, text, m, k).withColumn("maybe", F.forall("bits", isset)).drop("bits")
+    """items with maybe: whether all places of each are set in a filter of bloom_words. No exchange: the filter goes with the tasks."""
+    held = np.array([w & 0xFFFFFFFFFFFFFFFF for w in words], np.uint64)
+
+    def probe(asked: pa.Array) -> pa.Array:
+        at = _double_hash(asked, m, k)
+        return pa.array(((held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1))
+
+    return items.withColumn("maybe", F.arrow_udf(probe, "boolean")(F.col(text)))
 
 
 def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 8, bits: int = 8, key: str = "vec_id") -> DataFrame:
